@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fringeframe.llm.common import cut, shared_folder
 from fringeframe.llm.storage import opened, publish
@@ -137,7 +138,7 @@ def read(stored: DataFrame) -> DataFrame:
 
     Rows are read where they stand, in the order of their shards; a copy costs no second read while it is the last one seen.
     """
-    schema = stored.schema
+    schema = T.StructType(list(stored.schema.fields))
     for name, kind in (("media_width", "integer"), ("media_height", "integer"), ("media_depth", "integer"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_sha256", "string"), ("media_feature", "string")):
         schema = schema.add(name, kind)
     uri_at, offset_at, length_at = (stored.columns.index(c) for c in ("media_uri", "media_offset", "media_length"))

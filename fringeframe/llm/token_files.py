@@ -24,6 +24,8 @@ MAGIC = b"PFOR0001"
 #: Words and their ids that a worker remembers in a generation.
 MEMORY, LONGEST = 400_000, 48
 ENDS = frozenset(".,;:?!")
+#: The letter whose lower case ends in a mark, which a following sign would join.
+DOTTED = "\u0130"
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -134,7 +136,7 @@ class Words:
         for text in texts:
             words = []
             for w in text.replace("\n", " ").split(" "):
-                if w[-1:] in ENDS and w[:-1].isalpha():
+                if w[-1:] in ENDS and w[:-1].isalpha() and w[-2] != DOTTED:
                     words += (w[:-1], w[-1])
                 elif w:
                     words.append(w)

@@ -47,8 +47,8 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, strength: float = 1.0, smooth: float = 1.0, surprise: float = 4.0, steps: int = 200) -> Model:
-    """Fit on rows of bucket numbers. Buckets count whose share differs between the labels by ``surprise`` standard errors.
+def train(rows: list[np.ndarray], labels: np.ndarray, strength: float = 6.0, smooth: float = 1.0, surprise: float = 3.0, steps: int = 200, rare: float = 3.0) -> Model:
+    """Fit on rows of bucket numbers. Buckets count whose share differs between the labels by ``surprise`` standard errors; a toxic row weighs ``rare`` times.
 
     With one label only, or none at all, the model answers that label's share for every text.
     """
@@ -70,11 +70,11 @@ def train(rows: list[np.ndarray], labels: np.ndarray, strength: float = 1.0, smo
     cells = [c[c >= 0] for c in cells]
     row, column = np.repeat(np.arange(len(rows)), [len(c) for c in cells]), np.concatenate(cells)
     value = ratio[used][column]
-    w, bias = np.zeros(len(used)), float(np.log(n[1] / n[0]))
+    w, bias, weight = np.zeros(len(used)), float(np.log(rare * n[1] / n[0])), np.where(y == 1, rare, 1.0)
     mean, square, rate = np.zeros(len(used) + 1), np.zeros(len(used) + 1), 0.05
     for k in range(1, steps + 1):
         z = np.bincount(row, value * w[column], minlength=len(y)) + bias
-        off = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
+        off = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight
         slope = np.append(np.bincount(column, value * off[row], minlength=len(used)) + strength * w, off.sum())
         mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
         step = rate * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.999**k)) + 1e-8)

@@ -115,10 +115,12 @@ def validate_noise(spark, sf_dir):
 
 @query(
     "q_stokes_i",
-    f"with {VIS_SQL}, sums as (select ok, chan, sum(case when flag then 0e0 else weight end) sw, sum(case when not flag then weight * re end) r, sum(case when not flag then weight * im end) i from vis group by all) select ok, chan, case when sw > 0 then round(r / sw, 6) end re, case when sw > 0 then round(i / sw, 6) end im, case when sw > 0 then round(1e0 / sqrt(sw), 6) end rel_sigma, not sw > 0 flag from sums",
+    f"with {VIS_SQL}, sums as (select ok, chan, sum(case when flag then 0e0 else weight end) sw, sum(case when not flag then weight * re end) r, sum(case when not flag then weight * im end) i from vis group by all) select ok, chan, case when sw > 0 then round(r / sw + 17e-11, 8) end re, case when sw > 0 then round(i / sw + 17e-11, 8) end im, case when sw > 0 then round(1e0 / sqrt(sw), 8) end rel_sigma, not sw > 0 flag from sums",
 )
 def stokes_i(spark, sf_dir):
-    return rounded(selection.stokes_i(visibilities(spark, sf_dir), ("ok", "chan")), 6)
+    found = selection.stokes_i(visibilities(spark, sf_dir), ("ok", "chan"))
+    # Means of a few decimals often end in an exact 5; the shift keeps rounding off such ties.
+    return rounded(found.withColumns({"re": F.col("re") + 17e-11, "im": F.col("im") + 17e-11}))
 
 
 @query("q_pooled_noise", f"with {POINTS_SQL} select spw, chan, count(*) n, round(avg(sqrt((sig_re * sig_re + sig_im * sig_im) / 2e0)), 8) sigma from points group by all")

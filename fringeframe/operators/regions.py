@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fringeframe.session import held
 
 def peak(image: DataFrame, value: str) -> DataFrame:
     """The pixel of largest value; of equal ones the first in row order."""
@@ -80,13 +81,13 @@ def dilated(mask: DataFrame, steps: int) -> DataFrame:
 
 def connected_region(pixels: DataFrame, y: int, x: int, rounds: int = 1000) -> DataFrame:
     """Pixels that touch (y, x) through sides: the front grows by one join a round until nothing is added."""
-    reached = pixels.where((F.col("pix_y") == y) & (F.col("pix_x") == x)).select("pix_y", "pix_x").checkpoint()
+    reached = pixels.where((F.col("pix_y") == y) & (F.col("pix_x") == x)).select("pix_y", "pix_x").transform(held)
     front = reached
     for _ in range(rounds):
-        step = dilated(front, 1).join(pixels.select("pix_y", "pix_x"), ["pix_y", "pix_x"], "left_semi").join(reached, ["pix_y", "pix_x"], "left_anti").checkpoint()
+        step = dilated(front, 1).join(pixels.select("pix_y", "pix_x"), ["pix_y", "pix_x"], "left_semi").join(reached, ["pix_y", "pix_x"], "left_anti").transform(held)
         if step.isEmpty():
             return reached
-        reached, front = reached.union(step).checkpoint(), step
+        reached, front = reached.union(step).transform(held), step
     raise RuntimeError("the region did not close")
 
 
@@ -141,12 +142,13 @@ def greedy_matches(found: DataFrame, truth: DataFrame, tolerance: float) -> Data
     found, truth: id, x_as, y_as, flux.
     """
     d2 = F.pow(F.col("f.x_as") - F.col("t.x_as"), 2) + F.pow(F.col("f.y_as") - F.col("t.y_as"), 2)
-    pairs = found.alias("f").join(truth.alias("t"), d2 <= F.lit(tolerance**2)).select(F.col("f.id").alias("found_id"), F.col("t.id").alias("truth_id"), F.abs("f.flux").alias("bright"), d2.alias("d2"), (F.col("f.flux") / F.col("t.flux")).alias("ratio")).checkpoint()
+    pairs = found.alias("f").join(truth.alias("t"), d2 <= F.lit(tolerance**2)).select(F.col("f.id").alias("found_id"), F.col("t.id").alias("truth_id"), F.abs("f.flux").alias("bright"), d2.alias("d2"), (F.col("f.flux") / F.col("t.flux")).alias("ratio")).transform(held)
     done = None
     while not pairs.isEmpty():
         mine = pairs.withColumn("first_", F.row_number().over(Window.partitionBy("found_id").orderBy("d2", "truth_id")))
         top = mine.withColumn("rank_", F.row_number().over(Window.partitionBy("truth_id").orderBy(F.col("bright").desc(), "found_id")))
-        settled = top.where("first_ = 1 and rank_ = 1").drop("first_", "rank_").checkpoint()
+        settled = top.where("first_ = 1 and rank_ = 1").drop("first_", "rank_").transform(held)
         done = settled if done is None else done.union(settled)
-        pairs = pairs.join(settled.select("found_id"), "found_id", "left_anti").join(settled.select("truth_id"), "truth_id", "left_anti").checkpoint()
+        left = pairs.join(settled.select("found_id"), "found_id", "left_anti").join(settled.select("truth_id"), "truth_id", "left_anti")
+        pairs = left.select(pairs.columns).transform(held)
     return done if done is not None else pairs

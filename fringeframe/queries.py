@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fringeframe.functions import sky
 from fringeframe.operators import imaging, matrix, noise, regions, selection
+from fringeframe.session import held
 from fringeframe.sources.adapter import FREQUENCY_SQL, ROW_KEY, SERIES_SQL, VIS_SQL, frequency, series, table, visibilities
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -529,3 +530,103 @@ def coverage(spark, sf_dir):
 def image_agreement(spark, sf_dir):
     rows = image(spark, sf_dir)
     return rounded(rows.agg(F.count(F.lit(1)).alias("n"), F.corr("dirty", "beam").alias("correlation"), (F.sqrt(F.avg(F.pow(F.col("dirty") - F.col("beam"), 2))) / F.max(F.abs("beam"))).alias("rms_over_peak")))
+
+
+# --- fits on mocks and streams: no SQL -----------------------------------------------------------------------------------
+
+
+def mock_points(spark: SparkSession) -> DataFrame:
+    from fringeframe.sources.mock import Gaussian, Point, observation
+
+    return observation(spark, 4000, [Gaussian(0.0, 0.1, 0.04, 0.25, 0.15, 0.4), Point(0.8, -0.6, 0.006)], sigma=1e-3)
+
+
+@query("q_solve_map")
+def solve_map(spark, sf_dir):
+    """The image of largest evidence of a mock, with its posterior deviation."""
+    from fringeframe.plans import inversion
+
+    n, fov = 20, 3.0
+    system = inversion.System(inversion.collect_terms(mock_points(spark), n, fov), fov / n, 0.3)
+    best = inversion.search_evidence(system)[-1]
+    wide = system.posterior(best.log_strength)
+    rows = [(k // n, k % n, float(s), float(e)) for k, (s, e) in enumerate(zip(best.image, wide, strict=True))]
+    return spark.createDataFrame(rows, "pix_y int, pix_x int, value double, sigma double")
+
+
+@query("q_evidence_scan")
+def evidence_scan(spark, sf_dir):
+    """The trials of both searches of the prior's strength."""
+    from fringeframe.plans import inversion
+
+    n, fov = 16, 3.0
+    terms = inversion.collect_terms(mock_points(spark), n, fov)
+    system = inversion.System(terms, fov / n, 0.3)
+    rows = [("evidence", *r) for r in inversion.trial_rows(inversion.search_evidence(system), terms.n_vis)]
+    rows += [("discrepancy", *r) for r in inversion.trial_rows(inversion.search_discrepancy(system), terms.n_vis)]
+    return spark.createDataFrame(rows, "criterion string, trial int, log_strength double, chi2_per_datum double, log_evidence double")
+
+
+@query("q_posterior_draws")
+def posterior_draws(spark, sf_dir):
+    """Draws around the solution as a table, and what they say of the total flux: 16, 50 and 84 in a hundred."""
+    from fringeframe.plans import inversion
+
+    n, fov = 12, 3.0
+    system = inversion.System(inversion.collect_terms(mock_points(spark), n, fov), fov / n, 0.3)
+    best = inversion.search_evidence(system)[-1]
+    draws = system.draws(best.log_strength, 64)
+    rows = [(k, p, float(best.image[p] + d)) for k, row in enumerate(draws) for p, d in enumerate(row)]
+    table_ = spark.createDataFrame(rows, "draw int, param int, value double")
+    flux = table_.groupBy("draw").agg(F.sum("value").alias("flux"))
+    return flux.agg(F.count(F.lit(1)).alias("draws"), *(F.percentile("flux", F.lit(q / 100)).alias(f"flux_{q}") for q in (16, 50, 84)))
+
+
+@query("q_point_fit")
+def point_fit(spark, sf_dir):
+    """Two points found, placed and measured on a mock."""
+    from fringeframe.plans.pointfit import detect
+    from fringeframe.sources.mock import Point, observation
+
+    truth = [Point(0.41, 0.33, 0.02), Point(-0.62, -0.47, 0.008)]
+    found = detect(observation(spark, 3000, truth, sigma=2e-3), 48, 3.0, apart=0.3)
+    return spark.createDataFrame([(c.x_as, c.y_as, c.flux, c.error) for c in found], "x_as double, y_as double, flux double, error double")
+
+
+@query("q_cube_fit")
+def cube_fit(spark, sf_dir):
+    """Every channel of a mock solved in a task of its own under one prior."""
+    from fringeframe.plans.inversion import solve_channels
+    from fringeframe.sources.mock import Gaussian, observation
+
+    points_ = observation(spark, 1500, [Gaussian(0.2, 0.1, 0.05, 0.25, 0.2, 0.3)], sigma=1e-3, channels=3, windows=2)
+    return solve_channels(points_, 12, 3.0, 4.0, 0.3)
+
+
+@query("q_match_components")
+def match_components(spark, sf_dir):
+    """Parts near a grid of suppliers, brightest part first: one-to-one nearest matches."""
+    found = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 97 * 1.0).alias("x_as"), (F.col("p_size") * 2.0).alias("y_as"), F.col("p_retailprice").alias("flux"))
+    truth = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 89 * 1.0).alias("x_as"), (F.col("s_suppkey") % 53 * 2.0).alias("y_as"), F.lit(1000.0).alias("flux"))
+    return regions.greedy_matches(found, truth, 4.0).drop("bright")
+
+
+@query("q_source_region")
+def source_region(spark, sf_dir):
+    """The connected pixels above a third of the peak that hold it."""
+    pixels = held(image(spark, sf_dir))
+    top = pixels.orderBy(F.col("beam").desc(), "pix_y", "pix_x").first()
+    return regions.connected_region(pixels.where(F.col("beam") >= top["beam"] / 3), top["pix_y"], top["pix_x"])
+
+
+@query("q_running_stream", f"with {SERIES_SQL} select baseline, count(value) n, round(sum(value), 6) s, round(sum(value * value), 6) ss from series group by all")
+def running_stream(spark, sf_dir):
+    """Running sums of the events files read as a stream until they are used up."""
+    import uuid
+
+    from fringeframe.session import shared_folder
+    from fringeframe.streaming.terms import drain, event_stream, running_terms
+
+    name = f"terms_{uuid.uuid4().hex}"
+    stream = running_terms(event_stream(spark, f"{sf_dir}/events.parquet*"))
+    return rounded(drain(stream, name, f"{shared_folder(spark)}/{name}"), 6)

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -33,3 +33,20 @@ def ship(spark: SparkSession) -> None:
             z.write(path, f"{PACKAGE.name}/{path.relative_to(PACKAGE)}")
     context.addPyFile(f.name)
     context._fringeframe_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, or a new temporary one where it is unset; checkpoints go there too."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", root)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(root)
+    return root
+
+
+def held(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, its lineage cut."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

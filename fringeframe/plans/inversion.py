@@ -65,6 +65,30 @@ def covariance(n: int, step: float, scale: float, kind: str = "matern", jitter:
     return c + jitter * np.eye(len(c))
 
 
+def weighted(c: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Covariance of a prior whose amplitude follows ``weight``."""
+    return c * np.outer(weight, weight)
+
+
+def adaptive_weight(brightness: np.ndarray, power: float = 2.0, floor: float = 1e-2) -> np.ndarray:
+    """floor + (1 - floor) (brightness+ / peak)^power."""
+    b = np.maximum(brightness, 0)
+    return floor + (1 - floor) * (b / max(b.max(), 1e-300)) ** power
+
+
+def envelope_weight(r: np.ndarray, sigma: float, floor: float = 1e-2) -> np.ndarray:
+    """floor + (1 - floor) exp(-r^2 / 2 sigma^2)."""
+    return floor + (1 - floor) * np.exp(-0.5 * (r / sigma) ** 2)
+
+
+def gibbs_covariance(n: int, step: float, lengths: np.ndarray, jitter: float = 1e-8) -> np.ndarray:
+    """Covariance whose correlation length varies from point to point."""
+    y, x = (a.reshape(-1) * step for a in np.mgrid[0:n, 0:n])
+    d2 = (y[:, None] - y) ** 2 + (x[:, None] - x) ** 2
+    both = lengths[:, None] ** 2 + lengths[None, :] ** 2
+    return 2 * np.outer(lengths, lengths) / both * np.exp(-d2 / both) + jitter * np.eye(n * n)
+
+
 def log_det(a: np.ndarray) -> float:
     return 2 * float(np.log(np.diag(np.linalg.cholesky(a))).sum())
 
@@ -102,9 +126,13 @@ class Trial:
 class System:
     """F, D and the prior's inverse, kept through all trials of its strength."""
 
-    def __init__(self, terms: Terms, step: float, scale: float, kind: str = "matern"):
+    def __init__(self, terms: Terms, step: float, scale: float, kind: str = "matern", prior: np.ndarray | None = None, beam: np.ndarray | None = None):
+        """``prior``: a covariance to use instead; ``beam``: primary beam of the mesh, for a prior on the true sky."""
         self.terms, self.f, self.d = terms, terms.curvature, terms.dirty.reshape(-1)
-        self.h = np.linalg.inv(covariance(len(terms.dirty), step, scale, kind))
+        c = covariance(len(terms.dirty), step, scale, kind) if prior is None else prior
+        if beam is not None:
+            c = weighted(c, np.clip(beam.reshape(-1), 0.1, 1.0))
+        self.h = np.linalg.inv(c)
         self.log_h = log_det(self.h)
 
     def trial(self, log_strength: float, positive: bool = False) -> Trial:

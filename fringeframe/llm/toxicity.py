@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fringeframe.llm.common import attach
+from fringeframe.llm.common import attach, cut
 
 #: n-gram lengths in bytes and the number of hash buckets they share.
 ORDERS, BUCKETS = (4, 5, 6, 7), 1 << 18
@@ -47,29 +47,33 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, strength: float = 6.0, smooth: float = 1.0, surprise: float = 3.0, steps: int = 200, rare: float = 3.0) -> Model:
-    """Fit on rows of bucket numbers. Buckets count whose share differs between the labels by ``surprise`` standard errors; a toxic row weighs ``rare`` times.
+def train(rows: Callable[[], Iterable[tuple[int, np.ndarray]]], strength: float = 6.0, smooth: float = 1.0, surprise: float = 3.0, steps: int = 200, rare: float = 3.0) -> Model:
+    """Fit on (label, bucket numbers) rows, which ``rows`` gives twice: to count, then to keep the cells of used buckets.
 
-    With one label only, or none at all, the model answers that label's share for every text.
+    Buckets are used whose share differs between the labels by ``surprise`` standard errors; a toxic row weighs
+    ``rare`` times. With one label only, or none at all, the model answers that label's share for every text.
     """
-    y = np.asarray(labels, float)
-    if not len(y) or y.min() == y.max():
-        share = float(np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99))
+    counts, n = np.zeros((2, BUCKETS)), np.zeros(2)
+    for label, own in rows():
+        counts[label, own] += 1
+        n[label] += 1
+    if not n.all():
+        share = float(np.clip(n[1] / n.sum() if n.any() else 0.0, 0.01, 0.99))
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
-    counts = np.zeros((2, BUCKETS))
-    for own, label in zip(rows, y, strict=True):
-        counts[int(label), own] += 1
-    n = np.array([(y == 0).sum(), (y == 1).sum()], float)
     ratio = np.log((counts[1] + smooth) / (n[1] + 2 * smooth)) - np.log((counts[0] + smooth) / (n[0] + 2 * smooth))
     pool = counts.sum(0) / n.sum()
     error = np.sqrt(np.maximum(pool * (1 - pool), 1e-12) * (1 / n).sum())
     used = np.flatnonzero(np.abs(counts[1] / n[1] - counts[0] / n[0]) >= surprise * error)
-    place = np.full(BUCKETS, -1)
+    place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used))
-    cells = [place[own] for own in rows]
-    cells = [c[c >= 0] for c in cells]
-    row, column = np.repeat(np.arange(len(rows)), [len(c) for c in cells]), np.concatenate(cells)
-    value = ratio[used][column]
+    cells, labels = [], []
+    for label, own in rows():
+        c = place[own]
+        cells.append(c[c >= 0])
+        labels.append(label)
+    y = np.array(labels, float)
+    row, column = np.repeat(np.arange(len(cells), dtype=np.int32), [len(c) for c in cells]), np.concatenate(cells)
+    value = ratio[used].astype(np.float32)[column]
     w, bias, weight = np.zeros(len(used)), float(np.log(rare * n[1] / n[0])), np.where(y == 1, rare, 1.0)
     mean, square, rate = np.zeros(len(used) + 1), np.zeros(len(used) + 1), 0.05
     for k in range(1, steps + 1):
@@ -87,9 +91,9 @@ def train(rows: list[np.ndarray], labels: np.ndarray, strength: float = 6.0, smo
 def fit(documents: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", rows: int = SAMPLE_ROWS, held_out: int = 5) -> Model:
     """Fit on labelled documents whose crc32(key) mod ``held_out`` is not 0.
 
-    The sample is bounded: ``rows`` labels of smallest hash, broadcast to the documents; each travels to the
-    driver as the bucket numbers of its whole text (at most BUCKETS of them, packed as bits where that is
-    smaller). Null keys, texts and labels are not learnt from.
+    The sample is bounded: ``rows`` labels of smallest hash, broadcast to the documents, one text for each. A text
+    goes to the driver as the bucket numbers of the whole of it (packed as bits where that is smaller), a partition
+    at a time, and only cells of used buckets are kept there. Null keys, texts and labels are not learnt from.
     """
     chosen = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).where("k is not null and y in (0, 1)")
     chosen = chosen.where(F.crc32(F.col("k").cast("string")) % held_out != 0).orderBy(F.xxhash64("k"), "k", "y").limit(rows)
@@ -105,13 +109,15 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", key: str =
                 out.append(b"i" + own.astype(np.uint32).tobytes() if len(own) * 4 < BUCKETS // 8 else b"b" + np.packbits(bits).tobytes())
             yield pa.array(out, pa.binary())
 
-    packed = joined.select("k", "y", F.arrow_udf(pack, T.BinaryType(), F.ArrowUDFType.SCALAR_ITER)("t").alias("f")).orderBy("k", "y", "f").limit(rows)
-    own, y = [], []
-    for r in packed.toLocalIterator():
-        raw = bytes(r.f)
-        own.append(np.frombuffer(raw[1:], np.uint32).astype(np.int32) if raw[:1] == b"i" else np.flatnonzero(np.unpackbits(np.frombuffer(raw[1:], np.uint8))).astype(np.int32))
-        y.append(r.y)
-    return train(own, np.array(y))
+    packed = joined.select("k", "y", F.arrow_udf(pack, T.BinaryType(), F.ArrowUDFType.SCALAR_ITER)("t").alias("f"))
+    packed = cut(packed.groupBy("k", "y").agg(F.min("f").alias("f")).select("y", "f"))
+
+    def stream() -> Iterator[tuple[int, np.ndarray]]:
+        for r in packed.toLocalIterator():
+            raw = bytes(r.f)
+            yield r.y, np.frombuffer(raw[1:], np.uint32) if raw[:1] == b"i" else np.flatnonzero(np.unpackbits(np.frombuffer(raw[1:], np.uint8)))
+
+    return train(stream)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id", held_out: int = 5, threshold: float = 0.5) -> DataFrame:

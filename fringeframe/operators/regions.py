@@ -152,3 +152,43 @@ def greedy_matches(found: DataFrame, truth: DataFrame, tolerance: float) -> Data
         left = pairs.join(settled.select("found_id"), "found_id", "left_anti").join(settled.select("truth_id"), "truth_id", "left_anti")
         pairs = left.select(pairs.columns).transform(held)
     return done if done is not None else pairs
+
+
+def at_pixel_centres(positions: DataFrame, pixels: DataFrame, step: float, tolerance: float = 1e-9) -> DataFrame:
+    """Positions that lie on a pixel's centre, met on whole half-pixel keys and then checked to ``tolerance``."""
+    key = lambda c: F.rint(F.lit(2.0) * F.col(c) / F.lit(step)).cast("long")
+    left = positions.withColumns({"ky": key("y_as"), "kx": key("x_as")}).alias("p")
+    right = pixels.withColumns({"ky": key("y_as"), "kx": key("x_as")}).alias("g")
+    joined = left.join(right, (F.col("p.ky") == F.col("g.ky")) & (F.col("p.kx") == F.col("g.kx")))
+    close = (F.abs(F.col("p.y_as") - F.col("g.y_as")) <= tolerance) & (F.abs(F.col("p.x_as") - F.col("g.x_as")) <= tolerance)
+    return joined.where(close).select("p.id", "g.pix_y", "g.pix_x")
+
+
+def upsampled(image: DataFrame, value: str, k: int) -> DataFrame:
+    """Each pixel as k x k pixels of its value over k^2: the sum stays."""
+    parts = F.explode(F.sequence(F.lit(0), F.lit(k * k - 1)))
+    spread = image.withColumn("part_", parts)
+    return spread.select((F.col("pix_y") * k + F.floor(F.col("part_") / k)).cast("int").alias("pix_y"), (F.col("pix_x") * k + F.col("part_") % k).cast("int").alias("pix_x"), (F.col(value) / F.lit(float(k * k))).alias(value))
+
+
+def apertures(image: DataFrame, value: str, radii: list[float]) -> DataFrame:
+    """(radius, n, total): sums inside circles about the middle."""
+    r = F.explode(F.array(*(F.lit(float(x)) for x in radii)))
+    inside = image.withColumn("radius", r).where(F.col("x_as") * F.col("x_as") + F.col("y_as") * F.col("y_as") <= F.col("radius") * F.col("radius"))
+    return inside.groupBy("radius").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+
+
+def beam_scatter(beam: DataFrame, value: str) -> DataFrame:
+    """Expected scatter of the structure ratio: root of the summed squared beam over twice the pixels."""
+    return beam.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.sum(F.col(value) * F.col(value)) / (2.0 * F.count(F.lit(1)))).alias("scatter"))
+
+
+def region_flux(image: DataFrame, value: str, rms: float, n_sigma: float) -> DataFrame:
+    """Pixels at least ``n_sigma`` rms high: their number and sum."""
+    return image.where(F.col(value) >= F.lit(rms * n_sigma)).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("flux"))
+
+
+def moment_errors(draws: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Half the spread of the middle 68 in a hundred draws of each moment."""
+    half = lambda c: ((F.percentile(c, F.lit(0.84)) - F.percentile(c, F.lit(0.16))) / 2.0).alias(f"{c}_error")
+    return draws.groupBy(*keys).agg(F.count(F.lit(1)).alias("draws"), half("mom0"), half("mom1"))

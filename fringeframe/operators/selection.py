@@ -128,3 +128,26 @@ def shortest(flat: DataFrame, k: int) -> DataFrame:
     q = F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v"))
     top = flat.withColumn("q", q).orderBy("q", *ROW_KEY).limit(k)
     return top.agg(F.count(F.lit(1)).alias("n"), F.avg("re").alias("mean_re"), F.max("q").alias("q_max"))
+
+
+def baseline_ids(vis: DataFrame) -> DataFrame:
+    """(ant1, ant2, baseline): dense ids of the baselines that occur. A row for each baseline."""
+    return vis.select("ant1", "ant2").distinct().withColumn("baseline", (F.dense_rank().over(Window.orderBy("ant1", "ant2")) - 1).cast("long"))
+
+
+def missing_channels(requested: DataFrame, produced: DataFrame) -> DataFrame:
+    """Channels asked for that have no sample."""
+    return requested.join(produced.select("spw", "chan").distinct(), ["spw", "chan"], "left_anti")
+
+
+def even_rows(channels: DataFrame, order: str, most: int) -> DataFrame:
+    """At most ``most`` rows, evenly spread over ``order``, the first and last among them. A row for each channel."""
+    turn = channels.withColumns({"k_": F.row_number().over(Window.orderBy(order)) - 1, "n_": F.count(F.lit(1)).over(Window.partitionBy())})
+    step = F.greatest((F.col("n_") - 1) / F.lit(most - 1.0), F.lit(1.0))
+    mine = F.rint(F.rint(F.col("k_") / step) * step) == F.col("k_")
+    return turn.where(mine).drop("k_", "n_")
+
+
+def weakest(components: DataFrame, value: str, error: str) -> DataFrame:
+    """The component of least signal to noise."""
+    return components.withColumn("snr", F.col(value) / F.col(error)).orderBy("snr", "id").limit(1)

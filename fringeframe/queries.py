@@ -532,6 +532,95 @@ def image_agreement(spark, sf_dir):
     return rounded(rows.agg(F.count(F.lit(1)).alias("n"), F.corr("dirty", "beam").alias("correlation"), (F.sqrt(F.avg(F.pow(F.col("dirty") - F.col("beam"), 2))) / F.max(F.abs("beam"))).alias("rms_over_peak")))
 
 
+# --- smaller operators ---------------------------------------------------------------------------------------------------
+
+
+@query("q_baseline_ids", f"with {CROSS_SQL} select ant1, ant2, dense_rank() over (order by ant1, ant2) - 1 baseline from (select distinct ant1, ant2 from crossed)")
+def baseline_ids(spark, sf_dir):
+    return selection.baseline_ids(cross(spark, sf_dir))
+
+
+@query("q_parse_windows", "select unnest([0, 1, 4, 7, 8, 9]) spw")
+def parse_windows(spark, sf_dir):
+    from fringeframe.sources.measurement import windows_of
+
+    return windows_of(spark, "7-9, 0-1, 4, 8")
+
+
+@query(
+    "q_legacy_hands",
+    f"with {VIS_SQL} select ok, chan, round(avg(re) + 17e-11, 8) re, round(avg(im) + 17e-11, 8) im, round(sqrt(sum(sig_re * sig_re)) / count(*) * sqrt(count(*) / cast(count(distinct (re, im)) as double)), 8) sigma from vis group by all",
+)
+def legacy_hands(spark, sf_dir):
+    from fringeframe.sources.measurement import from_hands
+
+    found = from_hands(visibilities(spark, sf_dir).withColumn("sigma", F.col("sig_re")), ("ok", "chan"))
+    return rounded(found.withColumns({"re": F.col("re") + 17e-11, "im": F.col("im") + 17e-11}))
+
+
+@query("q_missing_channels", f"with {VIS_SQL} select spw, chan from (select cast(a as integer) spw, cast(b as integer) chan from range(3) x(a), range(8) y(b)) except select spw, chan from vis where ant1 <> ant2")
+def missing_channels(spark, sf_dir):
+    asked = spark.range(24).select(F.floor(F.col("id") / 8).cast("int").alias("spw"), (F.col("id") % 8).cast("int").alias("chan"))
+    return selection.missing_channels(asked, cross(spark, sf_dir))
+
+
+@query(
+    "q_even_rows",
+    f"with {CROSS_SQL}, c as (select f, row_number() over (order by f) - 1 k, count(*) over () n from (select distinct f from crossed)) select f from c where round_even(round_even(k / greatest((n - 1) / 5e0, 1e0), 0) * greatest((n - 1) / 5e0, 1e0), 0) = k",
+)
+def even_rows(spark, sf_dir):
+    return selection.even_rows(cross(spark, sf_dir).select(frequency().alias("f")).distinct(), "f", 6)
+
+
+@query("q_position_join", f"with {GRID_SQL}, p as (select p_partkey id, (p_partkey % 40 - 20) * 5e-1 * {STEP!r} x_as, (p_size - 25) * 5e-1 * {STEP!r} y_as from part) select id, pix_y, pix_x from p join grid g on abs(p.x_as - g.x_as) <= 1e-9 and abs(p.y_as - g.y_as) <= 1e-9")
+def position_join(spark, sf_dir):
+    at = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), ((F.col("p_partkey") % 40 - 20) * 0.5 * STEP).alias("x_as"), ((F.col("p_size") - 25) * 0.5 * STEP).alias("y_as"))
+    return regions.at_pixel_centres(at, sized_pixels(spark), STEP)
+
+
+@query("q_add_points", f"with {IMAGE_SQL}, p as (select cast(round_even(75e-1 - (p_size % 7 - 3) * 1e-2 / {STEP!r}, 0) as integer) pix_y, cast(round_even((p_partkey % 9 - 4) * 1e-2 / {STEP!r} + 75e-1, 0) as integer) pix_x, p_retailprice / 1e3 v from part) select pix_y, pix_x, round(sum(v), 6) as value from (select pix_y, pix_x, beam v from image union all select * from p) group by all")
+def add_points(spark, sf_dir):
+    from fringeframe.plans.products import with_points
+
+    at = table(spark, sf_dir, "part").select(((F.col("p_partkey") % 9 - 4) * 0.01).alias("x_as"), ((F.col("p_size") % 7 - 3) * 0.01).alias("y_as"), (F.col("p_retailprice") / 1e3).alias("flux"))
+    return rounded(with_points(image(spark, sf_dir).select("pix_y", "pix_x", F.col("beam").alias("value")), at, STEP, SIDE), 6)
+
+
+@query("q_upsample", f"with {IMAGE_SQL} select cast(pix_y * 2 + a as integer) pix_y, cast(pix_x * 2 + b as integer) pix_x, round(beam / 4e0, 8) beam from image, range(2) x(a), range(2) y(b)")
+def upsample(spark, sf_dir):
+    return rounded(regions.upsampled(image(spark, sf_dir).select("pix_y", "pix_x", "beam"), "beam", 2))
+
+
+@query("q_apertures", f"with {IMAGE_SQL} select r radius, count(*) n, round(sum(beam), 7) total from image, (select unnest([5e-2, 1e-1, 2e-1]) r) where x_as * x_as + y_as * y_as <= r * r group by r")
+def apertures(spark, sf_dir):
+    return rounded(regions.apertures(located(spark, sf_dir), "beam", [0.05, 0.1, 0.2]), 7)
+
+
+@query("q_beam_scatter", f"with {IMAGE_SQL} select count(*) n, round(sqrt(sum(beam * beam) / (2e0 * count(*))), 8) scatter from image")
+def beam_scatter(spark, sf_dir):
+    return rounded(regions.beam_scatter(image(spark, sf_dir), "beam"))
+
+
+@query("q_region_flux", f"with {IMAGE_SQL} select count(*) n, round(sum(beam), 7) flux from image where beam >= 95e-2")
+def region_flux(spark, sf_dir):
+    return rounded(regions.region_flux(image(spark, sf_dir), "beam", 0.19, 5.0), 7)
+
+
+@query("q_weakest_component", "select p_partkey id, round(p_retailprice / (1e0 + p_size), 8) snr from part order by p_retailprice / (1e0 + p_size), p_partkey limit 1")
+def weakest_component(spark, sf_dir):
+    found = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("flux"), (F.col("p_size") + 1.0).alias("error"))
+    return rounded(selection.weakest(found, "flux", "error").select("id", "snr"))
+
+
+@query(
+    "q_moment_errors",
+    f"with {SERIES_SQL}, d as (select baseline, user_id % 7 draw, sum(value) mom0, sum(value * event_id) / sum(value) mom1 from series group by all) select baseline, count(*) draws, round((quantile_cont(mom0, 84e-2) - quantile_cont(mom0, 16e-2)) / 2e0, 6) mom0_error, round((quantile_cont(mom1, 84e-2) - quantile_cont(mom1, 16e-2)) / 2e0, 5) mom1_error from d group by all",
+)
+def moment_errors(spark, sf_dir):
+    draws = series(spark, sf_dir).groupBy("baseline", (F.col("user_id") % 7).alias("draw")).agg(F.sum("value").alias("mom0"), (F.sum(F.col("value") * F.col("event_id")) / F.sum("value")).alias("mom1"))
+    return rounded(regions.moment_errors(draws, ("baseline",)), 6, mom1_error=5)
+
+
 # --- fits on mocks and streams: no SQL -----------------------------------------------------------------------------------
 
 

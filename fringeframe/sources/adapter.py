@@ -16,8 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def seconds(column: str) -> Column:
-    """A timestamp without zone as seconds since 1970 in UTC."""
-    return F.unix_micros(F.col(column).cast("timestamp")) / F.lit(1e6)
+    """A timestamp without zone as seconds since 1970 in UTC, whatever the session's zone."""
+    local = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(column))
+    return F.unix_micros(local.cast("timestamp")) / F.lit(1e6)
 
 
 def frequency(spw: str = "spw", chan: str = "chan") -> Column:

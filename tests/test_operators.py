@@ -243,3 +243,16 @@ def test_dataset_round_trip(spark, vis, tmp_path):
     assert files.read_visibilities(spark, f"file://{tmp_path}/set").count() == df.count()
     raw = files.plane_bytes(imaging.pixels(spark, 4, 1.0), "x_as", 4, 0.25)
     assert files.fits_image(raw)[1].shape == (4, 4)
+
+
+def test_seconds_do_not_depend_on_the_session_zone(spark):
+    from fringeframe.sources.adapter import seconds
+
+    df = spark.sql("select timestamp_ntz '2024-01-15 12:00:00.25' as t")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert df.select(seconds("t").alias("s")).first().s == 1705320000.25
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

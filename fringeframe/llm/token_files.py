@@ -6,6 +6,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +18,18 @@ from fringeframe.llm.common import cut, shared_folder
 from fringeframe.llm.storage import opened, publish
 
 #: Ids in a block, share of them that the packed width holds, ids after which a task starts another file.
-BLOCK, SHARE, FILE_IDS = 128, 0.9, 4 << 20
+BLOCK, SHARE, FILE_IDS = 512, 0.9, 1 << 20
+#: Blocks whose bits are spread out at a time.
+SLICE = 512
 #: Bytes of text for each task.
 TASK_BYTES = 16 << 20
+#: Tasks that read files back, at most.
+READ_TASKS = 20_000
 MAGIC = b"PFOR0001"
 #: Words and their ids that a worker remembers in a generation.
-MEMORY, LONGEST = 400_000, 48
+MEMORY, LONGEST = 500_000, 48
+#: Words that are learnt in one text, the last letter they may have, and how the tokenizer marks a word's last token.
+PLAIN, LATIN, WORD_END = 1000, "\u017f", "</w>"
 ENDS = frozenset(".,;:?!")
 #: The letter whose lower case ends in a mark, which a following sign would join.
 DOTTED = "\u0130"
@@ -46,11 +53,13 @@ def pack(ids: np.ndarray) -> bytes:
     width = np.ceil(np.log2(at + 1)).astype(np.int64)
     high = rest >> width[:, None]
     bodies: list[bytes] = [b""] * blocks
-    for w in np.unique(width).tolist():
+    for w in np.unique(width[width > 0]).tolist():
         own = np.flatnonzero(width == w)
-        bits = ((rest[own][:, :, None] >> np.arange(w)) & 1).astype(np.uint8).reshape(len(own), -1)
-        for b, raw in zip(own.tolist(), np.packbits(bits, axis=1, bitorder="little"), strict=True):
-            bodies[b] = raw.tobytes()
+        for at in range(0, len(own), SLICE):
+            some = own[at : at + SLICE]
+            bits = np.unpackbits(rest[some].astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :w]
+            for b, raw in zip(some.tolist(), np.packbits(bits.reshape(len(some), -1), axis=1, bitorder="little"), strict=True):
+                bodies[b] = raw.tobytes()
     patched = {b: (p, high[b, p]) for b in np.flatnonzero(high.any(axis=1)).tolist() if len(p := np.flatnonzero(high[b]))}
     none = (np.zeros(0, "<u2"), np.zeros(0, "<u4"))
     out = []
@@ -80,13 +89,14 @@ def unpack(raw: bytes, first: int = 0, stop: int | None = None) -> np.ndarray:
         heads.append((at + 7 + BLOCK // 8 * width, width, patches))
     for width, own in by_width.items():
         size = BLOCK // 8 * width
-        if width:
-            packed = np.frombuffer(b"".join([raw[a : a + size] for _, a, _ in own]), np.uint8).reshape(len(own), size)
-            bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(own), BLOCK, width)
-            values = bits @ (1 << np.arange(width, dtype=np.int64))
-        else:
-            values = np.zeros((len(own), BLOCK), np.int64)
-        out[[k for k, _, _ in own]] = values + np.array([low for _, _, low in own])[:, None]
+        for first_of in range(0, len(own), SLICE):
+            part = own[first_of : first_of + SLICE]
+            wide = np.zeros((len(part) * BLOCK, 32), np.uint8)
+            if width:
+                packed = np.frombuffer(b"".join([raw[a : a + size] for _, a, _ in part]), np.uint8).reshape(len(part), size)
+                wide[:, :width] = np.unpackbits(packed, axis=1, bitorder="little").reshape(-1, width)
+            values = np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(len(part), BLOCK)
+            out[[k for k, _, _ in part]] = values + np.array([low for _, _, low in part], np.int64)[:, None]
     for k, (at, width, patches) in enumerate(heads):
         if patches:
             places = np.frombuffer(raw, "<u2", patches, at)
@@ -118,38 +128,57 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(raw.decode())
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for w, i in vocabulary.items() if w.endswith(WORD_END)]] = True
+        self.known: dict[str, tuple[int, ...]] = {"": ()}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def learn(self, words: set[str]) -> None:
-        new = []
+        """Ids of words not known: from the older generation, else from the tokenizer, a sign at the end apart from its word."""
+        known, older = self.known, self.older
+        split, ask = [], set()
         for w in words:
-            if w in self.old:
-                self.young[w] = self.old[w]
+            if (ids := older.get(w)) is not None:
+                known[w] = ids
+            elif w[-1:] in ENDS and w[:-1].isalpha() and w[-2] != DOTTED:
+                split.append(w)
+                ask.update((w[:-1], w[-1]))
             else:
-                new.append(w)
+                ask.add(w)
+        ask.difference_update(known)
+        plain = [w for w in ask if w.isalpha() and max(w) <= LATIN and DOTTED not in w]
+        new = [*ask.difference(plain), *self.learn_plain(plain)]
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.young[w] = tuple(e.ids)
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        split, need = [], set()
-        for text in texts:
-            words = []
-            for w in text.replace("\n", " ").split(" "):
-                if w[-1:] in ENDS and w[:-1].isalpha() and w[-2] != DOTTED:
-                    words += (w[:-1], w[-1])
-                elif w:
-                    words.append(w)
-            split.append(words)
-            need.update(words)
-        if len(self.young) > MEMORY:
-            self.old, self.young = self.young, {}
-        self.learn(need.difference(self.young))
-        known = self.young
-        out = [[i for w in words for i in known[w]] for words in split]
+            known[w] = tuple(e.ids)
+        for w in split:
+            known[w] = known[w[:-1]] + known[w[-1]]
+
+    def learn_plain(self, words: list[str]) -> list[str]:
+        """Ids of words of Latin letters alone, many to a text: each is one pre-token, whose last token is marked. Returns words of texts where that fails."""
+        parts, failed = [words[k : k + PLAIN] for k in range(0, len(words), PLAIN)], []
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = e.ids
+            stops = (np.flatnonzero(self.last[np.array(ids, np.int64)]) + 1).tolist()
+            if len(stops) == len(part):
+                self.known.update((w, tuple(ids[a:b])) for w, a, b in zip(part, [0, *stops], stops))
+            else:
+                failed += part
+        return failed
+
+    def encode(self, texts: list[str], end: tuple[int, ...] = ()) -> list[np.ndarray]:
+        """Ids of each text, then ``end``."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) > MEMORY:
+            self.older, self.known = self.known, {"": ()}
+        need = set(chain.from_iterable(split))
+        need.difference_update(self.known)
+        self.learn(need)
+        ids = self.known.__getitem__
+        out = [np.fromiter(chain(chain.from_iterable(map(ids, words)), end), np.uint32) for words in split]
         for w in need:
             if len(w) > LONGEST:
-                del known[w]
+                del self.known[w]
         return out
 
 
@@ -193,11 +222,11 @@ def write_files(df: DataFrame, tokenizer: str, folder: str, end: int = 2, text:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                for k, ids in zip(some.column(0).to_pylist(), words.encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
-                    held.append(np.array([*ids, end], np.uint32))
+                for k, ids in zip(some.column(0).to_pylist(), words.encode([t or "" for t in some.column(1).to_pylist()], (end,)), strict=True):
+                    held.append(ids)
                     keys.append(k)
-                    counts.append(len(ids) + 1)
-                    size += len(ids) + 1
+                    counts.append(len(ids))
+                    size += len(ids)
                     if size >= FILE_IDS:
                         yield flush()
         if keys:
@@ -222,7 +251,7 @@ def read_back(files: DataFrame) -> DataFrame:
                 marks = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts + base), pa.array(counts), pa.array(marks, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"])
 
-    spread = based.select("uri", "base").repartition(F.col("uri"))
+    spread = based.select("uri", "base").repartition(max(1, min(files.count(), READ_TASKS)), "uri")
     return spread.mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
 
 

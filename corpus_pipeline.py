@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringeframe.llm import bpe, mixing, pii, simhash, toxicity
+from fringeframe.llm import bpe, jaccard, mixing, pii, toxicity
 from fringeframe.llm.common import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -20,9 +20,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one whose id names the component. Rows without an id stay.
 
-    The rule for pipeline stages holds: shingles of five words, links at the operator's radius of bits.
+    The rule for pipeline stages holds: links are pairs whose sets of five-word shingles have a Jaccard similarity of
+    0.8 or more. No radius of fingerprint bits finds them (README), so MinHash bands propose and whole sets confirm.
     """
-    found = simhash.dedup(docs, width=5)
+    found = jaccard.dedup(docs, width=5)
     return found.where("component_id is null or doc_id = component_id").select(*docs.columns)
 
 

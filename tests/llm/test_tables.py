@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from fringeframe.llm import embeddings, mixing, sharding, simhash
+from fringeframe.llm import embeddings, jaccard, mixing, sharding, simhash
 from fringeframe.llm.components import connected_components
 from tests.llm.conftest import ROWS
 
@@ -200,6 +200,53 @@ def test_embeddings_of_an_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def shingle_set(text, width=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def alike(a, b):
+    return a == b or (bool(a and b) and 5 * len(a & b) >= 4 * len(a | b))
+
+
+def edited_copies():
+    """(doc_id, text): texts of 60 to 500 words, each with copies of one to some edited words, and unrelated ones."""
+    draw, rows = random.Random(9), []
+    for k in range(60):
+        words = [f"w{draw.randrange(5000)}" for _ in range(draw.choice([60, 100, 200, 500]))]
+        rows.append((10 * k, " ".join(words)))
+        for c in range(1, draw.randint(2, 6)):
+            own = list(words)
+            for _ in range(draw.randint(1, max(1, len(own) // 60))):
+                own[draw.randrange(len(own))] = f"e{draw.randrange(10**6)}"
+            rows.append((10 * k + c, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("part", [jaccard.PART_ROWS, 2])
+def test_pipeline_drops_edited_copies_like_all_pairs(spark, monkeypatch, part):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(jaccard, "PART_ROWS", part)
+    rows = edited_copies()
+    sets = {k: shingle_set(t) for k, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])]
+    far = sum((simhash.fingerprint(dict(rows)[a], 5) ^ simhash.fingerprint(dict(rows)[b], 5)).bit_count() > 4 for a, b in pairs)
+    assert far > 20
+    want = grouped(list(sets), pairs)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in jaccard.dedup(docs).collect()} == want
+    assert sorted(r.doc_id for r in pipeline.drop_copies(spark, docs, "").collect()) == sorted(k for k in want if want[k] == k)
+
+
+def test_jaccard_of_odd_rows(spark, docs, empty):
+    rows = jaccard.dedup(docs.selectExpr("*", "'c' as Component_ID")).collect()
+    assert len(rows) == len(ROWS)
+    sets = {r[0]: shingle_set(r[1]) for r in ROWS if r[0] is not None}
+    want = grouped(list(sets), [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])])
+    assert all(r.component_id == want.get(r.doc_id) for r in rows)
+    assert jaccard.dedup(empty).count() == 0
+
+
 def test_pipeline_equals_plain_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     from fringeframe.llm import pii, toxicity

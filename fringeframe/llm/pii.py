@@ -25,20 +25,37 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9]){11,}+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?= ?[A-Z0-9])")
+#: Characters of an IBAN by country: those of the registry, and those in use without being in it.
+IBAN_LENGTHS = {
+    country: int(n)
+    for n, countries in (
+        line.split(":")
+        for line in """15:NO 16:BE 18:DK,FI,FO,GL,NL,SD,FK 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK,MN 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA
+        23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:AO,CV,GW,LY,MZ,PT,ST 26:IR,IS,TR,DZ 27:BI,CF,CG,CM,DJ,FR,GA,GQ,GR,IT,KM,MC,MG,MR,SM,TD
+        28:AL,AZ,BF,BJ,BY,CI,CY,DO,GT,HN,HU,LB,MA,ML,NE,NI,PL,SN,SV,TG 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU""".split()
+    )
+    for country in countries.split(",")
+}
+#: What follows the first four characters of an IBAN of a length, in any grouping by single spaces.
+IBAN_REST = {n: re.compile(rf"(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in set(IBAN_LENGTHS.values())}
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 SECRET = re.compile(r"""(?i:\b(?:token|secret|password|passwd|api_?key|access_?key)\b)["']?\s{0,3}[:=]\s{0,3}["']?([A-Za-z0-9_/+=.-]{12,}+)""")
 
-#: Words that make a kind likelier within NEAR characters before a span, and those that make it less likely.
+#: Words that make a kind likelier within NEAR characters before a span, and those that make it less likely. A plural s is allowed.
 CONTEXT = {
-    "email": (("mail", "contact", "write", "reach"), ("example",)),
-    "ip": (("ip", "host", "server", "address"), ("version", "section", "chapter")),
+    "email": (("mail", "email", "mailto", "contact", "write", "reach"), ("example",)),
+    "ip": (("ip", "ipv4", "host", "hostname", "server", "address", "addresse"), ("version", "section", "chapter")),
     "card": (("card", "visa", "credit", "payment", "cc"), ("order", "isbn", "tracking")),
-    "phone": (("phone", "call", "tel", "mobile", "fax"), ("order", "id")),
+    "phone": (("phone", "telephone", "call", "tel", "mobile", "fax"), ("order", "id")),
     "iban": (("iban", "account", "bank", "transfer"), ()),
     "ssn": (("ssn", "social", "security"), ("part", "model")),
     "secret": (("token", "secret", "key", "password"), ("sample",)),
 }
+#: The same as patterns of whole words; an underscore parts words.
+WHOLE = {
+    kind: tuple(re.compile(rf"(?<![a-z0-9])(?:{'|'.join(words)})s?(?![a-z0-9])", re.ASCII | re.IGNORECASE) if words else None for words in both) for kind, both in CONTEXT.items()
+}
 NEAR = 40
 #: Score of a confirmed span before its context: a checksum says more than a shape.
 PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.5, "secret": 0.7}
@@ -84,6 +101,16 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, free))
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Places of as many characters as the country's IBANs have and that mod-97 confirms, whatever stands behind."""
+    free = 0
+    for m in IBAN.finditer(text):
+        rest = IBAN_REST[IBAN_LENGTHS[m[1]]].match(text, m.end()) if m[1] in IBAN_LENGTHS and m.start() >= free else None
+        if rest and mod97(text[m.start() : rest.end()].replace(" ", "")):
+            free = rest.end()
+            yield m.start(), free
+
+
 def proposals(text: str) -> Iterator[tuple[str, int, int]]:
     for start, end in emails(text):
         yield "email", start, end
@@ -97,9 +124,8 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
         for m in PHONE.finditer(text):
             if 9 <= len(digits_of(m[0])) <= 15:
                 yield "phone", *m.span()
-    for m in IBAN.finditer(text):
-        if 15 <= len(x := m[0].replace(" ", "")) <= 34 and mod97(x):
-            yield "iban", *m.span()
+    for start, end in ibans(text):
+        yield "iban", start, end
     for m in SSN.finditer(text):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
             yield "ssn", *m.span()
@@ -107,13 +133,26 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
         yield "secret", *m.span(1)
 
 
+def context(text: str, kind: str, start: int, last: int) -> float:
+    """What the whole words before a span add to its score: a good word outweighs a bad one.
+
+    Words since the last span of the kind count first; where there are none, all within NEAR characters do, so that
+    the items of a list share their heading.
+    """
+    near = max(0, start - NEAR)
+    for at in (max(near, last), near):
+        good, bad = (p is not None and p.search(text, at, start) is not None for p in WHOLE[kind])
+        if good or bad:
+            return 0.15 if good else -0.3
+    return 0.0
+
+
 def find(text: str | None) -> list[Span]:
     """All spans of a whole text by start, then kind; offsets count code points, the end is exclusive."""
-    out = []
+    out, last = [], dict.fromkeys(KINDS, 0)
     for kind, start, end in proposals(text or ""):
-        before = text[max(0, start - NEAR) : start].lower()
-        good, bad = CONTEXT[kind]
-        score = PRIOR[kind] + 0.15 * any(w in before for w in good) - 0.3 * any(w in before for w in bad)
+        score = PRIOR[kind] + context(text, kind, start, last[kind])
+        last[kind] = end
         if kind in BASE or score >= 0.5:
             out.append(Span(kind, start, end, round(min(1.0, max(0.0, score)), 2)))
     return sorted(out, key=lambda s: (s.start, KINDS.index(s.kind)))

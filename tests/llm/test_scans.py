@@ -54,6 +54,38 @@ def test_pii_checks_and_context():
     assert pii.mask("a b@c.de f", pii.find("a b@c.de f")) == "a <EMAIL> f"
 
 
+@pytest.mark.parametrize("iban", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606", "NO93 8601 1117 947", "NL91ABNA0417164300", "MT84MALT011000012345MTLCAST001S"])
+@pytest.mark.parametrize("after", ["", " The bank", " 2024-01-01", " EUR 50", " BIC COBADEFF", "\nDE", ", x", "."])
+def test_pii_ibans_whatever_follows(iban, after):
+    text = f"IBAN {iban}{after}"
+    assert [(s.start, s.end) for s in pii.find(text) if s.kind == "iban"] == [(5, 5 + len(iban))]
+    assert "<IBAN>" + after in pii.mask(text, [s for s in pii.find(text) if s.kind == "iban"])
+    assert not [s for s in pii.find(f"IBAN {iban[:-1]}{'0' if iban[-1] != '0' else '1'}{after}") if s.kind == "iban"]
+
+
+def test_pii_two_ibans_in_a_row():
+    assert [(s.kind, s.start) for s in pii.find("DE89370400440532013000 GB82WEST12345698765432 X") if s.kind == "iban"] == [("iban", 0), ("iban", 23)]
+
+
+@pytest.mark.parametrize(
+    ("text", "kept"),
+    [
+        ("SSN of the department head: 123-45-6789", 1),
+        ("the party gave 123-45-6789", 1),
+        ("in particular 123-45-6789", 1),
+        ("remodelled 123-45-6789", 1),
+        ("part of the file, SSN 123-45-6789", 1),
+        ("the counterpart" + "." * 36 + "123-45-6789", 1),
+        ("part 123-45-6789", 0),
+        ("Models: 123-45-6789, 123-45-6780", 0),
+        ("SSNs of model citizens: 123-45-6789, 123-45-6780", 2),
+        ("ssn 123-45-6789; part 123-45-6789", 1),
+    ],
+)
+def test_pii_context_is_whole_words(text, kept):
+    assert [s.kind for s in pii.find(text)] == ["ssn"] * kept
+
+
 def test_pii_query_columns(docs, empty):
     rows = [r for r in pii.scan(docs).collect()]
     assert len(rows) == docs.count()

@@ -18,13 +18,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one whose id names the component. Rows without an id stay.
+    """One row of each near-duplicate group stays, by smallest id, then by a hash of its text.
 
     The rule for pipeline stages holds: links are pairs whose sets of five-word shingles have a Jaccard similarity of
     0.8 or more. No radius of fingerprint bits finds them (README), so MinHash bands propose and whole sets confirm.
     """
-    found = jaccard.dedup(docs, width=5)
-    return found.where("component_id is null or doc_id = component_id").select(*docs.columns)
+    return jaccard.survivors(docs, width=5)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -198,3 +198,17 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5
     one = known.join(least, "component").groupBy("doc").agg(F.min(name).alias(name))
     joined = df.join(one, F.col(f"`{key}`").cast("long") == F.col("doc"), "left")
     return attach(joined, {"component_id": F.col(name)}).drop("doc", name)
+
+
+def survivors(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5) -> DataFrame:
+    """One row of ``df`` for each group of near copies: that of the smallest key, then of the smallest hash of its text.
+
+    Groups are of texts, so a key that repeats with other texts neither joins groups nor loses one. Rows without a key
+    come after those with one. Rows of equal key and text are folded to the least before they are dealt.
+    """
+    doc, row = F.col(f"`{key}`").cast("long"), F.struct(*(f"`{c}`" for c in df.columns))
+    name = ("absent", "doc", "words")
+    first = F.min(F.struct(F.col("doc").isNull().alias("absent"), F.coalesce("doc", F.lit(0)).alias("doc"), "words")).alias("first")
+    kept = cut(classes(df, text, key, width).groupBy("component").agg(first).select("first.*"))
+    rows = df.select(doc.isNull().alias("absent"), F.coalesce(doc, F.lit(0)).alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("words"), row.alias("row"))
+    return rows.groupBy(*name).agg(F.min("row").alias("row")).join(kept, list(name)).select("row.*")

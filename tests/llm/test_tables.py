@@ -247,6 +247,15 @@ def test_jaccard_of_odd_rows(spark, docs, empty):
     assert jaccard.dedup(empty).count() == 0
 
 
+def test_pipeline_keeps_one_row_of_each_text_group(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(1, a), (5, a), (5, b), (7, b), (None, c), (None, c), (9, d), (9, d), (None, d), (3, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = [(r.doc_id, r.text) for r in pipeline.drop_copies(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (5, b), (None, c), (9, d), (2, "")], key=str)
+
+
 def test_pipeline_equals_plain_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     from fringeframe.llm import pii, toxicity

@@ -53,6 +53,61 @@ FAMILIES = (
     ("cc-by-nc-nd", "creative commons", r"creative commons attribution non ?commercial no ?deriv\w*(?: [1-4] 0)?"),
     ("ofl-1.1", "open font", r"sil open font"),
 )
+#: Short names of licenses whose families above have long ones: label, keyword, words.
+SHORT = (
+    ("gpl-2-or-later", "gpl", r"(?:gnu )?gpl(?: version)? ?v?2(?: 0)? or(?: any)? later"),
+    ("gpl-3-or-later", "gpl", r"(?:gnu )?gpl(?: version)? ?v?3(?: 0)? or(?: any)? later"),
+    ("gpl-2", "gpl", r"(?:gnu )?gpl(?: version)? ?v?2(?: 0)?(?: only)?"),
+    ("gpl-3", "gpl", r"(?:gnu )?gpl(?: version)? ?v?3(?: 0)?(?: only)?"),
+    ("lgpl-2.1-or-later", "lgpl", r"(?:gnu )?lgpl(?: version)? ?v?2 1 or(?: any)? later"),
+    ("lgpl-3-or-later", "lgpl", r"(?:gnu )?lgpl(?: version)? ?v?3(?: 0)? or(?: any)? later"),
+    ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl(?: version)? ?v?2 1(?: only)?"),
+    ("lgpl-2", "lgpl", r"(?:gnu )?lgpl(?: version)? ?v?2(?: 0)?(?: only)?"),
+    ("lgpl-3", "lgpl", r"(?:gnu )?lgpl(?: version)? ?v?3(?: 0)?(?: only)?"),
+    ("agpl-3-or-later", "agpl", r"(?:gnu )?agpl(?: version)? ?v?3(?: 0)? or(?: any)? later"),
+    ("agpl-3", "agpl", r"(?:gnu )?agpl(?: version)? ?v?3(?: 0)?(?: only)?"),
+    ("mpl-1.1", "mpl", r"mpl(?: version)? ?v?1 1"),
+    ("mpl-2", "mpl", r"mpl(?: version)? ?v?2(?: 0)?"),
+    ("epl-1", "epl", r"epl(?: version)? ?v?1(?: 0)?"),
+    ("epl-2", "epl", r"epl(?: version)? ?v?2(?: 0)?"),
+    ("cddl-1", "cddl", r"cddl(?: version)? ?v?1(?: [01])?"),
+    ("boost-1", "bsl", r"bsl 1 0"),
+    ("eupl-1.2", "eupl", r"eupl(?: version)? ?v?1 2"),
+    ("ofl-1.1", "ofl", r"ofl(?: version)? ?v?1 1"),
+)
+#: Names that stand for a license without a version.
+VERSIONLESS = (
+    ("gpl", "gpl", r"(?:gnu )?gpl"),
+    ("lgpl", "lgpl", r"(?:gnu )?lgpl"),
+    ("agpl", "agpl", r"(?:gnu )?agpl"),
+    ("gpl", "gnu general public", r"gnu general public licen[sc]e"),
+    ("lgpl", "gnu lesser general", r"gnu lesser general public licen[sc]e"),
+    ("agpl", "gnu affero general", r"gnu affero general public licen[sc]e"),
+    ("mpl", "mozilla public", r"mozilla public licen[sc]e"),
+    ("epl", "eclipse public", r"eclipse public licen[sc]e"),
+    ("bsd", "bsd", r"bsd(?: style)? licen[sc]ed?"),
+)
+#: Headings and bare names of a license, without a frame.
+HEADINGS = (
+    ("mit", "mit", r"(?:mit|expat) licen[sc]e"),
+    ("isc", "isc", r"isc licen[sc]e"),
+    ("zlib", "zlib", r"zlib licen[sc]e"),
+    ("apache-2", "apache", r"apache(?: software)? licen[sc]e(?: version)? ?v?2(?: 0)?"),
+    ("apache", "apache", r"apache(?: software)? licen[sc]e"),
+    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: licen[sc]e)?"),
+    ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)(?: licen[sc]e)?"),
+    ("boost-1", "boost software", r"boost software licen[sc]e"),
+    ("ofl-1.1", "sil open font", r"sil open font licen[sc]e"),
+    ("gpl-2", "gnu general public", r"gnu general public licen[sc]e(?: version)? ?v?2(?: 0)?"),
+    ("gpl-3", "gnu general public", r"gnu general public licen[sc]e(?: version)? ?v?3(?: 0)?"),
+    ("lgpl-2.1", "gnu lesser general", r"gnu lesser general public licen[sc]e(?: version)? ?v?2 1"),
+    ("lgpl-3", "gnu lesser general", r"gnu lesser general public licen[sc]e(?: version)? ?v?3(?: 0)?"),
+    ("agpl-3", "gnu affero general", r"gnu affero general public licen[sc]e(?: version)? ?v?3(?: 0)?"),
+    ("mpl-2", "mozilla public", r"mozilla public licen[sc]e(?: version)? ?v?2(?: 0)?"),
+    ("epl-2", "eclipse public", r"eclipse public licen[sc]e(?: version)? ?v?2(?: 0)?"),
+)
+#: Families whose name is no SPDX identifier: SHORT and TAGS have those.
+LONG_NAMES = ("general public", "lesser general", "affero", "mozilla", "eclipse", "common development", "european union", "creative commons", "open font", "boost")
 #: How a text refers to a family, with the weight of such a reference; {} is the family's name.
 FRAMES = (
     (r"spdx license identifier {}", 0.98),
@@ -99,13 +154,18 @@ def _compiled(words: str) -> re.Pattern[bytes]:
 
 @cache
 def rules() -> tuple[Rule, ...]:
-    """The rules in order: fixed phrases, families in each frame, clauses, tags."""
+    """The rules in order: fixed phrases, families and short names in each frame, clauses, tags, bare names, versionless ones."""
     out = [Rule(0, label, phrase.encode(), _compiled(re.escape(phrase).replace("\\ ", " ")), 1.0, True) for phrase, label in BASE]
     longest = sorted(FAMILIES, key=lambda f: -len(f[2]))
+    tags = sorted(TAGS, key=lambda t: -len(t[0]))
+    spdx = [*SHORT, *((label, "spdx", rf"{tag}(?: [1-4] [05])?") for tag, label in tags)]
     for frame, score in FRAMES:
-        out += [Rule(len(out), label, keyword.encode(), _compiled(frame.format(f"(?:{name})")), score) for label, keyword, name in longest]
+        named = [*spdx, *(f for f in longest if f[1] not in LONG_NAMES)] if frame.startswith("spdx") else [*longest, *SHORT]
+        out += [Rule(len(out) + i, label, keyword.encode(), _compiled(frame.format(f"(?:{name})")), score) for i, (label, keyword, name) in enumerate(named)]
     out += [Rule(len(out) + i, label, keyword.encode(), _compiled(pattern), 0.9) for i, (label, keyword, pattern) in enumerate(CLAUSES)]
-    out += [Rule(len(out) + i, label, tag.encode(), _compiled(tag), 0.8) for i, (tag, label) in enumerate(sorted(TAGS, key=lambda t: -len(t[0])))]
+    out += [Rule(len(out) + i, label, tag.encode(), _compiled(tag), 0.8) for i, (tag, label) in enumerate(tags)]
+    out += [Rule(len(out) + i, label, keyword.encode(), _compiled(pattern), 0.7) for i, (label, keyword, pattern) in enumerate([*SHORT, *sorted(HEADINGS, key=lambda h: -len(h[2]))])]
+    out += [Rule(len(out) + i, label, keyword.encode(), _compiled(pattern), 0.6) for i, (label, keyword, pattern) in enumerate(VERSIONLESS)]
     return tuple(out)
 
 

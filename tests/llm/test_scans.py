@@ -123,6 +123,30 @@ def test_license_rules_are_ordered_and_suppress():
     assert nc == ["cc-by-nc-sa"]
 
 
+IDENTIFIERS = {
+    "GPL-2.0-only": "gpl-2", "GPL-2.0-or-later": "gpl-2-or-later", "GPL-3.0-only": "gpl-3", "GPL-3.0-or-later": "gpl-3-or-later", "LGPL-2.0": "lgpl-2", "LGPL-2.1": "lgpl-2.1", "LGPL-2.1-or-later": "lgpl-2.1-or-later",
+    "LGPL-3.0-only": "lgpl-3", "LGPL-3.0-or-later": "lgpl-3-or-later", "AGPL-3.0": "agpl-3", "AGPL-3.0-or-later": "agpl-3-or-later", "MPL-1.1": "mpl-1.1", "MPL-2.0": "mpl-2", "EPL-1.0": "epl-1", "EPL-2.0": "epl-2",
+    "CDDL-1.0": "cddl-1", "BSL-1.0": "boost-1", "EUPL-1.2": "eupl-1.2", "OFL-1.1": "ofl-1.1", "MIT": "mit", "Apache-2.0": "apache-2", "BSD-3-Clause": "bsd-3-clause", "ISC": "isc", "CC-BY-4.0": "cc-by", "CC-BY-SA-4.0": "cc-by-sa",
+}
+NAMES = {
+    "GPLv2": "gpl-2", "GPLv3": "gpl-3", "GPL 3": "gpl-3", "GPL v3 or later": "gpl-3-or-later", "LGPL": "lgpl", "AGPL": "agpl", "GNU GPL": "gpl", "MPL 2.0": "mpl-2", "EPL 2.0": "epl-2", "BSD License": "bsd", "MIT License": "mit",
+    "ISC License": "isc", "zlib license": "zlib", "Apache License, v2.0": "apache-2", "Apache License": "apache", "2-Clause BSD": "bsd-2-clause", "New BSD License": "bsd-3-clause", "Boost Software License": "boost-1",
+    "SIL Open Font License": "ofl-1.1", "GNU General Public License": "gpl", "GNU General Public License v2": "gpl-2", "GNU General Public License, version 3": "gpl-3", "GNU Lesser General Public License": "lgpl",
+    "GNU Lesser General Public License v2.1": "lgpl-2.1", "GNU Lesser General Public License v3": "lgpl-3", "GNU Affero General Public License": "agpl", "GNU Affero General Public License v3": "agpl-3",
+    "Mozilla Public License": "mpl", "Mozilla Public License 2.0": "mpl-2", "Eclipse Public License": "epl", "Eclipse Public License 2.0": "epl-2",
+}
+
+
+@pytest.mark.parametrize("name", IDENTIFIERS)
+def test_license_identifiers(name):
+    assert {d.label for d in licenses.detect(f"// SPDX-License-Identifier: {name}\nint x;")[1]} == {IDENTIFIERS[name]}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_license_short_names_and_headings(name):
+    assert {d.label for d in licenses.detect(f"{name}\n\nCopyright")[1]} == {NAMES[name]}
+
+
 def test_license_scan_handles_odd_rows(docs, empty):
     for r in licenses.scan(docs).collect():
         n, places = license_places(r.text or "")

@@ -7,11 +7,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fringeframe.llm import license_rules
 from fringeframe.llm.common import attach
 
 #: Phrases and labels that the contract fixes.
@@ -20,123 +22,11 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 #: Bytes of a word: digits, letters and everything beyond ASCII; other bytes part words.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-#: label, keyword that must occur, the names it goes by (a regex over words parted by single spaces).
-FAMILIES = (
-    ("mit", "mit", r"(?:x11 )?mit"),
-    ("mit-0", "mit", r"mit (?:no attribution|0)"),
-    ("apache-2", "apache", r"apache(?: software)?(?: license)?(?: version)? 2(?: 0)?"),
-    ("apache-1.1", "apache", r"apache(?: software)?(?: license)?(?: version)? 1 1"),
-    ("bsd-2-clause", "bsd", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)"),
-    ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)"),
-    ("bsd-4-clause", "bsd", r"(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)"),
-    ("isc", "isc", r"isc"),
-    ("zlib", "zlib", r"zlib(?: libpng)?"),
-    ("boost-1", "boost", r"boost software"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl"),
-    ("gpl-2", "general public", r"gnu general public(?: license)?(?: version)? 2"),
-    ("gpl-3", "general public", r"gnu general public(?: license)?(?: version)? 3"),
-    ("lgpl-2.1", "lesser general", r"gnu lesser general public(?: license)?(?: version)? 2 1"),
-    ("lgpl-3", "lesser general", r"gnu lesser general public(?: license)?(?: version)? 3"),
-    ("agpl-3", "affero", r"gnu affero general public(?: license)?(?: version)? 3"),
-    ("mpl-2", "mozilla", r"mozilla public(?: license)?(?: version)? 2(?: 0)?"),
-    ("epl-2", "eclipse", r"eclipse public(?: license)?(?: version)? 2(?: 0)?"),
-    ("cddl-1", "common development", r"common development and distribution"),
-    ("artistic-2", "artistic", r"artistic(?: license)?(?: version)? 2(?: 0)?"),
-    ("eupl-1.2", "european union", r"european union public(?: licence| license)?(?: version)?(?: 1 2)?"),
-    ("cc0-1", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by", "creative commons", r"creative commons attribution(?: [1-4] 0)?"),
-    ("cc-by-sa", "creative commons", r"creative commons attribution share ?alike(?: [1-4] 0)?"),
-    ("cc-by-nc", "creative commons", r"creative commons attribution non ?commercial(?: [1-4] 0)?"),
-    ("cc-by-nd", "creative commons", r"creative commons attribution no ?deriv\w*(?: [1-4] 0)?"),
-    ("cc-by-nc-sa", "creative commons", r"creative commons attribution non ?commercial share ?alike(?: [1-4] 0)?"),
-    ("cc-by-nc-nd", "creative commons", r"creative commons attribution non ?commercial no ?deriv\w*(?: [1-4] 0)?"),
-    ("ofl-1.1", "open font", r"sil open font"),
-)
-#: Short names of licenses whose families above have long ones: label, keyword, words.
-SHORT = (
-    ("gpl-2-or-later", "gpl", r"(?:gnu )?gpl(?: version)? ?v?2(?: 0)? or(?: any)? later"),
-    ("gpl-3-or-later", "gpl", r"(?:gnu )?gpl(?: version)? ?v?3(?: 0)? or(?: any)? later"),
-    ("gpl-2", "gpl", r"(?:gnu )?gpl(?: version)? ?v?2(?: 0)?(?: only)?"),
-    ("gpl-3", "gpl", r"(?:gnu )?gpl(?: version)? ?v?3(?: 0)?(?: only)?"),
-    ("lgpl-2.1-or-later", "lgpl", r"(?:gnu )?lgpl(?: version)? ?v?2 1 or(?: any)? later"),
-    ("lgpl-3-or-later", "lgpl", r"(?:gnu )?lgpl(?: version)? ?v?3(?: 0)? or(?: any)? later"),
-    ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl(?: version)? ?v?2 1(?: only)?"),
-    ("lgpl-2", "lgpl", r"(?:gnu )?lgpl(?: version)? ?v?2(?: 0)?(?: only)?"),
-    ("lgpl-3", "lgpl", r"(?:gnu )?lgpl(?: version)? ?v?3(?: 0)?(?: only)?"),
-    ("agpl-3-or-later", "agpl", r"(?:gnu )?agpl(?: version)? ?v?3(?: 0)? or(?: any)? later"),
-    ("agpl-3", "agpl", r"(?:gnu )?agpl(?: version)? ?v?3(?: 0)?(?: only)?"),
-    ("mpl-1.1", "mpl", r"mpl(?: version)? ?v?1 1"),
-    ("mpl-2", "mpl", r"mpl(?: version)? ?v?2(?: 0)?"),
-    ("epl-1", "epl", r"epl(?: version)? ?v?1(?: 0)?"),
-    ("epl-2", "epl", r"epl(?: version)? ?v?2(?: 0)?"),
-    ("cddl-1", "cddl", r"cddl(?: version)? ?v?1(?: [01])?"),
-    ("boost-1", "bsl", r"bsl 1 0"),
-    ("eupl-1.2", "eupl", r"eupl(?: version)? ?v?1 2"),
-    ("ofl-1.1", "ofl", r"ofl(?: version)? ?v?1 1"),
-)
-#: Names that stand for a license without a version.
-VERSIONLESS = (
-    ("gpl", "gpl", r"(?:gnu )?gpl"),
-    ("lgpl", "lgpl", r"(?:gnu )?lgpl"),
-    ("agpl", "agpl", r"(?:gnu )?agpl"),
-    ("gpl", "gnu general public", r"gnu general public licen[sc]e"),
-    ("lgpl", "gnu lesser general", r"gnu lesser general public licen[sc]e"),
-    ("agpl", "gnu affero general", r"gnu affero general public licen[sc]e"),
-    ("mpl", "mozilla public", r"mozilla public licen[sc]e"),
-    ("epl", "eclipse public", r"eclipse public licen[sc]e"),
-    ("bsd", "bsd", r"bsd(?: style)? licen[sc]ed?"),
-)
-#: Headings and bare names of a license, without a frame.
-HEADINGS = (
-    ("mit", "mit", r"(?:mit|expat) licen[sc]e"),
-    ("isc", "isc", r"isc licen[sc]e"),
-    ("zlib", "zlib", r"zlib licen[sc]e"),
-    ("apache-2", "apache", r"apache(?: software)? licen[sc]e(?: version)? ?v?2(?: 0)?"),
-    ("apache", "apache", r"apache(?: software)? licen[sc]e"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: licen[sc]e)?"),
-    ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)(?: licen[sc]e)?"),
-    ("boost-1", "boost software", r"boost software licen[sc]e"),
-    ("ofl-1.1", "sil open font", r"sil open font licen[sc]e"),
-    ("gpl-2", "gnu general public", r"gnu general public licen[sc]e(?: version)? ?v?2(?: 0)?"),
-    ("gpl-3", "gnu general public", r"gnu general public licen[sc]e(?: version)? ?v?3(?: 0)?"),
-    ("lgpl-2.1", "gnu lesser general", r"gnu lesser general public licen[sc]e(?: version)? ?v?2 1"),
-    ("lgpl-3", "gnu lesser general", r"gnu lesser general public licen[sc]e(?: version)? ?v?3(?: 0)?"),
-    ("agpl-3", "gnu affero general", r"gnu affero general public licen[sc]e(?: version)? ?v?3(?: 0)?"),
-    ("mpl-2", "mozilla public", r"mozilla public licen[sc]e(?: version)? ?v?2(?: 0)?"),
-    ("epl-2", "eclipse public", r"eclipse public licen[sc]e(?: version)? ?v?2(?: 0)?"),
-)
-#: Families whose name is no SPDX identifier: SHORT and TAGS have those.
-LONG_NAMES = ("general public", "lesser general", "affero", "mozilla", "eclipse", "common development", "european union", "creative commons", "open font", "boost")
-#: How a text refers to a family, with the weight of such a reference; {} is the family's name.
-FRAMES = (
-    (r"spdx license identifier {}", 0.98),
-    (r"licensed under (?:the )?(?:terms of the )?{}(?: licen[sc]e)?", 0.95),
-    (r"(?:released|distributed|available|provided) under (?:the )?(?:terms of the )?{}(?: licen[sc]e)?", 0.95),
-    (r"under the terms of (?:the )?{}(?: licen[sc]e)?", 0.93),
-    (r"under (?:the |an? )?{} licen[sc]e", 0.9),
-    (r"subject to (?:the )?(?:terms of the )?{} licen[sc]e", 0.9),
-    (r"(?:see|read) (?:the )?{} licen[sc]e", 0.7),
-    (r"(?:dual|also) licensed (?:under|as) (?:the )?{}", 0.85),
-    (r"(?:use of this (?:source code|software|work) is governed by) (?:an? |the )?{}(?: style)?(?: licen[sc]e)?", 0.92),
-    (r"licen[sc]e (?:is )?{}", 0.75),
-)
-#: Short forms in machine-readable tags, each with its label.
-TAGS = tuple((f"cc {'by'}{''.join(f' {x}' for x in parts)}", "-".join(["cc", "by", *parts])) for parts in ((), ("sa",), ("nc",), ("nd",), ("nc", "sa"), ("nc", "nd")))
-#: Sentences that grant or deny by themselves.
-CLAUSES = (
-    ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "permission to use copy modify", r"permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd-3-clause", "neither the name", r"neither the name of .{0,80}? nor the names of its contributors"),
-    ("bsd-2-clause", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("gpl-2-or-later", "either version 2", r"either version 2 of the license or at your option any later version"),
-    ("gpl-3-or-later", "either version 3", r"either version 3 of the license or at your option any later version"),
-    ("public-domain", "public domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain"),
-    ("all-rights-reserved", "all rights reserved", r"all rights reserved"),
-)
+#: Score of a detection that a negation precedes.
+NEGATED = 0.1
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, order=True)
 class Rule:
     """priority: smaller wins; fixed: never suppressed."""
 
@@ -149,23 +39,20 @@ class Rule:
 
 
 def _compiled(words: str) -> re.Pattern[bytes]:
-    return re.compile(rb"(?<= )" + words.encode() + rb"(?= )")
+    """A pattern of whole words; a closing ``!`` keeps it off a version."""
+    last = r"(?= )(?! (?:version |v ?)?[0-9])" if words.endswith("!") else "(?= )"
+    return re.compile(f"(?<= ){words.removesuffix('!')}{last}".encode())
 
 
 @cache
 def rules() -> tuple[Rule, ...]:
-    """The rules in order: fixed phrases, families and short names in each frame, clauses, tags, bare names, versionless ones."""
-    out = [Rule(0, label, phrase.encode(), _compiled(re.escape(phrase).replace("\\ ", " ")), 1.0, True) for phrase, label in BASE]
-    longest = sorted(FAMILIES, key=lambda f: -len(f[2]))
-    tags = sorted(TAGS, key=lambda t: -len(t[0]))
-    spdx = [*SHORT, *((label, "spdx", rf"{tag}(?: [1-4] [05])?") for tag, label in tags)]
-    for frame, score in FRAMES:
-        named = [*spdx, *(f for f in longest if f[1] not in LONG_NAMES)] if frame.startswith("spdx") else [*longest, *SHORT]
-        out += [Rule(len(out) + i, label, keyword.encode(), _compiled(frame.format(f"(?:{name})")), score) for i, (label, keyword, name) in enumerate(named)]
-    out += [Rule(len(out) + i, label, keyword.encode(), _compiled(pattern), 0.9) for i, (label, keyword, pattern) in enumerate(CLAUSES)]
-    out += [Rule(len(out) + i, label, tag.encode(), _compiled(tag), 0.8) for i, (tag, label) in enumerate(tags)]
-    out += [Rule(len(out) + i, label, keyword.encode(), _compiled(pattern), 0.7) for i, (label, keyword, pattern) in enumerate([*SHORT, *sorted(HEADINGS, key=lambda h: -len(h[2]))])]
-    out += [Rule(len(out) + i, label, keyword.encode(), _compiled(pattern), 0.6) for i, (label, keyword, pattern) in enumerate(VERSIONLESS)]
+    """The rules in order, each with a priority of its own: the fixed phrases, then the hand-written lines of ``license_rules``."""
+    out = [Rule(k, label, phrase.encode(), _compiled(phrase), 1.0, True) for k, (phrase, label) in enumerate(BASE)]
+    blocks = (license_rules.IDENTIFIERS, license_rules.NOTICES, license_rules.ADDRESSES, license_rules.COMMONS, license_rules.VERSIONS, license_rules.STATEMENTS)
+    for line in "".join(blocks).splitlines():
+        if line:
+            label, keyword, score, pattern = line.split(" | ", 3)
+            out.append(Rule(len(out), label, keyword.encode(), _compiled(pattern.replace("~", "licen[sc]e")), float(score)))
     return tuple(out)
 
 
@@ -174,6 +61,11 @@ def keywords() -> dict[bytes, tuple[Rule, ...]]:
     return {k: tuple(r for r in rules() if r.keyword == k) for k in dict.fromkeys(r.keyword for r in rules())}
 
 
+@cache
+def negations() -> re.Pattern[bytes]:
+    return _compiled(f"(?:{'|'.join(license_rules.NEGATIONS)})")
+
+
 @dataclass(frozen=True)
 class Detection:
     label: str
@@ -183,28 +75,53 @@ class Detection:
     fixed: bool
 
 
+def unsuppressed(found: list[tuple[Rule, np.ndarray]]) -> list[tuple[Rule, np.ndarray]]:
+    """Of (rule, rows of start and end) by priority, those that no kept span of an earlier rule holds; fixed ones all stay.
+
+    The kept spans are held by start with the farthest end so far, so a span is held if the farthest end of those that
+    start no later reaches its own: one search a span, however many there are.
+    """
+    starts = far = np.zeros(0, np.int64)
+    out = []
+    for rule, spans in found:
+        if not rule.fixed and len(starts):
+            at = np.searchsorted(starts, spans[:, 0], "right") - 1
+            spans = spans[(at < 0) | (far[at] < spans[:, 1])]
+        if len(spans):
+            out.append((rule, spans))
+            both, ends = np.concatenate([starts, spans[:, 0]]), np.concatenate([far, spans[:, 1]])
+            order = np.argsort(both, kind="stable")
+            starts, far = both[order], np.maximum.accumulate(ends[order])
+    return out
+
+
 def detect(text: str | None) -> tuple[int, list[Detection]]:
     """(number of words, detections) of a whole text; first and last count words from 0, last is inclusive.
 
     A rule runs only where its keyword occurs. A detection inside the span of one of higher priority goes, as does
-    a tie of equal span; fixed phrases always stay.
+    a tie of equal span; fixed phrases always stay. What a negation precedes goes too, and a fixed phrase then
+    scores NEGATED.
     """
     words = (text or "").encode("utf-8", "replace").translate(WORDS).split()
     line = b" " + b" ".join(words) + b" "
-    found = []
+    matched = []
     for keyword, own in keywords().items():
         if keyword in line:
-            for rule in own:
-                found += [(rule.priority, m.start(), m.end(), rule) for m in rule.pattern.finditer(line)]
-    kept: list[tuple[int, int, Rule]] = []
-    for _, start, end, rule in sorted(found, key=lambda f: (f[0], f[1], -f[2])):
-        if rule.fixed or not any(s <= start and end <= e for s, e, _ in kept):
-            kept.append((start, end, rule))
-    at, count, out = 0, -1, []
-    for start, end, rule in sorted(kept, key=lambda k: k[:2]):
+            matched += [(rule, spans) for rule in own if (spans := [m.span() for m in rule.pattern.finditer(line)])]
+    if not matched:
+        return len(words), []
+    kept = unsuppressed([(rule, np.array(spans, np.int64)) for rule, spans in sorted(matched, key=lambda f: f[0].priority)])
+    spans = sorted((start, end, rule) for rule, own in kept for start, end in own.tolist())
+    turned = [m.span() for m in negations().finditer(line)]
+    at, count, k, out = 0, -1, 0, []
+    for start, end, rule in spans:
         count += line.count(b" ", at, start)
         at = start
-        out.append(Detection(rule.label, count, count + line.count(b" ", start, end), rule.score, rule.fixed))
+        while k < len(turned) and turned[k][1] + 1 < start:
+            k += 1
+        negated = k < len(turned) and turned[k][0] <= start
+        if rule.fixed or not negated:
+            out.append(Detection(rule.label, count, count + line.count(b" ", start, end), NEGATED if negated else rule.score, rule.fixed))
     return len(words), out
 
 
@@ -215,8 +132,9 @@ ARROW = pa.struct([("n_words", pa.int64()), ("found", pa.list_(pa.struct([("labe
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with license_words (long) and license_found (label, first, last, score, fixed) of each whole text.
 
-    Null and empty texts have no word and no detection; each row is scanned alone. Result columns replace inputs of
-    their name.
+    Null and empty texts have no word and no detection; each row is scanned alone, so repeated rows agree; an empty
+    table gives an empty result. Very long texts are scanned whole, in time that grows with their length and
+    their number of detections. Result columns replace inputs of their name.
     """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

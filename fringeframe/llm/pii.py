@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +42,7 @@ IBAN_REST = {n: re.compile(rf"(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n i
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 SECRET = re.compile(r"""(?i:\b(?:token|secret|password|passwd|api_?key|access_?key)\b)["']?\s{0,3}[:=]\s{0,3}["']?([A-Za-z0-9_/+=.-]{12,}+)""")
 
-#: Words that make a kind likelier within NEAR characters before a span, and those that make it less likely. A plural s is allowed.
+#: Words that make a kind likelier near a span, and those that make it less likely. A plural s is allowed.
 CONTEXT = {
     "email": (("mail", "email", "mailto", "contact", "write", "reach"), ("example",)),
     "ip": (("ip", "ipv4", "host", "hostname", "server", "address", "addresse"), ("version", "section", "chapter")),
@@ -56,7 +56,11 @@ CONTEXT = {
 WHOLE = {
     kind: tuple(re.compile(rf"(?<![a-z0-9])(?:{'|'.join(words)})s?(?![a-z0-9])", re.ASCII | re.IGNORECASE) if words else None for words in both) for kind, both in CONTEXT.items()
 }
-NEAR = 40
+#: Characters before and behind a span whose words count; behind it, up to the end of its clause.
+NEAR, BEHIND = 40, 24
+CLAUSE = re.compile(r"[;\n]|[.!?](?=\s)|(?=[0-9@])")
+#: Spans of at least this score are masked, and spans of the method's own kinds reported.
+LEAST = 0.5
 #: Score of a confirmed span before its context: a checksum says more than a shape.
 PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.5, "secret": 0.7}
 
@@ -133,15 +137,17 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
         yield "secret", *m.span(1)
 
 
-def context(text: str, kind: str, start: int, last: int) -> float:
-    """What the whole words before a span add to its score: a good word outweighs a bad one.
+def context(text: str, kind: str, start: int, end: int, last: int) -> float:
+    """What the whole words near a span add to its score: a good word outweighs a bad one.
 
-    Words since the last span of the kind count first; where there are none, all within NEAR characters do, so that
-    the items of a list share their heading.
+    Words since the last span of the kind and those behind the span in its clause count first; where there are none,
+    all within NEAR characters before do, so that the items of a list share their heading.
     """
     near = max(0, start - NEAR)
-    for at in (max(near, last), near):
-        good, bad = (p is not None and p.search(text, at, start) is not None for p in WHOLE[kind])
+    stop = CLAUSE.search(text, end, end + BEHIND)
+    behind = stop.start() if stop else min(len(text), end + BEHIND)
+    for spans in (((max(near, last), start), (end, behind)), ((near, start),)):
+        good, bad = (p is not None and any(p.search(text, a, b) for a, b in spans) for p in WHOLE[kind])
         if good or bad:
             return 0.15 if good else -0.3
     return 0.0
@@ -151,17 +157,19 @@ def find(text: str | None) -> list[Span]:
     """All spans of a whole text by start, then kind; offsets count code points, the end is exclusive."""
     out, last = [], dict.fromkeys(KINDS, 0)
     for kind, start, end in proposals(text or ""):
-        score = PRIOR[kind] + context(text, kind, start, last[kind])
+        score = PRIOR[kind] + context(text, kind, start, end, last[kind])
         last[kind] = end
-        if kind in BASE or score >= 0.5:
+        if kind in BASE or score >= LEAST:
             out.append(Span(kind, start, end, round(min(1.0, max(0.0, score)), 2)))
     return sorted(out, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 
-def mask(text: str, spans: list[Span]) -> str:
-    """The text with each span's place taken by its kind; of overlapping spans one mark is left, the first's."""
+def mask(text: str, spans: list[Span], least: float = LEAST) -> str:
+    """The text with the place of each span of score ``least`` or more taken by its kind; of overlapping spans one mark is left, the first's."""
     parts, at = [], 0
     for s in spans:
+        if s.score < least:
+            continue
         if s.start >= at:
             parts += [text[at : s.start], f"<{s.kind.upper()}>"]
         at = max(at, s.end)
@@ -172,10 +180,12 @@ SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struct
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with pii_spans (kind, start, end, score) of the whole text and pii_masked, the text with spans replaced.
+    """``df`` with pii_spans (kind, start, end, score) of the whole text and pii_masked, the text with likely spans replaced.
 
-    Null texts have no span and stay null; each row is scanned alone, so repeated rows agree. Result columns replace
-    inputs of their name.
+    Base spans are all reported, whatever their score; ``mask`` leaves those below LEAST (an address after "version")
+    where they stand. Null texts have no span and stay null; empty texts stay empty; very long texts are scanned whole, in time that
+    grows with their length; each row is scanned alone, so repeated rows agree; an empty table gives an
+    empty result. Result columns replace inputs of their name.
     """
     kind = T.StructType([T.StructField("spans", SPAN), T.StructField("masked", T.StringType())])
 
@@ -192,7 +202,12 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     return attach(found, {"pii_spans": F.col("pii__.spans"), "pii_masked": F.coalesce(F.col("pii__.masked"), F.col(f"`{text}`"))}).drop("pii__")
 
 
-def digest(spans) -> str:
+def scores(spans) -> Column:
+    """The scores of an array of spans in their order, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.format_string("%.2f", s.score)), ",")
+
+
+def digest(spans) -> Column:
     """kind:start:end of an array column, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
 

@@ -40,7 +40,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("pii_spans", lambda s: s.kind.isin(*pii.BASE))
     counts = [F.size(F.expr(f"filter(pii_spans, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("pii_spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("pii_spans")).alias("spans"), pii.scores(F.col("pii_spans")).alias("scores"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,20 +13,20 @@ from pyspark.sql import types as T
 
 from fringeframe.llm.common import attach, cut
 
-#: n-gram lengths in bytes and the number of hash buckets they share.
-ORDERS, BUCKETS = (4, 5, 6, 7), 1 << 18
+#: n-gram lengths in characters and the number of hash buckets they share.
+ORDERS, BUCKETS = (3, 4, 5, 6), 1 << 18
 #: Labelled rows that a fit sees at most: a bounded sample, the rows of smallest hash.
 SAMPLE_ROWS = 6000
-#: Bytes of text whose n-grams are taken at a time.
+#: Characters of text whose n-grams are taken at a time.
 WINDOW = 1 << 20
 
 
 def features(text: str | None) -> np.ndarray:
-    """Sorted distinct bucket numbers of a whole text's n-grams (lower case, a space at either end)."""
-    a = np.frombuffer(f" {(text or '').lower()} ".encode("utf-8", "replace"), np.uint8)
+    """Sorted distinct bucket numbers of a whole text's n-grams of characters (lower case, a space at either end)."""
+    a = np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "replace"), np.uint32)
     seen = np.zeros(BUCKETS, bool)
     for start in range(0, len(a), WINDOW):
-        part = a[start : start + WINDOW + max(ORDERS) - 1].astype(np.uint32)
+        part = a[start : start + WINDOW + max(ORDERS) - 1]
         h = np.full(len(part), 0x811C9DC5, np.uint32)
         for n in range(1, max(ORDERS) + 1):
             if n > len(part):
@@ -124,7 +124,8 @@ def score(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id",
     """``df`` with held_out, score (0 to 1, higher: likelier toxic) and predicted (score >= ``threshold``).
 
     Nothing but the text enters the score; null and empty texts get the score of a text without n-grams. Each row is
-    scored alone, so repeated rows agree. Result columns replace inputs of their name.
+    scored alone, so repeated rows agree; very long texts are scored whole, a window of characters at a time; rows without a key are
+    not held out; an empty table gives an empty result. Result columns replace inputs of their name.
     """
     shared = df.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
 

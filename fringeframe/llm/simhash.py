@@ -210,21 +210,26 @@ def link_fingerprints(prints: DataFrame, node: str, fingerprint: str, radius: in
     return sorted_units.mapInArrow(unit_links(radius), "node long, other long")
 
 
+def printed(df: DataFrame, text: str, key: str, width: int) -> DataFrame:
+    """(doc, print) of every row, written down: its key and the 64 bits of its text."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array(np.array([fingerprint(v.as_py(), width) for v in batch], np.uint64).view(np.int64))
+
+    return cut(df.select(F.col(f"`{key}`").cast("long").alias("doc"), F.arrow_udf(run, T.LongType(), F.ArrowUDFType.SCALAR_ITER)(F.col(f"`{text}`")).alias("print")))
+
+
 def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4, radius: int = 4) -> DataFrame:
     """``df`` with simhash (long, the 64 bits) and component_id: the smallest key that links of ``radius`` bits reach.
 
     Equal fingerprints are one node from the start, so copies are never compared. Null and wordless texts have
     fingerprint 0 and are linked like any other. Rows without a key keep a null component of their own; rows that
-    repeat a key share its component. Keys are whole numbers. Result columns replace inputs of their name.
+    repeat a key share its component. Keys are whole numbers. Very long texts are hashed whole, a run of shingles at a time. Result
+    columns replace inputs of their name; an empty table gives an empty result.
     """
     bits = free_name(df, "simhash__")
-
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array(np.array([fingerprint(v.as_py(), width) for v in batch], np.uint64).view(np.int64))
-
-    known = df.select(F.col(f"`{key}`").cast("long").alias("doc"), F.arrow_udf(run, T.LongType(), F.ArrowUDFType.SCALAR_ITER)(F.col(f"`{text}`")).alias("print")).where("doc is not null")
-    known = cut(known)
+    known = printed(df, text, key, width).where("doc is not null")
     groups = classes(known, radius)
     reached = known.join(groups, "print").select("doc", F.col("print").alias(bits), F.col("component").alias("component__"))
     # A key whose rows differ in text ties their groups together only by name: the smallest component stands.
@@ -241,12 +246,12 @@ def classes(known: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def digests(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4, radius: int = 4) -> DataFrame:
-    """(key, fingerprint as 16 hex digits, component_id), one row for each row of ``df`` with a key."""
-
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array(np.array([fingerprint(v.as_py(), width) for v in batch], np.uint64).view(np.int64))
+    """(key, fingerprint as 16 hex digits, component_id), one row for each row of ``df``, by its own text.
 
-    known = cut(df.select(F.col(f"`{key}`").cast("long").alias("doc"), F.arrow_udf(run, T.LongType(), F.ArrowUDFType.SCALAR_ITER)(F.col(f"`{text}`")).alias("print")))
+    Rows without a key have a fingerprint and a null component, and tie nothing together; rows that repeat a key with
+    other texts have the fingerprint and the component of their text each.
+    """
+    known = printed(df, text, key, width)
     groups = classes(known.where("doc is not null"), radius)
-    return known.join(groups, "print", "left").select(F.col("doc").alias(key), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    component = F.when(F.col("doc").isNotNull(), F.col("component"))
+    return known.join(groups, "print", "left").select(F.col("doc").alias(key), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), component.alias("component_id"))

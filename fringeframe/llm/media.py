@@ -18,14 +18,22 @@ from pyspark.sql import types as T
 from fringeframe.llm.common import cut, shared_folder
 from fringeframe.llm.storage import opened, publish
 
-#: Samples in a row of the picture, bytes of a shard, and how much of a file the header-only read takes.
-WIDTH, SHARD_BYTES, HEADER = 64, 256 << 20, 33
+#: Samples in a row of the picture, bytes and members of a shard, and how much of a file the header-only read takes.
+WIDTH, SHARD_BYTES, SHARD_MEMBERS, HEADER = 64, 256 << 20, 1 << 18, 33
+#: Rows that leave a task at a time.
+ROWS = 1024
+#: What ``store`` and ``read`` add.
+STORED = (("media_bytes_unpadded", "long"), ("media_digest", "string"), ("media_uri", "string"), ("media_offset", "long"), ("media_length", "long"))
+READ = (("media_width", "integer"), ("media_height", "integer"), ("media_depth", "integer"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_sha256", "string"), ("media_feature", "string"))
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
 def payload(text: str | None) -> bytes:
     """UTF-8 bytes with zeros up to a positive multiple of WIDTH."""
-    raw = (text or "").encode("utf-8", "replace")
+    return padded((text or "").encode("utf-8", "replace"))
+
+
+def padded(raw: bytes) -> bytes:
     return raw + bytes(-len(raw) % WIDTH if raw else WIDTH)
 
 
@@ -74,72 +82,82 @@ def features(samples: bytes) -> str:
     return f"mean={mean:.4f};spread={spread:.4f};zero={counts[0] / len(a):.4f};quarters=" + "/".join(f"{x / len(a):.4f}" for x in counts.reshape(4, 64).sum(axis=1))
 
 
+class Shards:
+    """Tar shards that one task writes, one after the other; a member is named by its payload's digest and stored once in a shard."""
+
+    def __init__(self, folder: str, part: int):
+        self.folder, self.part, self.seq, self.open, self.placed = folder, part, 0, None, {}
+
+    def add(self, digest: str, data: bytes) -> tuple[str, int, int]:
+        """(URI, offset, length) of a payload's picture."""
+        if self.open is not None and (self.size >= SHARD_BYTES or len(self.placed) >= SHARD_MEMBERS) and digest not in self.placed:
+            self.close()
+        if self.open is None:
+            self.open = publish(self.folder, f"media-{self.part:06d}-{self.seq:04d}.tar")
+            (self.out, self.uri), self.placed, self.size = self.open.__enter__(), {}, 0
+            self.seq += 1
+        if digest not in self.placed:
+            media = to_png(data)
+            info = tarfile.TarInfo(f"{digest}.png")
+            info.size = len(media)
+            head, rest = info.tobuf(tarfile.PAX_FORMAT), bytes(-len(media) % 512)
+            self.out.write(head + media + rest)
+            self.placed[digest] = self.size + len(head), len(media)
+            self.size += len(head) + len(media) + len(rest)
+        return self.uri, *self.placed[digest]
+
+    def close(self) -> None:
+        """Close the tar file and give it its name."""
+        if self.open is not None:
+            self.out.write(bytes(1024))
+            self.open.__exit__(None, None, None)
+            self.open = None
+
+
 def store(df: DataFrame, folder: str | None = None, text: str = "text") -> DataFrame:
-    """``df`` with media_bytes_unpadded, media_digest, media_uri, media_offset, media_length; payloads are in tar shards in ``folder``.
+    """``df`` without its text and with the columns STORED; payloads are in tar shards in ``folder``.
 
     Each task writes shards of its own and gives them their names when they are whole; a member is named by its
-    payload's SHA-256 and stored once in a shard. No row moves between tasks. A task that runs again writes new
-    shards, and only rows of one attempt count. Null and empty texts are WIDTH zeros; an empty table writes no shard.
+    payload's SHA-256 and stored once in a shard, so repeated rows share it. No row moves between tasks, and a task
+    holds a batch of rows and the digests of one shard, SHARD_MEMBERS at most. A task that runs again writes
+    new shards, and only rows of one attempt count. Null and empty texts are WIDTH zeros; a very long text is
+    one member; an empty table writes no shard; result columns replace inputs of their name.
     """
     spark = df.sparkSession
     folder = folder or shared_folder(spark, "media")
-    names = [c for c in df.columns if c.lower() not in {"media_bytes_unpadded", "media_digest", "media_uri", "media_offset", "media_length"}]
-    source = df.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text}`").alias("media__text"))
-    keep = [c for c in names if c != text]
-    kept = source.select("media__text", *(F.col(f"`{c}`") for c in keep))
-    schema = kept.select(*(F.col(f"`{c}`") for c in keep)).schema
-    for name, kind in (("media_bytes_unpadded", "long"), ("media_digest", "string"), ("media_uri", "string"), ("media_offset", "long"), ("media_length", "long")):
+    taken = {name for name, _ in STORED} | {text.lower()}
+    kept = df.select(F.col(f"`{text}`").alias("media__text"), *(F.col(f"`{c}`") for c in df.columns if c.lower() not in taken))
+    schema = T.StructType(list(kept.schema.fields)[1:])
+    for name, kind in STORED:
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
-        pending: list[tuple] = []
-        rows = iter((batch, at) for batch in batches for at in range(batch.num_rows))
-        item = next(rows, None)
-        while item is not None:
-            placed: dict[str, tuple[int, int]] = {}
-            size = 0
-            pending = []
-            with publish(folder, f"media-{part:06d}-{seq:04d}.tar") as (out, uri):
-                while item is not None and size < SHARD_BYTES:
-                    batch, at = item
-                    value = batch.column(0)[at].as_py()
-                    data = payload(value)
+        shards = Shards(folder, TaskContext.get().partitionId())
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch, placed = whole.slice(at, ROWS), []
+                for value in batch.column(0):
+                    raw = (value.as_py() or "").encode("utf-8", "replace")
+                    data = padded(raw)
                     digest = hashlib.sha256(data).hexdigest()
-                    if digest not in placed:
-                        media = to_png(data)
-                        info = tarfile.TarInfo(f"{digest}.png")
-                        info.size = len(media)
-                        head = info.tobuf(tarfile.PAX_FORMAT)
-                        out.write(head)
-                        out.write(media)
-                        out.write(bytes(-len(media) % 512))
-                        placed[digest] = (size + len(head), len(media))
-                        size += len(head) + len(media) + -len(media) % 512
-                    pending.append((batch, at, len((value or "").encode("utf-8", "replace")), digest, *placed[digest]))
-                    item = next(rows, None)
-                out.write(bytes(1024))
-            start = 0
-            for stop in range(1, len(pending) + 1):  # rows of one batch leave together
-                if stop == len(pending) or pending[stop][0] is not pending[start][0]:
-                    own = pending[start:stop]
-                    batch = own[0][0].slice(own[0][1], len(own))
-                    yield pa.RecordBatch.from_arrays(
-                        [*batch.columns[1:], pa.array([r[2] for r in own], pa.int64()), pa.array([r[3] for r in own]), pa.array([uri] * len(own)), pa.array([r[4] for r in own], pa.int64()), pa.array([r[5] for r in own], pa.int64())], schema.names
-                    )
-                    start = stop
-            seq += 1
+                    placed.append((len(raw), digest, *shards.add(digest, data)))
+                kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array([r[c] for r in placed], kind) for c, kind in enumerate(kinds))], schema.names)
+        shards.close()
 
     return cut(kept.mapInArrow(run, schema))
 
 
 def read(stored: DataFrame) -> DataFrame:
-    """``stored`` with media_width, media_height, media_depth by header-only range reads, and payload_bytes, payload_sha256, tail_crc32, media_sha256, media_feature from whole ones.
+    """``stored`` with the columns READ: sizes by header-only range reads, the others from whole pictures.
 
     Rows are read where they stand, in the order of their shards; a copy costs no second read while it is the last one seen.
+    Result columns replace inputs of their name.
     """
+    taken = {name for name, _ in READ}
+    stored = stored.select(*(F.col(f"`{c}`") for c in stored.columns if c.lower() not in taken))
     schema = T.StructType(list(stored.schema.fields))
-    for name, kind in (("media_width", "integer"), ("media_height", "integer"), ("media_depth", "integer"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_sha256", "string"), ("media_feature", "string")):
+    for name, kind in READ:
         schema = schema.add(name, kind)
     uri_at, offset_at, length_at = (stored.columns.index(c) for c in ("media_uri", "media_offset", "media_length"))
 
@@ -166,5 +184,3 @@ def read(stored: DataFrame) -> DataFrame:
 def with_media(df: DataFrame, text: str = "text") -> DataFrame:
     """Store and read back: every row of ``df`` (without the text) with its media columns."""
     return read(store(df, text=text))
-
-

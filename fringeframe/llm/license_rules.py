@@ -268,7 +268,7 @@ mit | mit | 0.9 | under (?:the )?terms of the (?:mit|expat)(?: ~)?
 mit | mit | 0.88 | (?:mit|expat)(?: style| open source)? ~
 mit | mit | 0.85 | ~ (?:is )?mit
 mit | x11 | 0.75 | x11 ~
-apache | apache | 0.88 | (?:licensed|released|distributed|available|provided|published|offered) under (?:the )?(?:terms of the )?apache(?: software)?(?: ~)?!
+apache | apache | 0.88 | (?:licensed|released|distributed|available|provided|published|offered) under (?:the )?(?:terms of the )?apache(?: software)?(?: ~)?+!
 apache | apache | 0.8 | apache(?: software)? ~!
 apache-2 | asl | 0.7 | asl 2 0
 bsd-2-clause | bsd | 0.9 | (?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)(?: ~)?
@@ -286,17 +286,17 @@ ofl-1.1 | open font | 0.85 | sil open font ~
 unlicense | unlicense | 0.85 | (?:the|under|is) unlicense
 unlicense | unlicensed | 0.3 | unlicensed
 wtfpl | wtfpl | 0.85 | wtfpl(?: ~)?
-gpl | general public | 0.85 | (?:licensed|released|distributed|available|provided) under (?:the )?(?:terms of the )?gnu general public(?: ~)?!
+gpl | general public | 0.85 | (?:licensed|released|distributed|available|provided) under (?:the )?(?:terms of the )?gnu general public(?: ~)?+!
 gpl | general public | 0.78 | gnu general public ~!
 lgpl | lesser general public | 0.85 | gnu lesser general public ~!
 lgpl | library general public | 0.85 | gnu library general public ~!
 agpl | affero general public | 0.85 | gnu affero general public ~!
-gpl | gpl | 0.82 | (?:licensed|released|distributed|available|provided) under (?:the )?(?:gnu )?gpl(?: ~)?!
-lgpl | lgpl | 0.82 | (?:licensed|released|distributed|available|provided) under (?:the )?(?:gnu )?lgpl(?: ~)?!
-agpl | agpl | 0.82 | (?:licensed|released|distributed|available|provided) under (?:the )?(?:gnu )?agpl(?: ~)?!
-gpl | gpl | 0.6 | (?:gnu )?gpl(?: ~)?!
-lgpl | lgpl | 0.6 | (?:gnu )?lgpl(?: ~)?!
-agpl | agpl | 0.6 | (?:gnu )?agpl(?: ~)?!
+gpl | gpl | 0.82 | (?:licensed|released|distributed|available|provided) under (?:the )?(?:gnu )?gpl(?: ~)?+!
+lgpl | lgpl | 0.82 | (?:licensed|released|distributed|available|provided) under (?:the )?(?:gnu )?lgpl(?: ~)?+!
+agpl | agpl | 0.82 | (?:licensed|released|distributed|available|provided) under (?:the )?(?:gnu )?agpl(?: ~)?+!
+gpl | gpl | 0.6 | (?:gnu )?gpl(?: ~)?+!
+lgpl | lgpl | 0.6 | (?:gnu )?lgpl(?: ~)?+!
+agpl | agpl | 0.6 | (?:gnu )?agpl(?: ~)?+!
 gfdl | free documentation | 0.8 | gnu free documentation ~!
 mpl | mozilla public | 0.8 | mozilla public ~!
 epl | eclipse public | 0.8 | eclipse public ~!

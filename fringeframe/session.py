@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import zipfile
 from pathlib import Path
@@ -31,14 +32,21 @@ def ship(spark: SparkSession) -> None:
     with tempfile.NamedTemporaryFile(prefix="fringeframe-", suffix=".zip", delete=False) as f, zipfile.ZipFile(f, "w") as z:
         for path in sorted(PACKAGE.rglob("*.py")):
             z.write(path, f"{PACKAGE.name}/{path.relative_to(PACKAGE)}")
+    atexit.register(Path(f.name).unlink, missing_ok=True)  # executors fetch it from the driver while the context lives
     context.addPyFile(f.name)
     context._fringeframe_shipped = True
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or a new temporary one where it is unset; checkpoints go there too."""
+    """The folder in spark.checkpoint.dir, which every executor reaches; checkpoints go there too.
+
+    Where it is unset, as in tests, a local master gets a new temporary one; a cluster is refused, since its executors
+    don't share the driver's disk.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -47,6 +55,6 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def held(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder, its lineage cut."""
+    """``df`` written to the checkpoint folder, its lineage cut, so that lost executors cost no recomputation."""
     shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -2,34 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fringeframe import session
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder every executor reaches: spark.checkpoint.dir, or a new temporary one where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+
+#: Slabs of a running sum, at most.
+MOST_SLABS = 1024
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own for one run, below the shared one."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{session.shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from there, so that lost executors cost no recomputation."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return session.held(df)
 
 
 def attach(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -47,6 +40,24 @@ def free_name(df: DataFrame, wish: str) -> str:
     return name
 
 
+def running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], slab_rows: int = 100_000) -> DataFrame:
+    """``df`` in ``order`` (which has no ties) with sums over all rows before each one, without a task that sees all rows.
+
+    Rows fall into slabs of the order; each slab is summed alone, and only one row per slab, MOST_SLABS at most, is
+    summed and broadcast as a whole.
+    """
+    slab = free_name(df, "slab__")
+    slabs = max(1, min(MOST_SLABS, df.count() // slab_rows))
+    names = {k: f"{slab}{k}" for k in sums}
+    dealt = df.withColumns({names[k]: v for k, v in sums.items()}).repartitionByRange(slabs, *order) if slabs > 1 else df.withColumns({names[k]: v for k, v in sums.items()}).coalesce(1)
+    dealt = cut(dealt.withColumn(slab, F.spark_partition_id()))
+    whole = Window.orderBy(slab).rowsBetween(Window.unboundedPreceding, -1)
+    bases = dealt.groupBy(slab).agg(*(F.sum(n).alias(n) for n in names.values())).select(F.col(slab).alias(f"{slab}at"), *(F.coalesce(F.sum(n).over(whole), F.lit(0)).alias(f"{n}_base") for n in names.values()))
+    inner = Window.partitionBy(slab).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = dealt.join(F.broadcast(bases), F.col(slab) == F.col(f"{slab}at"))
+    return joined.select(*(f"`{c}`" for c in df.columns), *((F.col(f"{n}_base") + F.coalesce(F.sum(n).over(inner), F.lit(0))).alias(k) for k, n in names.items()))
+
+
 def split_hot(rows: DataFrame, keys: Sequence[str], salt: str, limit: int) -> DataFrame:
     """Deal the rows of each key to units that one task can compare.
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fringeframe.llm.common import attach, cut, free_name
+from fringeframe.llm.common import attach, cut, free_name, running
 
 #: A table of targets up to this many sources is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
@@ -27,27 +27,29 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     cut off goes to the others by weight: the level t at which sum(min(most * size, weight * t)) is the
     wanted total. Sources in order of most * size / weight reach their limit one after the other, so
     running sums give t without a loop. Sources without a word get 0. The input is already one row per
-    source, which is what the windows below see.
+    source; it is ordered in slabs, so that no task sees all sources.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
+    named = [F.col("source").isNull(), F.col("source")]
     table = F.array(*(F.lit(float(w)) for w in weights))
-    ranked = sizes.withColumn("weight", F.element_at(table, F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1))
-    ranked = ranked.withColumn("limit", F.col("source_size") * F.lit(float(most)))
-    filling = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").isNull(), F.col("source"))
-    before, rest = filling.rowsBetween(Window.unboundedPreceding, -1), filling.rowsBetween(0, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(Window.partitionBy()) * F.lit(float(share)) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    filled = ranked.withColumn("level", level).withColumn("open", F.col("weight") * F.col("level") <= F.col("limit"))
+    ranked = running(sizes, named, {"rank": F.lit(1).cast("long")})
+    ranked = ranked.withColumn("weight", F.element_at(table, (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))).withColumn("limit", F.col("source_size") * F.lit(float(most)))
+    filled = cut(running(ranked, [F.col("limit") / F.col("weight"), *named], {"limits": F.col("limit"), "weights": F.col("weight")}))
+    total = filled.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(float(total["size"] or 0)) * F.lit(float(share)) - F.col("limits")) / (F.lit(float(total["weight"] or 0)) - F.col("weights"))
     # The first source that its share doesn't fill sets the level of all after it.
-    first = F.min_by(F.when(F.col("open"), F.col("level")), F.struct(~F.col("open"), F.col("limit") / F.col("weight"), F.col("source").isNull(), F.col("source"))).over(Window.partitionBy())
-    return filled.withColumn("target", F.least(F.col("limit"), F.coalesce(F.col("weight") * first, F.col("limit")))).select("source", "source_size", "target")
+    open_ = filled.withColumn("level", level).where(F.col("weight") * F.col("level") <= F.col("limit"))
+    first = open_.agg(F.min_by("level", F.struct(F.col("limit") / F.col("weight"), F.col("source").isNull(), F.col("source")))).first()[0]
+    share_of = F.col("limit") if first is None else F.least(F.col("limit"), F.col("weight") * F.lit(first))
+    return filled.select("source", "source_size", share_of.alias("target"))
 
 
 def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: Sequence[float] = WEIGHTS, seed: str = "mix") -> DataFrame:
     """``df`` with size, source_size, target and copies: how often the mix takes each document.
 
     copies = floor(rate), plus one where the document's hash in [0, 1) is below the rate's fraction; rate is
-    target / source_size. Rows of one key share a draw, so reruns agree. Null texts have size 0 and are
-    taken by the same law; an empty table gives an empty result; result columns replace inputs of their name.
+    target / source_size. The hash is of key and text, so reruns agree, rows without a key or with a common one draw
+    each for itself, and only rows equal in both share a draw. Null and empty texts have size 0 and are taken by the same
+    law, very long ones like others; an empty table gives an empty result; result columns replace inputs of their name.
     Rows are never grouped: sizes are summed per source map-side first, and only that small table is ordered.
     """
     tag = free_name(df, "mix_source")
@@ -59,15 +61,15 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
         targets = F.broadcast(targets)
     joined = sized.join(targets, F.col(tag).eqNullSafe(F.col("mix_key")), "left")
     rate = F.when(F.col("mix_total") > 0, F.col("mix_target") / F.col("mix_total")).otherwise(F.lit(0.0))
-    copies = (F.floor(rate) + (draw(F.col(f"`{key}`"), seed) < rate - F.floor(rate)).cast("long")).cast("long")
+    copies = (F.floor(rate) + (draw(F.col(f"`{key}`"), F.col(f"`{text}`"), seed) < rate - F.floor(rate)).cast("long")).cast("long")
     out = attach(joined, {"source_size": F.col("mix_total"), "target": F.col("mix_target"), "copies": copies})
     return out.drop(tag, "mix_key", "mix_total", "mix_target")
 
 
-def draw(key: Column, seed: str) -> Column:
-    """A number in [0, 1) from the key's text; null keys share one."""
-    text = F.concat_ws(":", F.lit(seed), F.coalesce(key.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+def draw(key: Column, text: Column, seed: str) -> Column:
+    """A number in [0, 1) from a row's key and text."""
+    name = F.concat_ws(":", F.lit(seed), F.coalesce(key.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
 def emit(mixed: DataFrame) -> DataFrame:

@@ -64,9 +64,11 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    placed = sharding.assign(docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))))
-    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """Texts are written as shards to the shared folder; size and checksum are of what is read back."""
+    folder = sharding.write_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size")
+    mark = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
+    return spark.read.parquet(folder).select("doc_id", size, mark, "law", F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 with sized as (
-  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as size from documents
+  select doc_id, source, text, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as size from documents
 ), sums as (
   select source, cast(sum(size) as bigint) as source_size from sized group by source
 ), ranked as (
@@ -105,7 +107,7 @@ with sized as (
   select source, source_size, least(cap, coalesce(weight * t, cap)) as target from leveled2
 ), rated as (
   select d.doc_id, d.size, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0e0 end as rate,
-         cast(concat('0x', substr(md5(concat('mix:', coalesce(cast(d.doc_id as varchar), ''))), 1, 8)) as bigint) / 4294967296e0 as draw
+         cast(concat('0x', substr(md5(concat('mix:', coalesce(cast(d.doc_id as varchar), ''), ':', md5(coalesce(d.text, '')))), 1, 8)) as bigint) / 4294967296e0 as draw
   from sized d join targets t on d.source is not distinct from t.source
 )
 select doc_id, size, source_size, target,

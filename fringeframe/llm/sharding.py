@@ -5,51 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fringeframe.llm.common import attach, cut, free_name
+from fringeframe.llm.common import attach, cut, free_name, running, shared_folder
 
-#: Buckets are a table of this many rows at most, which is what is broadcast.
-MOST_BUCKETS = 65_536
+#: A table of buckets up to this many rows is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 65_536
+#: Bytes of text of a bucket, and the least number of buckets.
+BUCKET_BYTES, LEAST_BUCKETS = 64 << 20, 256
 
 
-def bucket_count(total_bytes: int, bucket_bytes: int, least: int = 256) -> int:
-    return max(least, min(MOST_BUCKETS, -(-total_bytes // max(1, bucket_bytes))))
-
-
-def assign(df: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", seed: int = 7, bucket_bytes: int = 64 << 20) -> DataFrame:
+def assign(df: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", seed: int = 7, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``df`` with size, law, shard and slot: a uniform permutation of all rows, cut into ``shards`` equal slices.
 
-    Pass one scatters rows by a seeded hash into buckets of about ``bucket_bytes``. Pass two permutes each
-    bucket: the n places of a bucket are an array that Spark's shuffle() puts in Fisher-Yates order, and
-    the row that is i-th by hash takes the i-th place. The array is made from spark.range with a fixed
-    partitioning, so a recomputed task draws the same order. Law `rows`: shard sizes differ by one at most.
-    Null keys or texts are rows like others (size: text bytes plus 1); repeated rows each get a slot; an
-    empty table gives an empty result. Result columns replace inputs of their name.
+    Pass one scatters rows by a seeded hash of key and text into buckets of about ``bucket_bytes``, so rows without a
+    key or with a common one fall apart by their texts. Pass two permutes each bucket: the n places of a bucket are
+    an array that Spark's shuffle() puts in Fisher-Yates order, and the row that is i-th by another hash takes the
+    i-th place. The array is made from spark.range with a fixed partitioning, so a recomputed task draws the same
+    order. Law `rows`: shard sizes differ by one at most. Null keys or texts are rows like others (size: text
+    bytes plus 1), empty and very long texts too; rows equal in key and text stand side by side in their bucket, each with a
+    slot; an empty table gives an empty result. Result columns replace inputs of their name.
     """
     spark = df.sparkSession
-    bucket, place = free_name(df, "shard_bucket"), free_name(df, "shard_place")
+    bucket, place, mark = free_name(df, "shard_bucket"), free_name(df, "shard_place"), free_name(df, "shard_mark")
     sized = attach(df, {"size": F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long") + 1})
     total = sized.agg(F.sum("size")).first()[0] or 0
-    n = bucket_count(total, bucket_bytes)
+    n = max(LEAST_BUCKETS, -(-total // max(1, bucket_bytes)))
     name = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
-    mark = F.xxhash64(name, F.lit(seed))
-    scattered = sized.withColumn(bucket, F.pmod(mark, F.lit(n)).cast("int"))
+    marked = sized.withColumn(mark, F.xxhash64(F.col(f"`{text}`"), F.lit(seed)))
+    scattered = marked.withColumn(bucket, F.pmod(F.xxhash64(name, F.col(mark), F.lit(seed)), F.lit(n)).cast("int"))
     counts = cut(scattered.groupBy(F.col(bucket).alias("b")).agg(F.count(F.lit(1)).alias("n")))
-    # One row per bucket, MOST_BUCKETS at most: the running sum and the broadcast below are bounded.
-    starts = cut(counts.withColumns({"base": F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "rows": F.sum("n").over(Window.partitionBy())}))
+    starts = cut(running(counts, [F.col("b")], {"base": F.col("n")}))
+    rows = counts.agg(F.sum("n")).first()[0] or 0
     dealt = spark.range(0, n, 1, max(1, min(n, 1024))).select(F.col("id").cast("int").alias("b"))
-    orders = dealt.join(F.broadcast(starts), "b").select(
-        F.col("b").alias("shard__b"), F.col("base").alias("shard__base"), F.col("rows").alias("shard__rows"), F.shuffle(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.lit(seed)).alias("shard__places")
+    orders = dealt.join(F.broadcast(starts) if n <= BROADCAST_ROWS else starts, "b").select(
+        F.col("b").alias("shard__b"), F.col("base").alias("shard__base"), F.shuffle(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.lit(seed)).alias("shard__places")
     )
-    turn = Window.partitionBy(bucket).orderBy(F.xxhash64(name, F.lit(seed + 1)), F.col(f"`{key}`"), F.col("size"))
+    turn = Window.partitionBy(bucket).orderBy(F.xxhash64(name, F.col(mark), F.lit(seed + 1)), F.col(f"`{key}`"), F.col("size"), F.col(mark))
     queued = scattered.withColumn(place, F.row_number().over(turn))
     joined = queued.join(orders, F.col(bucket) == F.col("shard__b"))
     joined = joined.withColumn(place, F.col("shard__base") + F.element_at("shard__places", F.col(place).cast("int")))
-    shard, first = F.expr(f"(`{place}` * {shards}) div shard__rows"), f"((`{place}` * {shards}) div shard__rows)"
-    slot = F.col(place) - F.expr(f"({first} * shard__rows + {shards - 1}) div {shards}")
-    return attach(joined, {"law": F.lit("rows"), "shard": shard.cast("int"), "slot": slot.cast("long")}).drop(bucket, place, "shard__b", "shard__base", "shard__rows", "shard__places")
+    first = f"((`{place}` * {shards}) div {max(1, rows)})"
+    slot = F.col(place) - F.expr(f"({first} * {rows} + {shards - 1}) div {shards}")
+    return attach(joined, {"law": F.lit("rows"), "shard": F.expr(first).cast("int"), "slot": slot.cast("long")}).drop(bucket, place, mark, "shard__b", "shard__base", "shard__places")
 
 
-def write_shards(df: DataFrame, path: str, **options) -> None:
-    """Write ``df`` as Parquet below ``path``, a folder for each shard, rows in slot order."""
+def write_shards(df: DataFrame, path: str | None = None, **options) -> str:
+    """Write ``df`` with its places as Parquet below ``path`` (a new shared folder unless given), which is returned.
+
+    A folder for each shard, whose files hold ranges of slots in order: rows are dealt by ranges of (shard, slot), so no task
+    holds a whole shard.
+    """
+    path = path or shared_folder(df.sparkSession, "shards")
     placed = assign(df, **options)
     placed.repartitionByRange(F.col("shard"), F.col("slot")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return path

@@ -19,7 +19,9 @@ from pyspark.sql import types as T
 
 from fringeframe.llm.common import attach
 
-#: Pre-tokens in a generation of a worker's memory, and the longest one it remembers.
+#: The splitting pattern whose pre-tokens the shortcuts of ``Codec`` know (a fixed value); texts are split by others as they stand.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Pre-tokens in a generation of a worker's memory (some 150 bytes each, two generations), and the longest one it remembers.
 MEMORY, LONGEST = 400_000, 48
 #: Marks that are a pre-token of their own after letters.
 ENDS = frozenset(".,;:?!")
@@ -31,7 +33,7 @@ BLANKS = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c != " ")
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        return parsed(f.read())
 
 
 class PerfectHash:
@@ -94,9 +96,10 @@ class PerfectHash:
 class Codec:
     """Encoder and decoder for one rank table and one splitting pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, table: PerfectHash | None = None):
         self.ranks = ranks
-        self.hash = PerfectHash(list(ranks))
+        self.hash = table or PerfectHash(list(ranks))
+        self.usual = pattern == PATTERN
         self.ids = [ranks[k] for k in self.hash.table]
         self.words = [b""] * (max(ranks.values(), default=-1) + 1)
         for k, i in ranks.items():
@@ -158,6 +161,9 @@ class Codec:
 
     def chunk(self, text: str) -> tuple[int, ...]:
         """Ids of a piece of text that begins and ends with whole pre-tokens."""
+        if not self.usual:
+            found = (self.narrow if SEPARATORS.search(text) else self.pattern).finditer(text)
+            return tuple(chain.from_iterable([self.token(m[0]) for m in found]))
         if text[-1:] in ENDS and text[1:-1].isalpha() and text[0] == " ":
             return self.token(text[:-1]) + self.token(text[-1])
         if text[1:].isalpha() and text[0] == " ":
@@ -169,7 +175,9 @@ class Codec:
         return tuple(chain.from_iterable(map(self.token, parts)))
 
     def encode(self, text: str) -> list[int]:
-        """Ids of the whole text. A single space between other characters always starts a pre-token, so the text is cut there and a word met before costs one lookup."""
+        """Ids of the whole text. By PATTERN a single space between other characters always starts a pre-token, so the text is cut there and a word met before costs one lookup."""
+        if not self.usual:
+            return list(self.chunk(text))
         first, *rest = text.split(" ")
         if "" in rest or not first or text[0].isspace() or text[-1].isspace() or any(c in text and (f" {c}" in text or f"{c} " in text) for c in BLANKS):
             return list(self.chunk(text))  # white space beside a space: a cut there would not be a token's start
@@ -183,27 +191,31 @@ class Codec:
 _codecs: dict[tuple[int, str], Codec] = {}
 
 
-def _codec(ranks_of: tuple[bytes, str]) -> Codec:
+def parsed(raw: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
+
+
+def _codec(given: tuple[bytes, str, PerfectHash]) -> Codec:
     """One codec per worker process and vocabulary."""
-    raw, pattern = ranks_of
+    raw, pattern, table = given
     mark = (xxhash.xxh64_intdigest(raw), pattern)
     if mark not in _codecs:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
-        _codecs[mark] = Codec(ranks, pattern)
+        _codecs[mark] = Codec(parsed(raw), pattern, table)
     return _codecs[mark]
 
 
 def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", keep_ids: bool = True) -> DataFrame:
     """``df`` with n_tokens, ids_sha256, decoded_sha256 and, with ``keep_ids``, token_ids (array of int).
 
-    ``vocabulary`` is a rank file that the driver reads; its bytes (bounded: a vocabulary) travel to the
-    workers as a broadcast. Null and empty texts give no ids; the hashes are then those of nothing. Texts of any
+    ``vocabulary`` is a rank file that the driver reads; its bytes (bounded: a vocabulary) and the perfect hash that
+    is built of them once travel to the workers as a broadcast. Null and empty texts give no ids; the hashes are then those of nothing. Texts of any
     length are encoded whole, each row alone, so ties and repeated rows need no rule. Result columns replace
     inputs of their name.
     """
     spark: SparkSession = df.sparkSession
     with open(vocabulary, "rb") as f:
-        shared = spark.sparkContext.broadcast((f.read(), pattern))
+        raw = f.read()
+    shared = spark.sparkContext.broadcast((raw, pattern, PerfectHash(list(parsed(raw)))))
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if keep_ids:
         fields.append(T.StructField("token_ids", T.ArrayType(T.IntegerType())))

@@ -1,4 +1,4 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands propose groups, whole shingle sets confirm links."""
+"""Near copies by Jaccard similarity of word shingles: SimHash fingerprints and MinHash bands propose groups, whole shingle sets confirm links."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from fringeframe.llm.common import attach, cut, free_name
 from fringeframe.llm.components import connected_components
-from fringeframe.llm.simhash import FOLD
+from fringeframe.llm.simhash import FOLD, link_fingerprints
 
 #: Links are pairs of at least 4/5, counted in whole numbers.
 LEAST = (4, 5)
@@ -54,6 +54,12 @@ def keys(own: np.ndarray) -> np.ndarray:
     return ((least.reshape(BANDS, ROWS).astype(np.uint64) * MIXERS).sum(axis=1) + SALTS).view(np.int64)
 
 
+def majority(own: np.ndarray) -> int:
+    """64 bits of a set of hashes, as SimHash has them: a bit is 1 if over half of them have it; signed."""
+    ones = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(own), bitorder="little").view("<i8")[0])
+
+
 def link_sets(sets: list[np.ndarray]) -> np.ndarray:
     """Labels that join sets (none empty) whose similarity is LEAST or more, directly or by way of others.
 
@@ -130,8 +136,8 @@ def unit_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketch(df: DataFrame, text: str, width: int) -> DataFrame:
-    """(words, node, keys) beside the columns of ``df``: a hash of the text, one of its shingle set, its bands."""
-    kind = T.StructType([T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    """(words, node, print, keys) beside the columns of ``df``: a hash of the text, one of its shingle set, its fingerprint and bands."""
+    kind = T.StructType([T.StructField("node", T.LongType()), T.StructField("print", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
@@ -139,16 +145,20 @@ def sketch(df: DataFrame, text: str, width: int) -> DataFrame:
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
             own = [keys(s) for s in sets]
             bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(k) for k in own])].astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.int64), *own])))
-            yield pa.StructArray.from_arrays([pa.array(node), bands], ["node", "keys"])
+            prints = pa.array([majority(s) for s in sets], pa.int64())
+            yield pa.StructArray.from_arrays([pa.array(node), prints, bands], ["node", "print", "keys"])
 
     found = df.withColumn("sketch__", F.arrow_udf(run, kind, F.ArrowUDFType.SCALAR_ITER)(F.col(f"`{text}`")))
-    return found.select(*(f"`{c}`" for c in df.columns), F.xxhash64(F.col(f"`{text}`")).alias("words"), "sketch__.node", "sketch__.keys")
+    return found.select(*(f"`{c}`" for c in df.columns), F.xxhash64(F.col(f"`{text}`")).alias("words"), "sketch__.node", "sketch__.print", "sketch__.keys")
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """(node, component) of the nodes that share a band with others, directly or by way of others."""
+    """(node, component) of the nodes that share a band with others or lie within 4 bits of them, directly or by way of others."""
+    prints = cut(nodes.where(F.size("keys") > 0).groupBy("print").agg(F.min("node").alias("first")))
+    same = nodes.where(F.size("keys") > 0).join(prints, "print").where("node <> first").select("node", F.col("first").alias("other"))
+    near = link_fingerprints(prints, "first", "print").unionByName(same)
     keyed = nodes.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
-    return connected_components(keyed.mapInArrow(bucket_stars, "node long, other long"), "node", "other")
+    return connected_components(keyed.mapInArrow(bucket_stars, "node long, other long").unionByName(near), "node", "other")
 
 
 def confirmed(texts: DataFrame, width: int) -> DataFrame:
@@ -178,8 +188,8 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     Texts of equal shingle sets are one node from the start; texts without a word are copies of each other.
     """
     plain = df.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
-    known = cut(sketch(plain, "text", width).select("doc", "words", "node", "keys"))
-    nodes = cut(known.groupBy("node").agg(F.first("keys").alias("keys"), F.min("words").alias("words")))
+    known = cut(sketch(plain, "text", width).select("doc", "words", "node", "print", "keys"))
+    nodes = cut(known.groupBy("node").agg(F.first("keys").alias("keys"), F.first("print").alias("print"), F.min("words").alias("words")))
     groups = cut(nodes.join(candidates(nodes), "node").select("node", "words", F.col("component").alias("group")))
     texts = plain.select(F.xxhash64("text").alias("words"), "text").join(groups, "words").groupBy("node", "group").agg(F.first("text").alias("text"))
     found = cut(connected_components(confirmed(texts, width), "node", "other"))

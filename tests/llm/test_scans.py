@@ -86,6 +86,29 @@ def test_pii_context_is_whole_words(text, kept):
     assert [s.kind for s in pii.find(text)] == ["ssn"] * kept
 
 
+@pytest.mark.parametrize(
+    ("text", "score"),
+    [
+        ("we ship to 10.1.2.3", 0.6),
+        ("the hotel +49 170 1234567", 0.6),
+        ("she did call nobody. +49 170 1234567", 0.75),
+        ("release version 10.1.2.3", 0.3),
+        ("10.1.2.3 is the host address", 0.75),
+        ("10.1.2.3. The server", 0.6),
+        ("4111 1111 1111 1111 (visa)", 0.95),
+        ("a@b.com", 0.8),
+    ],
+)
+def test_pii_context_of_both_sides(text, score):
+    (span,) = pii.find(text)
+    assert span.score == pytest.approx(score)
+
+
+def test_pii_mask_leaves_unlikely_spans():
+    for text, masked in (("release version 10.1.2.3", "release version 10.1.2.3"), ("host 10.1.2.3 up", "host <IP> up")):
+        assert pii.mask(text, pii.find(text)) == masked
+
+
 def test_pii_query_columns(docs, empty):
     rows = [r for r in pii.scan(docs).collect()]
     assert len(rows) == docs.count()
@@ -147,6 +170,64 @@ def test_license_short_names_and_headings(name):
     assert {d.label for d in licenses.detect(f"{name}\n\nCopyright")[1]} == {NAMES[name]}
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("GNU General Public License v3", {"gpl-3"}),
+        ("under the GPLv3", {"gpl-3"}),
+        ("released under the BSD license", {"bsd"}),
+        ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0", {"cc-by-nc-sa"}),
+        ("released under the GPL v2 or later", {"gpl-2-or-later"}),
+        ("dual licensed: MIT License or Apache License 2.0", {"mit", "apache-2"}),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy", {"mit"}),
+        ("https://creativecommons.org/licenses/by-sa/4.0/", {"cc-by-sa"}),
+        ("isn't released under the GPL v2", set()),
+        ("This code is no longer licensed under the Apache License, 2.0", set()),
+        ("rather than the GPL", set()),
+        ("", set()),
+    ],
+)
+def test_license_statements(text, labels):
+    assert {d.label for d in licenses.detect(text)[1]} == labels
+
+
+def test_negated_fixed_phrases_stay_and_score_low():
+    (found,) = licenses.detect("not licensed under the MIT license")[1]
+    assert (found.label, found.fixed, found.score) == ("mit", True, licenses.NEGATED)
+    assert max(d.score for d in licenses.detect("It is licensed under the MIT license")[1]) == 1.0
+
+
+def test_every_license_rule_has_its_own_priority_and_keyword():
+    own = licenses.rules()
+    assert [r.priority for r in own] == list(range(len(own))) and len({(r.label, r.pattern.pattern) for r in own}) == len(own)
+
+
+def test_suppression_equals_all_pairs():
+    draw = random.Random(8)
+    for _ in range(200):
+        found = []
+        for k in range(draw.randint(1, 6)):
+            rule = licenses.Rule(k, f"l{k}", b"", re.compile(b"x"), 0.5, draw.random() < 0.2)
+            starts = sorted(draw.sample(range(40), draw.randint(1, 5)))
+            found.append((rule, np.array([(s, s + draw.randint(1, 12)) for s in starts])))
+        kept = []
+        for rule, spans in found:
+            new = [(s, e) for s, e in spans.tolist() if rule.fixed or not any(a <= s and e <= b for _, a, b in kept)]
+            kept += [(rule.label, s, e) for s, e in new]
+        assert [(r.label, s, e) for r, own in licenses.unsuppressed(found) for s, e in own.tolist()] == kept
+
+
+def test_many_detections_stay_linear():
+    import time
+
+    n, spans = 100_000, np.arange(100_000)[:, None] * 10
+    rules = [licenses.Rule(k, f"l{k}", b"", re.compile(b"x"), 0.5) for k in range(4)]
+    began = time.process_time()
+    licenses.unsuppressed([(r, np.hstack([spans + k, spans + 8 - k])) for k, r in enumerate(rules)])
+    assert time.process_time() - began < 1
+    assert len(licenses.detect("released under the MIT License; GPL v2 or later.\n" * 20_000)[1]) == 60_000
+
+
 def test_license_scan_handles_odd_rows(docs, empty):
     for r in licenses.scan(docs).collect():
         n, places = license_places(r.text or "")
@@ -195,6 +276,63 @@ def test_toxicity_of_odd_rows(spark, docs, empty):
     assert [c.lower() for c in toxicity.score(clash, model).columns].count("score") == 1
 
 
+def grams(text):
+    """The distinct n-grams of characters by a plain loop."""
+    padded = f" {(text or '').lower()} "
+    return {padded[i : i + n] for n in toxicity.ORDERS for i in range(len(padded) - n + 1)}
+
+
+def bucket(gram):
+    h = 0x811C9DC5
+    for c in gram:
+        h = ((h ^ ord(c)) * 0x01000193) & 0xFFFFFFFF
+    return (((h ^ (h >> 15)) * 0x85EBCA6B) & 0xFFFFFFFF) >> 14
+
+
+@pytest.mark.parametrize("text", [None, "", "a", "Häßliche Ünwörter", "плохие слова здесь", "坏话很多的句子", "🙂 ok"])
+def test_features_are_of_characters(text):
+    assert toxicity.features(text).tolist() == sorted({bucket(g) for g in grams(text)})
+
+
+def test_ratios_and_fit_equal_a_plain_loop():
+    """Counts, log-count ratios and the loss by loops; the fit must not be beaten by small steps in any weight."""
+    import math
+
+    draw = random.Random(2)
+    texts = [(int(k % 4 == 0), " ".join(draw.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(6)) + (" vile" if k % 4 == 0 else "")) for k in range(60)]
+    rows = [(y, toxicity.features(t)) for y, t in texts]
+    model = toxicity.train(lambda: iter(rows))
+    n = [sum(y == c for y, _ in rows) for c in (0, 1)]
+    counts = [[0] * toxicity.BUCKETS for _ in (0, 1)]
+    for y, own in rows:
+        for b in own.tolist():
+            counts[y][b] += 1
+    ratio, used = {}, []
+    for b in {b for _, own in rows for b in own.tolist()}:
+        ratio[b] = math.log((counts[1][b] + 1) / (n[1] + 2)) - math.log((counts[0][b] + 1) / (n[0] + 2))
+        pool = (counts[0][b] + counts[1][b]) / len(rows)
+        if abs(counts[1][b] / n[1] - counts[0][b] / n[0]) >= 3 * math.sqrt(max(pool * (1 - pool), 1e-12) * (1 / n[0] + 1 / n[1])):
+            used.append(b)
+    assert set(np.flatnonzero(model.weights).tolist()) <= set(used) and used
+
+    def loss(weights, bias):
+        total = 3.0 * sum((w / ratio[b]) ** 2 for b, w in weights.items())
+        for y, own in rows:
+            z = bias + sum(weights.get(b, 0.0) for b in own.tolist())
+            total += (3.0 if y else 1.0) * math.log1p(math.exp(-z if y else z))
+        return total
+
+    fitted = {b: float(model.weights[b]) for b in used}
+    best = loss(fitted, model.bias)
+    assert best < loss(dict.fromkeys(used, 0.0), model.bias)
+    for b in used[:5]:
+        for step in (0.05, -0.05):
+            assert loss({**fitted, b: fitted[b] + step * ratio[b]}, model.bias) > best - 1e-3
+    for y, t in texts:
+        z = model.bias + sum(fitted.get(b, 0.0) for b in toxicity.features(t).tolist())
+        assert model.score(t) == pytest.approx(1 / (1 + math.exp(-z)))
+
+
 def test_features_of_long_texts_match_whole_hashing(monkeypatch):
     text = "".join(random.Random(1).choice("abc def") for _ in range(5000))
     whole = toxicity.features(text)

@@ -264,9 +264,9 @@ def test_pipeline_equals_plain_stages(spark):
     docs = spark.read.parquet(f"{path}/documents.parquet")
     model = toxicity.fit(docs, spark.read.parquet(f"{path}/labels.parquet"))
     rows = [r for r in docs.collect() if model.score(r.text) < 0.5]
-    prints = {r.doc_id: print_of(r.text, 5) for r in rows}
-    keys = sorted(prints)
-    group = grouped(keys, [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 4])
+    sets = {r.doc_id: shingle_set(r.text) for r in rows}
+    keys = sorted(sets)
+    group = grouped(keys, [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if alike(sets[a], sets[b])])
     rows = [r.asDict() for r in rows if group[r.doc_id] == r.doc_id]
     for r in rows:
         r["text"] = pii.mask(r["text"], pii.find(r["text"]))
@@ -281,7 +281,7 @@ def test_pipeline_equals_plain_stages(spark):
     want = {}
     for r in rows:
         rate = targets[r["source"]] / sizes[r["source"]]
-        mark = int(hashlib.md5(f"mix:{r['doc_id']}".encode()).hexdigest()[:8], 16) / 2**32
+        mark = int(hashlib.md5(f"mix:{r['doc_id']}:{hashlib.md5(r['text'].encode()).hexdigest()}".encode()).hexdigest()[:8], 16) / 2**32
         copies = int(rate) + (mark < rate - int(rate))
         if copies:
             want[r["doc_id"]] = (copies, hashlib.sha256(r["text"].encode()).hexdigest())
@@ -292,10 +292,112 @@ def test_pipeline_equals_plain_stages(spark):
     assert got == want
 
 
-def test_pipeline_stages_keep_columns(spark, docs):
+#: Columns whose names operators give to their results or use on the way, with values of their own.
+CLASHES = ("size", "component_id", "score", "predicted", "held_out", "target", "copies", "source_size", "simhash", "pii_spans", "pii_masked", "row", "words", "node", "keys", "mix_source", "doc", "sketch__", "first", "absent")
+
+
+def test_pipeline_stages_keep_clashing_columns(spark, docs):
+    """Values of columns named like results come out of all stages as they went in; the last stage keeps them too."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    extra = [F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in CLASHES]
+    given = docs.withColumn("n_chars", F.length("text").cast("long")).select("*", *extra)
+    labels = spark.createDataFrame([(k, int(k == 3)) for k in range(1, 16)], "doc_id long, toxic int")
+    import tempfile
+
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    before = given
+    for name, stage in pipeline.STAGES:
+        after = stage(spark, before, folder)
+        if name != "bpe":
+            assert after.columns == given.columns, name
+        rows = after.collect()
+        assert rows
+        for r in rows:
+            assert all(r[c] == f"{c}-{'none' if r.doc_id is None else r.doc_id}" for c in CLASHES), name
+        before = after
+    assert stage(spark, before.limit(0).withColumn("text", F.lit("")), folder).count() == 0
+
+
+def test_pipeline_stages_of_an_empty_table(spark, empty):
     pipeline = pytest.importorskip("corpus_pipeline")
-    given = docs.withColumn("n_chars", F.length("text").cast("long"))
-    for name, stage in pipeline.STAGES[:-1]:
-        if name != "toxicity":
-            assert stage(spark, given, "").columns == given.columns
-    assert zlib.crc32(b"1")
+    for name, stage in pipeline.STAGES[1:]:
+        assert stage(spark, empty, "").count() == 0, name
+
+
+def test_embedding_links_are_exact_with_the_whole_margin(spark):
+    draw = np.random.default_rng(11)
+    base = draw.normal(size=(80, 12))
+    m = base[draw.integers(0, 80, 1500)] + draw.normal(size=(1500, 12)) * draw.uniform(0.05, 0.5, (1500, 1))
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(m)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    x = m / np.linalg.norm(m, axis=1, keepdims=True)
+    close = x @ x.T >= 0.9
+    np.fill_diagonal(close, False)
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df, share=1.0, cell_rows=50).collect()}
+    assert [got[k].n_links for k in range(1500)] == close.sum(1).tolist()
+    want = grouped(range(1500), np.argwhere(np.triu(close)).tolist())
+    assert {k: got[k].component_id for k in range(1500)} == want
+    some = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df, cell_rows=50).collect()}
+    assert sum(some.values()) >= 0.97 * close.sum() and all(some[k] <= got[k].n_links for k in some)
+
+
+def test_embeddings_of_several_lengths_and_repeated_keys(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.0, 0.0]), (5, [0.0, 1.0]), (5, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (6, [1e-300, 0.0]), (7, [1e300, 1e300])]
+    df = spark.createDataFrame([(k, v, "x") for k, v in rows], "vec_id long, embedding array<double>, node string")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect())
+    assert got == [(1, 2, 1), (2, 2, 1), (3, 2, 3), (4, 2, 3), (5, 0, 5), (5, 2, 3), (6, 2, 1), (7, 0, 7)]
+
+
+@pytest.mark.parametrize("few", [0, 10])
+def test_equal_vectors_are_one_node_by_broadcast_or_shuffle(spark, monkeypatch, few):
+    monkeypatch.setattr(embeddings, "BROADCAST_ROWS", few)
+    rows = [(k, [1.0, 0.0, float(k % 3 == 0)]) for k in range(60)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {k: (19, 0) if k % 3 == 0 else (39, 1) for k in range(60)}
+
+
+def test_simhash_rows_without_a_key(spark):
+    text = "one two three four five six"
+    rows = [(3, text), (None, text), (None, "quite another text of words"), (1, text), (1, "quite another text of words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0), r.fingerprint, r.component_id or 0) for r in simhash.digests(df).collect())
+    want = sorted(((k or 0), f"{print_of(t):016x}", 0 if k is None else 1) for k, t in rows)
+    assert got == want
+
+
+@pytest.mark.parametrize("slab_rows", [1, 7, 1000])
+def test_running_sums_by_slabs(spark, slab_rows):
+    from fringeframe.llm.common import running
+
+    draw = random.Random(3)
+    rows = [(k, draw.choice([None, "a", "b"]), draw.randrange(100)) for k in range(50)]
+    df = spark.createDataFrame(rows, "k long, s string, v long").repartition(5)
+    got = {r.k: (r.n, r.before) for r in running(df, [F.col("s").isNull(), F.col("s"), F.col("k")], {"n": F.lit(1), "before": F.col("v")}, slab_rows).collect()}
+    order, total = sorted(rows, key=lambda r: (r[1] is None, r[1] or "", r[0])), 0
+    for i, (k, _, v) in enumerate(order):
+        assert got[k] == (i, total)
+        total += v
+
+
+def test_written_shards_hold_every_row_in_order(spark, docs):
+    folder = sharding.write_shards(docs.select("*", F.lit(1).alias("Slot")), shards=4, bucket_bytes=1000)
+    rows = spark.read.parquet(folder).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in rows) == sorted((r[0] or 0, r[1] or "") for r in ROWS)
+    counts = np.bincount([r.shard for r in rows], minlength=4)
+    assert counts.max() - counts.min() <= 1
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(counts[s])) for s in range(4))
+
+
+def test_shards_split_a_common_key_by_its_texts(spark):
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    placed = sharding.assign(df)
+    order = [int(r.text) for r in placed.orderBy("shard", "slot").collect()]
+    assert sorted(order) == list(range(4000)) and abs(np.corrcoef(order, range(4000))[0, 1]) < 0.06
+
+
+def test_mix_draws_for_each_row_of_a_common_key(spark):
+    data = [(None, f"w{k} " * 5, "a" if k % 4 else "b") for k in range(3000)]
+    mixed = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string"))
+    for r in mixed.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r.taken / r.target - 1) < 0.1

@@ -40,6 +40,18 @@ def test_bpe_memory_may_turn_over(codec, library, monkeypatch):
         assert codec.encode(text) == library.encode_ordinary(text)
 
 
+def test_other_patterns_are_split_as_they_stand(codec):
+    tiktoken = pytest.importorskip("tiktoken")
+    pattern = r"\p{N}{1,3}|[a-z]+|[^a-z0-9]+"
+    own = bpe.Codec(codec.ranks, pattern)
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=codec.ranks, special_tokens={})
+    draw = random.Random(4)
+    for _ in range(500):
+        text = "".join(draw.choice(PARTS) for _ in range(draw.randint(0, 14)))
+        assert own.encode(text) == other.encode_ordinary(text), text
+    assert bpe.PATTERN == public_tokenizers.PATTERN
+
+
 def test_perfect_hash_is_minimal_and_exact():
     keys = [f"k{i}".encode() for i in range(3000)] + [b""]
     table = bpe.PerfectHash(keys)
@@ -94,6 +106,52 @@ def test_token_files_equal_the_library(spark, docs, empty):
     assert token_files.read_back(token_files.encode_to_files(empty, path)[1]).count() == 0
 
 
+@pytest.mark.parametrize("read_ids", [1, 100, 1 << 22])
+def test_token_files_are_read_by_block_index(spark, docs, monkeypatch, read_ids):
+    monkeypatch.setattr(token_files, "SLAB", 2)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    files = token_files.encode_to_files(docs, path)[1]
+    if read_ids == 1:
+        files = files.where("n_ids < 2000")
+    want = sorted((r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_back(files).collect())
+    assert sorted((r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_back(files, read_ids).collect()) == want
+
+
+def test_a_reader_reads_only_the_blocks_it_needs():
+    ids = np.random.default_rng(1).integers(0, 50_000, 100_000).astype(np.uint32)
+    held = token_files.Held(token_files.pack(ids))
+    file, taken = token_files.FileReader(held), []
+    file.f = type("Counted", (), {"read_at": lambda self, size, at: taken.append(size) or held.read_at(size, at)})()
+    assert np.array_equal(np.concatenate(list(file.ids(70_000, 70_600))), ids[70_000:70_600])
+    assert sum(taken) < len(held.raw) / 30
+
+
+def test_long_words_are_not_remembered():
+    own = token_files.Words(open(public_tokenizers.path("word_bpe_49k.json"), "rb").read())
+    own.encode(["a" * 5000 + ".", "b" * 100 + " short", "é" * 40])
+    assert {b"short", b"."} <= set(own.known) and max(map(len, own.known)) <= token_files.LONGEST
+
+
+def test_memory_of_words_may_turn_over(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(token_files, "MEMORY", 5)
+    monkeypatch.setattr(token_files, "WINDOW", 64)
+    whole, own = tokenizers.Tokenizer.from_file(path), token_files.Words(open(path, "rb").read())
+    draw = random.Random(9)
+    texts = [" ".join(f"word{draw.randrange(40)}" for _ in range(draw.randint(0, 60))) for _ in range(300)]
+    assert [x.tolist() for x in own.encode(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_tokenizers_of_other_kinds_encode_whole_texts():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, own = tokenizers.Tokenizer.from_file(path), token_files.Words(open(path, "rb").read())
+    draw = random.Random(5)
+    texts = ["".join(draw.choice(PARTS) for _ in range(draw.randint(0, 14))) for _ in range(300)]
+    assert [x.tolist() for x in own.encode(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_words_equal_the_library():
     tokenizers = pytest.importorskip("tokenizers")
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -127,6 +185,33 @@ def test_media_columns(spark, docs, empty, monkeypatch):
     assert media.with_media(empty).count() == 0
 
 
+def plain_features(data):
+    n, mean = len(data), sum(data) / len(data)
+    spread = (max(0.0, sum(x * x for x in data) / n - mean * mean)) ** 0.5
+    quarters = [sum(64 * q <= x < 64 * (q + 1) for x in data) / n for q in range(4)]
+    return f"mean={mean:.4f};spread={spread:.4f};zero={sum(x == 0 for x in data) / n:.4f};quarters=" + "/".join(f"{q:.4f}" for q in quarters)
+
+
+@pytest.mark.parametrize("members", [2, 1 << 18])
+def test_media_results_equal_a_plain_loop_and_replace_inputs(spark, docs, monkeypatch, members):
+    import struct
+
+    monkeypatch.setattr(media, "SHARD_MEMBERS", members)
+    given = docs.selectExpr("*", "'x' as Payload_Bytes", "'y' as media_uri", "'z' as media_width")
+    out = media.with_media(given)
+    assert len({c.lower() for c in out.columns}) == len(out.columns)
+    text = {r[0]: r[1] for r in ROWS}
+    for r in out.collect():
+        data = media.payload(text[r.doc_id])
+        rows = b"".join(b"\x00" + data[k : k + 64] for k in range(0, len(data), 64))
+        picture = b"\x89PNG\r\n\x1a\n"
+        for kind, body in ((b"IHDR", struct.pack(">IIBBBBB", 64, len(data) // 64, 8, 0, 0, 0, 0)), (b"IDAT", zlib.compress(rows, 1)), (b"IEND", b"")):
+            picture += struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+        assert (r.media_length, r.media_sha256) == (len(picture), hashlib.sha256(picture).hexdigest())
+        assert (r.media_width, r.media_height, r.media_depth, r.payload_bytes) == (64, len(data) // 64, 8, len(data))
+        assert r.media_feature == plain_features(data)
+
+
 def test_shards_are_tar_files(spark, docs):
     import io
     import tarfile

@@ -51,10 +51,9 @@ def assign(df: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "tex
 def write_shards(df: DataFrame, path: str | None = None, **options) -> str:
     """Write ``df`` with its places as Parquet below ``path`` (a new shared folder unless given), which is returned.
 
-    A folder for each shard, whose files hold ranges of slots in order: rows are dealt by ranges of (shard, slot), so no task
-    holds a whole shard.
+    A bucket's places are one stretch of the permutation, so a task writes the buckets that it has permuted as they are, in slot
+    order, to the folders of their shards; rows move once, when they are scattered.
     """
     path = path or shared_folder(df.sparkSession, "shards")
-    placed = assign(df, **options)
-    placed.repartitionByRange(F.col("shard"), F.col("slot")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    assign(df, **options).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return path

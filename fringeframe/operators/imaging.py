@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fringeframe.functions.sky import ARCSEC, image_weight
+from fringeframe.session import held
 
-#: Samples whose phases are held at a time.
-ROWS = 4096
+#: Samples whose phases are held at a time, keys whose arrays a task holds, groups of tasks whose arrays are added first.
+ROWS, MOST_KEYS, FAN = 4096, 64, 16
 
 
 def samples(vis: DataFrame, frequency: Column) -> DataFrame:
@@ -23,34 +26,115 @@ def samples(vis: DataFrame, frequency: Column) -> DataFrame:
     return vis.where(~F.coalesce(F.col("flag"), F.lit(False))).select("spw", "chan", u_lambda(frequency).alias("u"), v_lambda(frequency).alias("v"), "re", "im", "sig_re", "sig_im")
 
 
-def gridded_sums(points: DataFrame, ny: int, nx: int, y_arcsec: np.ndarray, x_arcsec: np.ndarray, columns: tuple[str, ...], keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, pix_y, pix_x, value per column): sum over samples of Re[(a + ib) e^{+2 pi i (u x + v y)}] for each pair of columns.
+@dataclass(frozen=True)
+class Plane:
+    """Sums over samples of Re[(re + i im) e^{+2 pi i (u x + v y)}] on a grid; im None is zero."""
+
+    name: str
+    ys: tuple[float, ...]
+    xs: tuple[float, ...]
+    re: str
+    im: str | None = None
 
-    ``columns`` are names of pairs (name_re, name_im). The phase factors into axes, so a batch costs a product of small
-    matrices. A task keeps one array per key it meets and emits it once; the arrays are then added by pixel.
-    """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple, np.ndarray] = {}
-        for frame in frames:
-            groups = frame.groupby(list(keys), sort=False) if keys else [((), frame)]
-            for key, own in groups:
-                total = sums.setdefault(key if isinstance(key, tuple) else (key,), np.zeros((len(columns), ny, nx)))
-                for at in range(0, len(own), ROWS):
-                    part = own.iloc[at : at + ROWS]
-                    ex = np.exp(2j * math.pi * ARCSEC * np.outer(part.u.to_numpy(), x_arcsec))
-                    ey = np.exp(2j * math.pi * ARCSEC * np.outer(part.v.to_numpy(), y_arcsec))
-                    for k, name in enumerate(columns):
-                        value = part[f"{name}_re"].to_numpy() + 1j * part[f"{name}_im"].to_numpy()
-                        total[k] += ((ey * value[:, None]).T @ ex).real
-        iy, ix = (a.reshape(-1) for a in np.mgrid[0:ny, 0:nx])
-        for key, total in sums.items():
-            yield pd.DataFrame({**dict(zip(keys, key, strict=True)), "pix_y": iy, "pix_x": ix, **{n: total[k].reshape(-1) for k, n in enumerate(columns)}})
+def one_pass(points: DataFrame, planes: Sequence[Plane], totals: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, plane, pix_y, pix_x, value): all planes and the sums of the columns ``totals`` (planes of one pixel) from one scan.
 
+    The phase factors into axes, so a batch costs a product of small matrices, and planes on the same grid share it. With
+    keys, rows are dealt by them first, so a task meets few; one that meets more than MOST_KEYS emits what it has and goes on. A
+    task's sums leave as one array, arrays are added in FAN groups of tasks, and only those are taken apart by pixel.
+    """
+    numbers = dict.fromkeys(c for p in planes for c in (p.re, p.im) if c)
+    places = [(p.name, iy, ix) for p in planes for iy in range(len(p.ys)) for ix in range(len(p.xs))] + [(t, 0, 0) for t in totals]
+    names = [p.name for p in planes] + list(totals)
+    number = {n: k for k, n in enumerate(names)}
+    plane_of, y_of, x_of = (np.array(c, np.int32) for c in ([number[n] for n, _, _ in places], [y for _, y, _ in places], [x for _, _, x in places]))
     kinds = dict(points.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "pix_y int", "pix_x int", *(f"{n} double" for n in columns)])
-    partial = points.mapInPandas(run, schema)
-    return partial.groupBy(*keys, "pix_y", "pix_x").agg(*(F.sum(n).alias(n) for n in columns))
+    columns = list(dict.fromkeys(["u", "v", *numbers, *totals]))
+    source = points.select(*keys, *columns)
+    if keys:
+        source = source.withColumn("deal_", F.spark_partition_id() % FAN).repartition(*keys, "deal_").drop("deal_")
+
+    def sums_of(batch: pa.RecordBatch, rows: np.ndarray) -> np.ndarray:
+        get = {n: batch.column(n).to_numpy(zero_copy_only=False)[rows] for n in columns}
+        out = []
+        for at in range(0, len(rows), ROWS):
+            part = slice(at, at + ROWS)
+            turned: dict[tuple, np.ndarray] = {}
+            own = []
+            for p in planes:
+                for axis, values in (("u", p.xs), ("v", p.ys)):
+                    if (axis, values) not in turned:
+                        turned[axis, values] = np.exp(2j * math.pi * ARCSEC * np.outer(get[axis][part], values))
+                value = get[p.re][part] + (1j * get[p.im][part] if p.im else 0)
+                own.append(((turned["v", p.ys] * value[:, None]).T @ turned["u", p.xs]).real.reshape(-1))
+            out.append(np.concatenate([*own, [get[t][part].sum() for t in totals]]))
+        return np.sum(out, axis=0)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine: dict[tuple, np.ndarray] = {}
+        group = TaskContext.get().partitionId() % FAN
+
+        def flush() -> pa.RecordBatch:
+            rows = list(mine.items())
+            mine.clear()
+            return pa.RecordBatch.from_arrays([*(pa.array([k[c] for k, _ in rows], column_kinds[c]) for c in range(len(keys))), pa.array([group] * len(rows), pa.int32()), pa.array([v for _, v in rows], pa.list_(pa.float64()))], [*keys, "group_", "sums_"])
+
+        for batch in batches:
+            column_kinds = [batch.column(k).type for k in keys]
+            if keys:
+                coded = [batch.column(k).dictionary_encode() for k in keys]
+                code = np.zeros(batch.num_rows, np.int64)
+                for c in coded:
+                    code = code * (len(c.dictionary) + 1) + c.indices.fill_null(len(c.dictionary)).to_numpy()
+                found = [np.flatnonzero(code == k) for k in np.unique(code)]
+            else:
+                found = [np.arange(batch.num_rows)]
+            for rows in found:
+                if not len(rows):
+                    continue
+                key = tuple(batch.column(k)[int(rows[0])].as_py() for k in keys)
+                mine[key] = mine[key] + sums_of(batch, rows) if key in mine else sums_of(batch, rows)
+                if len(mine) > MOST_KEYS:
+                    yield flush()
+        if mine:
+            yield flush()
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (keys, group) to one set of pixels each."""
+        mark, total = None, None
+
+        def rows() -> pa.RecordBatch:
+            own = [pa.array([v] * len(total), kind) for v, kind in zip(mark[:-1], column_kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*own, pa.array(plane_of), pa.array(y_of), pa.array(x_of), pa.array(total)], [*keys, "plane_", "pix_y", "pix_x", "value"])
+
+        for batch in batches:
+            column_kinds = [c.type for c in batch.columns[: len(keys)]]
+            for k in range(batch.num_rows):
+                now = tuple(c[k].as_py() for c in batch.columns[: len(keys) + 1])
+                value = batch.column("sums_")[k].values.to_numpy()
+                if now == mark:
+                    total = total + value
+                    continue
+                if mark is not None:
+                    yield rows()
+                mark, total = now, value
+        if mark is not None:
+            yield rows()
+
+    of_keys = "".join(f"`{k}` {kinds[k]}, " for k in keys)
+    arrays = source.mapInArrow(partial, f"{of_keys}group_ int, sums_ array<double>")
+    grouped = arrays.repartition(*keys, "group_").sortWithinPartitions(*keys, "group_")
+    taken = grouped.mapInArrow(added, f"{of_keys}plane_ int, pix_y int, pix_x int, value double")
+    summed = taken.groupBy(*keys, "plane_", "pix_y", "pix_x").agg(F.sum("value").alias("value"))
+    return summed.select(*keys, F.element_at(F.array(*(F.lit(n) for n in names)), F.col("plane_") + 1).alias("plane"), "pix_y", "pix_x", "value")
+
+
+def gridded_sums(points: DataFrame, ny: int, nx: int, y_arcsec: np.ndarray, x_arcsec: np.ndarray, columns: tuple[str, ...], keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, pix_y, pix_x, value per column): ``one_pass`` over planes of one grid, side by side; ``columns`` are names of pairs (name_re, name_im)."""
+    planes = [Plane(n, tuple(map(float, y_arcsec)), tuple(map(float, x_arcsec)), f"{n}_re", f"{n}_im") for n in columns]
+    long = one_pass(points, planes, (), keys)
+    return long.groupBy(*keys, "pix_y", "pix_x").agg(*(F.sum(F.when(F.col("plane") == n, F.col("value"))).alias(n) for n in columns))
 
 
 def axes(n: int, fov_arcsec: float) -> tuple[np.ndarray, np.ndarray]:
@@ -60,24 +144,66 @@ def axes(n: int, fov_arcsec: float) -> tuple[np.ndarray, np.ndarray]:
     return -at, -at
 
 
+def weighted(points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The columns that planes and totals of the terms are made of."""
+    w, sr, si = image_weight(F.col("sig_re"), F.col("sig_im")), F.col("sig_re") * F.col("sig_re"), F.col("sig_im") * F.col("sig_im")
+    return points.select(
+        *keys,
+        "u",
+        "v",
+        w.alias("sum_w"),
+        (w * F.col("re")).alias("w_re"),
+        (w * F.col("im")).alias("w_im"),
+        (F.col("re") / sr).alias("d_re"),
+        (F.col("im") / si).alias("d_im"),
+        F.lit(1.0).alias("n_vis"),
+        (F.col("re") * F.col("re") / sr + F.col("im") * F.col("im") / si).alias("data_term"),
+        (F.log(F.lit(2 * math.pi) * sr) + F.log(F.lit(2 * math.pi) * si)).alias("noise_norm"),
+    )
+
+
+def grid(n: int, fov_arcsec: float) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    return tuple(tuple(map(float, a)) for a in axes(n, fov_arcsec))
+
+
 def dirty_image(points: DataFrame, n: int, fov_arcsec: float) -> DataFrame:
-    """(pix_y, pix_x, dirty, beam): natural-weight image of the data and of a unit point, divided by the sum of weights."""
-    w = image_weight(F.col("sig_re"), F.col("sig_im"))
-    weighted = points.select("u", "v", (w * F.col("re")).alias("dirty_re"), (w * F.col("im")).alias("dirty_im"), w.alias("beam_re"), F.lit(0.0).alias("beam_im"))
-    y, x = axes(n, fov_arcsec)
-    sums = gridded_sums(weighted, n, n, y, x, ("dirty", "beam"))
-    total = points.agg(F.sum(w).alias("sum_w"))
-    return sums.crossJoin(F.broadcast(total)).select("pix_y", "pix_x", (F.col("dirty") / F.col("sum_w")).alias("dirty"), (F.col("beam") / F.col("sum_w")).alias("beam"))
+    """(pix_y, pix_x, dirty, beam): natural-weight image of the data and of a unit point, divided by the sum of weights; one scan."""
+    y, x = grid(n, fov_arcsec)
+    long = held(one_pass(weighted(points), [Plane("dirty", y, x, "w_re", "w_im"), Plane("beam", y, x, "sum_w")], ["sum_w"]))
+    total = long.where("plane = 'sum_w'").select(F.col("value").alias("total_"))
+    wide = long.where("plane <> 'sum_w'").groupBy("pix_y", "pix_x").agg(*(F.sum(F.when(F.col("plane") == p, F.col("value"))).alias(p) for p in ("dirty", "beam")))
+    return wide.crossJoin(F.broadcast(total)).select("pix_y", "pix_x", *((F.col(p) / F.col("total_")).alias(p) for p in ("dirty", "beam")))  # one row
+
+
+def lags(n: int, fov_arcsec: float) -> tuple[float, ...]:
+    """Offsets of the doubled grid, from -n to n - 1 pixels."""
+    return tuple(map(float, -np.arange(-n, n) * (fov_arcsec / n)))
 
 
 def kernel(points: DataFrame, n: int, fov_arcsec: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """(lag_y, lag_x, kernel): sum of cos 2 pi (u dx + v dy) / sigma^2 at every lag of the doubled grid, from -n to n-1 pixels."""
-    sigma2 = (F.col("sig_re") * F.col("sig_re") + F.col("sig_im") * F.col("sig_im")) / 2.0
-    step = fov_arcsec / n
-    lags = np.arange(-n, n)
-    weighted = points.select(*keys, "u", "v", (F.lit(1.0) / sigma2).alias("kernel_re"), F.lit(0.0).alias("kernel_im"))
-    sums = gridded_sums(weighted, 2 * n, 2 * n, -lags * step, -lags * step, ("kernel",), keys)
-    return sums.select(*keys, (F.col("pix_y") - n).alias("lag_y"), (F.col("pix_x") - n).alias("lag_x"), "kernel")
+    at = lags(n, fov_arcsec)
+    long = one_pass(weighted(points, keys), [Plane("kernel", at, at, "sum_w")], (), keys)
+    return long.select(*keys, (F.col("pix_y") - n).alias("lag_y"), (F.col("pix_x") - n).alias("lag_x"), F.col("value").alias("kernel"))
+
+
+SCALARS = ("n_vis", "sum_w", "data_term", "noise_norm")
+
+
+def terms(points: DataFrame, n: int, fov_arcsec: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, plane, pix_y, pix_x, value): kernel (lags from -n), dirty image and beam sums, data image and the scalars of each key, from one scan.
+
+    All are additive, so those of several windows or channels are the sum of theirs (``added_terms``).
+    """
+    y, x = grid(n, fov_arcsec)
+    at = lags(n, fov_arcsec)
+    planes = [Plane("kernel", at, at, "sum_w"), Plane("dirty", y, x, "w_re", "w_im"), Plane("beam", y, x, "sum_w"), Plane("data", y, x, "d_re", "d_im")]
+    return one_pass(weighted(points, keys), planes, SCALARS, keys)
+
+
+def added_terms(parts: DataFrame) -> DataFrame:
+    """Terms of all keys as those of one dataset: field-wise sums."""
+    return parts.groupBy("plane", "pix_y", "pix_x").agg(F.sum("value").alias("value"))
 
 
 def scalar_terms(points: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

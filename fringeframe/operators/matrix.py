@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def gram_of_arrays(rows: DataFrame, array: str, width: int) -> DataFrame:
-    """(i, j, f): A'A for rows of arrays, i <= j. Each row adds to width (width + 1) / 2 sums in one map-side aggregation; no row meets another."""
-    at = lambda k: F.element_at(array, k + 1).cast("double")
-    sums = [(i, j) for i in range(width) for j in range(i, width)]
-    total = rows.agg(*(F.sum(at(i) * at(j)).alias(f"s{i}_{j}") for i, j in sums))
-    packed = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"s{i}_{j}").alias("f")) for i, j in sums)))
-    return total.select(packed.alias("c")).select("c.i", "c.j", "c.f")
+def gram_of_arrays(rows: DataFrame, array: str) -> DataFrame:
+    """(i, j, f): A'A for rows of arrays of one length, i <= j. A task adds the products of its batches to one matrix and emits it once; rows with a null are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: np.ndarray | None = None
+        for batch in batches:
+            lists = batch.column(0).drop_null()
+            if not len(lists):
+                continue
+            m = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+            m = m[np.isfinite(m).all(axis=1)]
+            total = m.T @ m if total is None else total + m.T @ m
+        if total is not None:
+            i, j = np.triu_indices(len(total))
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], ["i", "j", "f"])
+
+    return rows.select(array).mapInArrow(run, "i int, j int, f double").groupBy("i", "j").agg(F.sum("f").alias("f"))
 
 
 def normal_equations(rows: DataFrame, columns: Sequence[Column], target: Column, weight: Column) -> DataFrame:

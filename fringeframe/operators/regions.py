@@ -4,31 +4,49 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fringeframe.session import held
 
+
 def peak(image: DataFrame, value: str) -> DataFrame:
     """The pixel of largest value; of equal ones the first in row order."""
     return image.orderBy(F.col(value).desc(), "pix_y", "pix_x").limit(1).select("pix_y", "pix_x", F.col(value).alias("peak"))
 
 
+#: Centres up to this many are broadcast to the pixels; beyond it they meet by tiles.
+FEW = 10_000
+
+
 def excluding(image: DataFrame, centres: DataFrame, radius: float) -> DataFrame:
-    """Pixels further than ``radius`` arcseconds from every centre (y_as, x_as); centres are the few components found so far."""
-    c = F.broadcast(centres.select(F.col("y_as").alias("cy"), F.col("x_as").alias("cx")))
+    """Pixels further than ``radius`` arcseconds from every centre (y_as, x_as)."""
+    c = centres.select(F.col("y_as").alias("cy"), F.col("x_as").alias("cx"))
     near = (F.pow(F.col("y_as") - F.col("cy"), 2) + F.pow(F.col("x_as") - F.col("cx"), 2)) <= F.lit(radius * radius)
-    return image.join(c, near, "left_anti")
+    if c.limit(FEW + 1).count() <= FEW:
+        return image.join(F.broadcast(c), near, "left_anti")
+    tile = lambda y, x: (F.floor(F.col(y) / F.lit(radius)), F.floor(F.col(x) / F.lit(radius)))
+    ty, tx = tile("cy", "cx")
+    around = c.withColumn("d_", F.explode(F.sequence(F.lit(0), F.lit(8)))).select("cy", "cx", (ty + F.floor(F.col("d_") / 3) - 1).alias("ty_"), (tx + F.col("d_") % 3 - 1).alias("tx_"))
+    py, px = tile("y_as", "x_as")
+    placed = image.withColumns({"py_": py, "px_": px})
+    return placed.join(around, (F.col("py_") == F.col("ty_")) & (F.col("px_") == F.col("tx_")) & near, "left_anti").drop("py_", "px_")
 
 
-def envelope(image: DataFrame, value: str, rms: float, n_sigma: float = 5.0, share: float = 0.2) -> DataFrame:
-    """Flux-weighted centre and spread of the pixels above max(n_sigma rms, share of the peak)."""
-    top = image.agg(F.max(value).alias("top"))
-    bright = image.crossJoin(F.broadcast(top)).where(F.col(value) > F.greatest(F.lit(n_sigma * rms), F.lit(share) * F.col("top")))
-    v = F.col(value)
-    sums = bright.agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("s"), F.sum(v * F.col("x_as")).alias("sx"), F.sum(v * F.col("y_as")).alias("sy"), F.sum(v * (F.col("x_as") * F.col("x_as") + F.col("y_as") * F.col("y_as"))).alias("sr"))
-    x, y = F.col("sx") / F.col("s"), F.col("sy") / F.col("s")
-    return sums.select("n", x.alias("x_as"), y.alias("y_as"), F.sqrt(F.greatest(F.col("sr") / F.col("s") - x * x - y * y, F.lit(0.0)) / 2.0).alias("sigma_as"))
+def envelope(image: DataFrame, value: str, rms: float, n_sigma: float = 5.0, share: float = 0.2, least: int = 4, floor: float = 0.0, most: float = math.inf) -> DataFrame:
+    """(n, x_as, y_as, sigma_as): the brightest pixel, and the spread about it of the pixels above max(n_sigma rms, share of the peak).
+
+    Fewer than ``least`` such pixels give the ``floor``, which is the least answer anyway; ``most`` is the largest.
+    """
+    top = image.agg(F.max_by(F.struct(F.col(value).alias("top"), F.col("y_as").alias("cy"), F.col("x_as").alias("cx")), F.struct(value, -F.col("pix_y"), -F.col("pix_x"))).alias("t")).select("t.*")
+    bright = image.crossJoin(F.broadcast(top)).where(F.col(value) > F.greatest(F.lit(n_sigma * rms), F.lit(share) * F.col("top")))  # one row
+    v = F.greatest(F.col(value), F.lit(0.0))
+    off = F.pow(F.col("x_as") - F.col("cx"), 2) + F.pow(F.col("y_as") - F.col("cy"), 2)
+    sums = bright.agg(F.count(F.lit(1)).alias("n"), (F.sum(v * off) / F.sum(v) / 2.0).alias("var"))
+    sigma = F.when(F.col("n") >= least, F.greatest(F.sqrt(F.greatest(F.col("var"), F.lit(0.0))), F.lit(floor))).otherwise(F.lit(floor))
+    return sums.crossJoin(F.broadcast(top)).select("n", F.col("cx").alias("x_as"), F.col("cy").alias("y_as"), F.least(sigma, F.lit(most)).alias("sigma_as"))
 
 
 def block_contrast(image: DataFrame, value: str, k: int) -> DataFrame:
@@ -44,12 +62,28 @@ def ring_average(image: DataFrame, value: str, n: int) -> DataFrame:
     return image.groupBy(r.alias("ring")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
 
 
-def sliding(image: DataFrame, value: str, k: int) -> DataFrame:
-    """Max over a k x k frame, then mean over another, both clipped at the edges; each is two passes along the axes."""
-    half = k // 2
-    rows, cols = Window.partitionBy("pix_y").orderBy("pix_x").rowsBetween(-half, half), Window.partitionBy("pix_x").orderBy("pix_y").rowsBetween(-half, half)
-    high = image.withColumn("m", F.max(value).over(rows)).withColumn("m", F.max("m").over(cols))
-    return high.withColumn("d", F.avg("m").over(rows)).select("pix_y", "pix_x", F.avg("d").over(cols).alias("smooth"))
+def sliding(image: DataFrame, value: str, k: int, n: int) -> DataFrame:
+    """(pix_y, pix_x, smooth): max over a k x k frame, then mean over another, of an n x n image whose edge values repeat outwards.
+
+    A frame reaches (k - 1) // 2 beyond a pixel and k // 2 before it. Max and mean are separable, so each is two passes along the
+    axes; what a frame takes from outside is its edge value, which is counted instead of copied.
+    """
+    before, after = k // 2, (k - 1) // 2
+
+    def along(df: DataFrame, name: str, line: str, at: str, mean: bool) -> DataFrame:
+        w = Window.partitionBy(line).orderBy(at)
+        frame = w.rowsBetween(-before, after)
+        if not mean:
+            return df.withColumn(name, F.max(name).over(frame))
+        ends = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        short = F.greatest(F.lit(before) - F.col(at), F.lit(0)) * F.first(name).over(ends) + F.greatest(F.col(at) + F.lit(after - n + 1), F.lit(0)) * F.last(name).over(ends)
+        return df.withColumn(name, (F.sum(name).over(frame) + short) / F.lit(float(k)))
+
+    made = image.select("pix_y", "pix_x", F.col(value).alias("smooth"))
+    for mean in (False, True):
+        made = along(made, "smooth", "pix_y", "pix_x", mean)
+        made = along(made, "smooth", "pix_x", "pix_y", mean)
+    return made
 
 
 def structure_ratio(residual: DataFrame, value: str, rms: float, chi2_per_datum: float) -> DataFrame:
@@ -79,15 +113,51 @@ def dilated(mask: DataFrame, steps: int) -> DataFrame:
     return spread.select((F.col("pix_y") + F.col("m.y")).alias("pix_y"), (F.col("pix_x") + F.col("m.x")).alias("pix_x")).distinct()
 
 
-def connected_region(pixels: DataFrame, y: int, x: int, rounds: int = 1000) -> DataFrame:
-    """Pixels that touch (y, x) through sides: the front grows by one join a round until nothing is added."""
-    reached = pixels.where((F.col("pix_y") == y) & (F.col("pix_x") == x)).select("pix_y", "pix_x").transform(held)
+#: Side of the tiles that are labelled in one task.
+TILE = 256
+
+
+def labelled_tiles(pixels: DataFrame, tile: int = TILE) -> DataFrame:
+    """(pix_y, pix_x, label): pixels that touch through sides inside a tile share a label, which no other tile uses."""
+
+    def label(frame: pd.DataFrame) -> pd.DataFrame:
+        y, x = frame.pix_y.to_numpy(np.int64), frame.pix_x.to_numpy(np.int64)
+        y0, x0 = y.min() // tile * tile, x.min() // tile * tile
+        place = np.full((tile + 1, tile + 1), -1)
+        place[y - y0, x - x0] = np.arange(len(y))
+        labels = np.arange(len(y))
+        right, down = place[y - y0, x - x0 + 1], place[y - y0 + 1, x - x0]
+        a = np.concatenate([np.flatnonzero(right >= 0), np.flatnonzero(down >= 0)])
+        b = np.concatenate([right[right >= 0], down[down >= 0]])
+        while True:
+            la, lb = labels[a], labels[b]
+            if (la == lb).all():
+                break
+            np.minimum.at(labels, np.maximum(la, lb), np.minimum(la, lb))
+            while not np.array_equal(jumped := labels[labels], labels):
+                labels = jumped
+        root = labels
+        return pd.DataFrame({"pix_y": frame.pix_y, "pix_x": frame.pix_x, "label": (y[root] << 32) | x[root]})
+
+    kinds = dict(pixels.dtypes)
+    return pixels.groupBy(F.floor(F.col("pix_y") / tile), F.floor(F.col("pix_x") / tile)).applyInPandas(label, f"pix_y {kinds['pix_y']}, pix_x {kinds['pix_x']}, label long")
+
+
+def connected_region(pixels: DataFrame, y: int, x: int, tile: int = TILE, rounds: int = 1000) -> DataFrame:
+    """Pixels that touch (y, x) through sides, none if (y, x) isn't one of them. Whole tiles are labelled at once; a round then steps from tile to tile."""
+    labelled = held(labelled_tiles(pixels.select("pix_y", "pix_x").distinct(), tile))
+    move = F.explode(F.array(F.struct(F.lit(1).alias("dy"), F.lit(0).alias("dx")), F.struct(F.lit(0).alias("dy"), F.lit(1).alias("dx"))))
+    edge = ((F.col("pix_y") % tile == tile - 1) | (F.col("pix_x") % tile == tile - 1))
+    side = labelled.where(edge).withColumn("m", move).select(F.col("label").alias("a"), (F.col("pix_y") + F.col("m.dy")).alias("pix_y"), (F.col("pix_x") + F.col("m.dx")).alias("pix_x"))
+    touching = side.join(labelled, ["pix_y", "pix_x"]).where("a <> label").select("a", F.col("label").alias("b")).distinct()
+    both = held(touching.unionByName(touching.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    reached = held(labelled.where((F.col("pix_y") == y) & (F.col("pix_x") == x)).select("label"))
     front = reached
     for _ in range(rounds):
-        step = dilated(front, 1).join(pixels.select("pix_y", "pix_x"), ["pix_y", "pix_x"], "left_semi").join(reached, ["pix_y", "pix_x"], "left_anti").transform(held)
+        step = held(front.join(both, F.col("label") == F.col("a")).select(F.col("b").alias("label")).distinct().join(reached, "label", "left_anti"))
         if step.isEmpty():
-            return reached
-        reached, front = reached.union(step).transform(held), step
+            return labelled.join(reached, "label", "left_semi").select("pix_y", "pix_x")
+        reached, front = held(reached.union(step)), step
     raise RuntimeError("the region did not close")
 
 
@@ -135,14 +205,24 @@ def snr_mask(cells: DataFrame, n_sigma: float, min_channels: int, keys: tuple[st
     return cells.join(counts, list(keys)).withColumn("keep", bright & (F.col("bright_") >= min_channels)).drop("bright_")
 
 
+def near_pairs(found: DataFrame, truth: DataFrame, tolerance: float) -> DataFrame:
+    """(found_id, truth_id, bright, d2, ratio) of pairs less than ``tolerance`` apart, met by tiles of that size: one side goes to its tile, the other to nine."""
+    tile = lambda c: F.floor(F.col(c) / F.lit(float(tolerance))).cast("long")
+    near = F.explode(F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1))))
+    left = found.withColumn("n_", near).withColumns({"ty": tile("y_as") + F.col("n_.y"), "tx": tile("x_as") + F.col("n_.x")}).alias("f")
+    right = truth.withColumns({"ty": tile("y_as"), "tx": tile("x_as")}).alias("t")
+    d2 = F.pow(F.col("f.x_as") - F.col("t.x_as"), 2) + F.pow(F.col("f.y_as") - F.col("t.y_as"), 2)
+    met = left.join(right, (F.col("f.ty") == F.col("t.ty")) & (F.col("f.tx") == F.col("t.tx"))).where(d2 < F.lit(float(tolerance) ** 2))
+    return met.select(F.col("f.id").alias("found_id"), F.col("t.id").alias("truth_id"), F.abs("f.flux").alias("bright"), d2.alias("d2"), (F.col("f.flux") / F.col("t.flux")).alias("ratio"))
+
+
 def greedy_matches(found: DataFrame, truth: DataFrame, tolerance: float) -> DataFrame:
-    """Detections by falling |flux|, each taking the nearest truth still free within the tolerance.
+    """Detections by falling |flux|, each taking the nearest truth still free that is less than the tolerance away.
 
     A pair is settled once it is the first choice left on both sides, so a round takes every such pair at once.
     found, truth: id, x_as, y_as, flux.
     """
-    d2 = F.pow(F.col("f.x_as") - F.col("t.x_as"), 2) + F.pow(F.col("f.y_as") - F.col("t.y_as"), 2)
-    pairs = found.alias("f").join(truth.alias("t"), d2 <= F.lit(tolerance**2)).select(F.col("f.id").alias("found_id"), F.col("t.id").alias("truth_id"), F.abs("f.flux").alias("bright"), d2.alias("d2"), (F.col("f.flux") / F.col("t.flux")).alias("ratio")).transform(held)
+    pairs = held(near_pairs(found, truth, tolerance))
     done = None
     while not pairs.isEmpty():
         mine = pairs.withColumn("first_", F.row_number().over(Window.partitionBy("found_id").orderBy("d2", "truth_id")))
@@ -154,6 +234,16 @@ def greedy_matches(found: DataFrame, truth: DataFrame, tolerance: float) -> Data
     return done if done is not None else pairs
 
 
+def match_report(found: DataFrame, truth: DataFrame, tolerance: float) -> DataFrame:
+    """(kind, found_id, truth_id, ratio, distance): the matches, the truths missed and the false detections."""
+    matched = held(greedy_matches(found, truth, tolerance))
+    rows = matched.select(F.lit("matched").alias("kind"), "found_id", "truth_id", "ratio", F.sqrt("d2").alias("distance"))
+    none = F.lit(None).cast("double")
+    missed = truth.join(matched, F.col("id") == F.col("truth_id"), "left_anti").select(F.lit("missed").alias("kind"), F.lit(None).cast("long").alias("found_id"), F.col("id").alias("truth_id"), none.alias("ratio"), none.alias("distance"))
+    false = found.join(matched, F.col("id") == F.col("found_id"), "left_anti").select(F.lit("false").alias("kind"), F.col("id").alias("found_id"), F.lit(None).cast("long").alias("truth_id"), none.alias("ratio"), none.alias("distance"))
+    return rows.unionByName(missed).unionByName(false)
+
+
 def at_pixel_centres(positions: DataFrame, pixels: DataFrame, step: float, tolerance: float = 1e-9) -> DataFrame:
     """Positions that lie on a pixel's centre, met on whole half-pixel keys and then checked to ``tolerance``."""
     key = lambda c: F.rint(F.lit(2.0) * F.col(c) / F.lit(step)).cast("long")
@@ -164,11 +254,24 @@ def at_pixel_centres(positions: DataFrame, pixels: DataFrame, step: float, toler
     return joined.where(close).select("p.id", "g.pix_y", "g.pix_x")
 
 
-def upsampled(image: DataFrame, value: str, k: int) -> DataFrame:
-    """Each pixel as k x k pixels of its value over k^2: the sum stays."""
-    parts = F.explode(F.sequence(F.lit(0), F.lit(k * k - 1)))
-    spread = image.withColumn("part_", parts)
-    return spread.select((F.col("pix_y") * k + F.floor(F.col("part_") / k)).cast("int").alias("pix_y"), (F.col("pix_x") * k + F.col("part_") % k).cast("int").alias("pix_x"), (F.col(value) / F.lit(float(k * k))).alias(value))
+def upsampled(image: DataFrame, value: str, k: int, n: int) -> DataFrame:
+    """An n x n image on k-times finer pixels by bilinear interpolation, edge values repeated outwards, the total kept.
+
+    Each coarse pixel is sent to the fine ones that it has a share of, so the image is read once and no pixel looks its
+    neighbours up.
+    """
+    size = n * k
+    reach = F.explode(F.sequence(F.lit(-k), F.lit(2 * k - 1)))
+
+    def spread(df: DataFrame, axis: str) -> DataFrame:
+        fine = F.col(axis) * k + F.col("o_")
+        at = F.greatest(F.least((fine + 0.5) / F.lit(float(k)) - 0.5, F.lit(n - 1.0)), F.lit(0.0))
+        share = F.greatest(F.lit(1.0) - F.abs(at - F.col(axis)), F.lit(0.0))
+        return df.withColumn("o_", reach).withColumns({"s_": share, "f_": fine}).where(f"s_ > 0 and f_ between 0 and {size - 1}").withColumns({value: F.col(value) * F.col("s_"), axis: F.col("f_").cast("int")}).drop("o_", "s_", "f_")
+
+    blurred = spread(spread(image.select("pix_y", "pix_x", value), "pix_y"), "pix_x").groupBy("pix_y", "pix_x").agg(F.sum(value).alias(value))
+    scale = image.agg(F.sum(value).alias("a_")).crossJoin(blurred.agg(F.sum(value).alias("b_")))  # a row each
+    return blurred.crossJoin(F.broadcast(scale)).select("pix_y", "pix_x", (F.col(value) * F.col("a_") / F.col("b_")).alias(value))
 
 
 def apertures(image: DataFrame, value: str, radii: list[float]) -> DataFrame:
@@ -192,3 +295,52 @@ def moment_errors(draws: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Half the spread of the middle 68 in a hundred draws of each moment."""
     half = lambda c: ((F.percentile(c, F.lit(0.84)) - F.percentile(c, F.lit(0.16))) / 2.0).alias(f"{c}_error")
     return draws.groupBy(*keys).agg(F.count(F.lit(1)).alias("draws"), half("mom0"), half("mom1"))
+
+
+def mask_boundary(mask: DataFrame, spacing: int) -> DataFrame:
+    """(pix_y, pix_x) of zero points round a mask: lattice points up to two spacings outside it, and every other stretch of the pixels at its edge.
+
+    A pixel spreads to a disc of bounded size; the two kinds are united without repeats.
+    """
+    reach = 2 * spacing
+    moves = [(y, x) for y in range(-reach, reach + 1) for x in range(-reach, reach + 1) if 0 < y * y + x * x <= reach * reach]
+    spread = mask.withColumn("m", F.explode(F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in moves))))
+    outside = spread.select((F.col("pix_y") + F.col("m.y")).alias("pix_y"), (F.col("pix_x") + F.col("m.x")).alias("pix_x")).distinct().join(mask, ["pix_y", "pix_x"], "left_anti")
+    lattice = outside.where((F.col("pix_y") % spacing == 0) & (F.col("pix_x") % spacing == 0))
+    edge = dilated(mask, 1).join(mask, ["pix_y", "pix_x"], "left_anti")
+    thin = edge.where((F.floor(F.col("pix_y") / spacing) + F.floor(F.col("pix_x") / spacing)) % 2 == 0)
+    return lattice.union(thin.select("pix_y", "pix_x")).distinct()
+
+
+def distinct_points(*sets: DataFrame, digits: int = 9) -> DataFrame:
+    """The union of point sets (y_as, x_as) without repeats, coordinates rounded to ``digits`` decimals."""
+    out = sets[0].select("y_as", "x_as")
+    for s in sets[1:]:
+        out = out.union(s.select("y_as", "x_as"))
+    # Adding zero turns -0.0 into 0.0.
+    return out.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) for c in ("y_as", "x_as"))).distinct()
+
+
+def dynamic_range(planes: DataFrame, value: str, residual: str, rms: float, chi2_per_datum: float) -> DataFrame:
+    """One row: peak over rms, largest |residual| in rms and over the peak, the structure ratio, and what it says."""
+    sums = planes.agg((F.max(value) / rms).alias("peak_sigma"), (F.max(F.abs(residual)) / rms).alias("residual_sigma"), (F.stddev_pop(F.col(residual) / F.lit(rms)) / math.sqrt(chi2_per_datum)).alias("ratio"))
+    verdict = F.when(F.col("ratio") < 0.85, "over-fitted").when(F.col("ratio") <= 1.25, "noise").when(F.col("ratio") <= 1.5, "some structure").otherwise("structure")
+    return sums.select("peak_sigma", "residual_sigma", (F.col("peak_sigma") / F.col("residual_sigma")).alias("dynamic_range"), "ratio", verdict.alias("verdict"))
+
+
+def fit_scores(n: float, chi2: float, ratio: float, scatter: float) -> dict[str, float]:
+    """How far chi square per datum and the structure ratio lie from 1, in their own standard errors."""
+    return {"chi2_per_datum": chi2 / n, "chi2_sigma": (chi2 / n - 1) / math.sqrt(2.0 / n), "ratio": ratio, "ratio_sigma": (ratio - 1) / scatter}
+
+
+def empty_channel_rms(cells: DataFrame, value: str, channel: str, channels: list[int]) -> DataFrame:
+    """One row: root mean square of the finite, non-zero values of some channels."""
+    v = F.col(value)
+    used = cells.where(F.col(channel).isin(channels) & v.isNotNull() & ~F.isnan(v) & (v != 0) & (F.abs(v) < math.inf))
+    return used.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(v * v)).alias("rms"))
+
+
+def image_difference(first: DataFrame, second: DataFrame, value: str) -> DataFrame:
+    """(pix_y, pix_x, difference) of two runs, met by pixel."""
+    a, b = first.select("pix_y", "pix_x", F.col(value).alias("a_")), second.select("pix_y", "pix_x", F.col(value).alias("b_"))
+    return a.join(b, ["pix_y", "pix_x"]).select("pix_y", "pix_x", (F.col("a_") - F.col("b_")).alias("difference"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fringeframe.functions.sky import LIGHT, asymmetry, phase, pooled_sigma, u_lambda, v_lambda
+from fringeframe.operators.quantiles import quantiles
+from fringeframe.session import held
 from fringeframe.sources.adapter import ROW_KEY
 
 
@@ -61,7 +63,7 @@ def with_pooled_noise(vis: DataFrame) -> DataFrame:
 def noise_asymmetry(vis: DataFrame) -> DataFrame:
     """Median of |sig_re - sig_im| over their mean, per window, unflagged samples of positive noise."""
     used = vis.where(~F.coalesce(F.col("flag"), F.lit(False)) & (F.col("sig_re") > 0) & (F.col("sig_im") > 0))
-    return used.groupBy("spw").agg(F.percentile(asymmetry(F.col("sig_re"), F.col("sig_im")), F.lit(0.5)).alias("asymmetry"))
+    return quantiles(used, asymmetry(F.col("sig_re"), F.col("sig_im")), [0.5], ("spw",)).select("spw", F.col("q0").alias("asymmetry"))
 
 
 def recentred(flat: DataFrame, x0: float, y0: float) -> DataFrame:
@@ -85,17 +87,12 @@ def kept_rows(vis: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return vis.groupBy(*keys).agg(F.bool_and(F.coalesce(F.col("flag"), F.lit(False))).alias("all_"), F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.col("u_m") * F.col("u_m") + F.col("v_m") * F.col("v_m"))).alias("length_m")).select(*keys, "n", "length_m", (~F.col("all_")).alias("keep"))
 
 
-def baseline_percentile(vis: DataFrame, hz: Column, keys: tuple[str, ...], q: float = 0.95, exact: bool = True) -> DataFrame:
-    """The q-quantile of |uv| in wavelengths at each window's highest frequency over rows not flagged everywhere, and the longest of all rows.
-
-    ``exact`` interpolates over all lengths; otherwise an approximate quantile of bounded state does for any number of rows.
-    """
+def baseline_percentile(vis: DataFrame, hz: Column, keys: tuple[str, ...], q: float = 0.95) -> DataFrame:
+    """The q-quantile of |uv| in wavelengths at each window's highest frequency over rows not flagged everywhere, and the longest of all rows."""
     top = vis.select("spw", "chan").distinct().withColumn("f", hz).groupBy("spw").agg(F.max("f").alias("f_max"))
-    rows = kept_rows(vis, ("spw", *keys)).join(F.broadcast(top), "spw")  # a row for each window
-    length = F.col("length_m") * F.col("f_max") / F.lit(LIGHT)
-    kept = F.when(F.col("keep"), length)
-    quantile = F.percentile(kept, F.lit(q)) if exact else F.percentile_approx(kept, q, 10_000)
-    return rows.agg(F.count_if("keep").alias("rows_kept"), quantile.alias("b_percentile"), F.max(length).alias("b_max"))
+    rows = held(kept_rows(vis, ("spw", *keys)).join(top, "spw").select("keep", (F.col("length_m") * F.col("f_max") / F.lit(LIGHT)).alias("length")))
+    found = quantiles(rows.where("keep"), F.col("length"), [q]).select(F.col("q0").alias("b_percentile"))
+    return rows.agg(F.count_if("keep").alias("rows_kept"), F.max("length").alias("b_max")).crossJoin(F.broadcast(found)).select("rows_kept", "b_percentile", "b_max")
 
 
 def band(vis: DataFrame, hz: Column) -> DataFrame:
@@ -123,11 +120,18 @@ def first_null(binned: DataFrame) -> DataFrame:
     return low.agg(F.min_by(F.struct("bin", "q"), "bin").alias("b")).select(F.col("b.bin").alias("bin"), F.col("b.q").alias("q"), (F.lit(3.8317 / (2 * math.pi) * 648000.0 / math.pi) / F.col("b.q")).alias("radius_arcsec"))
 
 
-def shortest(flat: DataFrame, k: int) -> DataFrame:
-    """Mean real part over the k shortest samples: about the total flux."""
-    q = F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v"))
-    top = flat.withColumn("q", q).orderBy("q", *ROW_KEY).limit(k)
-    return top.agg(F.count(F.lit(1)).alias("n"), F.avg("re").alias("mean_re"), F.max("q").alias("q_max"))
+def shortest(flat: DataFrame, least: int = 8, share: int = 50) -> DataFrame:
+    """Mean real part over the shortest samples, one in ``share`` and ``least`` at least: about the total flux.
+
+    Samples of the last length that counts share what is left of the number, so nothing is sorted.
+    """
+    rows = held(flat.select(F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")).alias("q"), "re"))
+    n = rows.count()
+    k = min(n, max(least, n // share))
+    edge = quantiles(rows, F.col("q"), [(k - 1) / (n - 1) if n > 1 else 0.0]).select(F.col("q0").alias("edge"))
+    below, at = F.col("q") < F.col("edge"), F.col("q") == F.col("edge")
+    sums = rows.crossJoin(F.broadcast(edge)).agg(F.count_if(below).alias("m"), F.coalesce(F.sum(F.when(below, F.col("re"))), F.lit(0.0)).alias("s"), F.avg(F.when(at, F.col("re"))).alias("tied"), F.max("edge").alias("q_max"))  # one row
+    return sums.select(F.lit(k).cast("long").alias("n"), ((F.col("s") + (F.lit(k) - F.col("m")) * F.col("tied")) / F.lit(float(max(k, 1)))).alias("mean_re"), "q_max")
 
 
 def baseline_ids(vis: DataFrame) -> DataFrame:

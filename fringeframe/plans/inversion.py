@@ -41,13 +41,13 @@ def collect_terms(points: DataFrame, n: int, fov_arcsec: float) -> Terms:
     """The arrays of an n x n mesh; their size depends on the mesh alone, not on the number of samples."""
     if n * n > MOST_MESH:
         raise ValueError(f"a dense solve takes {MOST_MESH} mesh points at most")
-    kernel = imaging.kernel(points, n, fov_arcsec).toPandas()
-    image = imaging.dirty_image(points, n, fov_arcsec).toPandas()
-    scalars = imaging.scalar_terms(points).first()
+    found = imaging.terms(points, n, fov_arcsec).toPandas()
+    own = {name: frame for name, frame in found.groupby("plane")}
     k, d = np.zeros((2 * n, 2 * n)), np.zeros((n, n))
-    k[kernel.lag_y + n, kernel.lag_x + n] = kernel.kernel
-    d[image.pix_y, image.pix_x] = image.dirty * scalars.sum_w
-    return Terms(k, d, scalars.n_vis, scalars.sum_w, scalars.data_term, scalars.noise_norm)
+    for name, out in (("kernel", k), ("dirty", d)):
+        out[own[name].pix_y, own[name].pix_x] = own[name].value
+    n_vis, sum_w, data_term, noise_norm = (float(own[s].value.iloc[0]) for s in imaging.SCALARS)
+    return Terms(k, d, round(n_vis), sum_w, data_term, noise_norm)
 
 
 def covariance(n: int, step: float, scale: float, kind: str = "matern", jitter: float = 1e-8) -> np.ndarray:
@@ -144,6 +144,11 @@ class System:
         evidence = -0.5 * (chi2 + penalty + log_det(a) - len(s) * np.log(strength) - self.log_h + self.terms.noise_norm)
         return Trial(log_strength, chi2, evidence, s)
 
+    def gamma(self, log_strength: float) -> float:
+        """Number of well-determined parameters: n - tr((F + H)^-1 H)."""
+        strength = 10.0**log_strength
+        return len(self.d) - float(np.trace(np.linalg.solve(self.f + strength * self.h, strength * self.h)))
+
     def posterior(self, log_strength: float) -> np.ndarray:
         """Standard deviation of each mesh point, widened where chi square exceeds its number of data."""
         best = self.trial(log_strength)
@@ -180,29 +185,30 @@ def search_discrepancy(system: System, target: float = 1.0, positive: bool = Fal
 
 
 def solve_channels(points: DataFrame, n: int, fov_arcsec: float, log_strength: float, scale: float, kind: str = "matern") -> DataFrame:
-    """(spw, chan, pix_y, pix_x, value): every channel solved with a frozen prior, each in a task of its own from its own terms."""
+    """(spw, chan, pix_y, pix_x, value): every channel solved with a frozen prior, each in a task of its own from its own terms.
+
+    The terms of all channels come from one scan; the prior's inverse, of mesh size, is made once and broadcast.
+    """
     keys = ("spw", "chan")
-    kernel = imaging.kernel(points, n, fov_arcsec, keys).select(*keys, F.lit("k").alias("kind"), (F.col("lag_y") + n).alias("y"), (F.col("lag_x") + n).alias("x"), F.col("kernel").alias("value"))
-    w = imaging.image_weight(F.col("sig_re"), F.col("sig_im"))
-    y, x = imaging.axes(n, fov_arcsec)
-    sums = imaging.gridded_sums(points.select(*keys, "u", "v", (w * F.col("re")).alias("dirty_re"), (w * F.col("im")).alias("dirty_im")), n, n, y, x, ("dirty",), keys)
-    data = sums.select(*keys, F.lit("d").alias("kind"), F.col("pix_y").alias("y"), F.col("pix_x").alias("x"), F.col("dirty").alias("value"))
+    y, x = imaging.grid(n, fov_arcsec)
+    at = imaging.lags(n, fov_arcsec)
+    planes = [imaging.Plane("kernel", at, at, "sum_w"), imaging.Plane("dirty", y, x, "w_re", "w_im")]
+    long = imaging.one_pass(imaging.weighted(points, keys), planes, (), keys)
+    shared = points.sparkSession.sparkContext.broadcast(10.0**log_strength * np.linalg.inv(covariance(n, fov_arcsec / n, scale, kind)))
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         k, d = np.zeros((2 * n, 2 * n)), np.zeros((n, n))
-        for name, out in (("k", k), ("d", d)):
-            own = frame[frame.kind == name]
-            out[own.y, own.x] = own.value
-        system = System(Terms(k, d, 1, 1.0, 0.0, 0.0), fov_arcsec / n, scale, kind)
-        image = system.trial(log_strength).image
+        for name, out in (("kernel", k), ("dirty", d)):
+            own = frame[frame.plane == name]
+            out[own.pix_y, own.pix_x] = own.value
+        image = np.linalg.solve(Terms(k, d, 1, 1.0, 0.0, 0.0).curvature + shared.value, d.reshape(-1))
         iy, ix = (a.reshape(-1) for a in np.mgrid[0:n, 0:n])
         return pd.DataFrame({"spw": frame.spw.iloc[0], "chan": frame.chan.iloc[0], "pix_y": iy, "pix_x": ix, "value": image})
 
     kinds = dict(points.dtypes)
-    both = kernel.unionByName(data)
-    return both.groupBy(*keys).applyInPandas(solve, f"spw {kinds['spw']}, chan {kinds['chan']}, pix_y int, pix_x int, value double")
+    return long.groupBy(*keys).applyInPandas(solve, f"spw {kinds['spw']}, chan {kinds['chan']}, pix_y int, pix_x int, value double")
 
 
 def trial_rows(trials: list[Trial], n_vis: int) -> Iterator[tuple[int, float, float, float]]:
     for k, t in enumerate(trials):
-        yield k, float(t.log_strength), t.chi2 / (2 * n_vis), t.log_evidence
+        yield k, float(t.log_strength), float(t.chi2 / (2 * n_vis)), float(t.log_evidence)

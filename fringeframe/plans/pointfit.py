@@ -62,6 +62,34 @@ def residual(points: DataFrame, found: list[Component]) -> DataFrame:
     return points.withColumns({"re": re, "im": im})
 
 
+def scan(points: DataFrame, accepted: list[Component], n: int, fov_arcsec: float) -> DataFrame:
+    """(pix_y, pix_x, amplitude, significance): matched filter of a further point at every pixel beside the ``accepted`` ones.
+
+    At a pixel r = d - b'C^-1 d_k and s = c - b'C^-1 b, with d and d_k the data's sums at the pixel and at the accepted points, b and C
+    the sums between points; all sums at pixels come from one scan. Pixels that the accepted points explain (s near 0) have
+    null amplitude.
+    """
+    w = imaging.weighted(points)
+    y, x = imaging.grid(n, fov_arcsec)
+    planes = [imaging.Plane("d", y, x, "w_re", "w_im")]
+    for k, c in enumerate(accepted):  # sums between a pixel and an accepted point: the beam moved there
+        planes.append(imaging.Plane(f"b{k}", tuple(v - c.y_as for v in y), tuple(v + c.x_as for v in x), "sum_w"))
+    long = imaging.one_pass(w, planes, ["sum_w"])
+    total = float(long.where("plane = 'sum_w'").first()["value"])
+    wide = long.where("plane <> 'sum_w'").groupBy("pix_y", "pix_x").agg(*(F.sum(F.when(F.col("plane") == p.name, F.col("value"))).alias(p.name) for p in planes))
+    r, s = F.col("d"), F.lit(total)
+    if accepted:
+        _, inverse, _, _ = fluxes(points, accepted)
+        own = w.select(*(F.sum(F.cos(turn) * F.col("w_re") - F.sin(turn) * F.col("w_im")).alias(f"d{k}") for k, turn in enumerate(phase(F.col("u"), F.col("v"), F.lit(-c.x_as), F.lit(c.y_as)) for c in accepted))).first()
+        at = [float(v) for v in inverse @ np.array(list(own))]
+        for k, a in enumerate(at):
+            r = r - F.col(f"b{k}") * F.lit(a)
+            for j in range(len(accepted)):
+                s = s - F.col(f"b{k}") * F.col(f"b{j}") * F.lit(float(inverse[k, j]))
+    free = s > 1e-9 * total
+    return wide.select("pix_y", "pix_x", F.when(free, r / s).alias("amplitude"), F.when(free, F.abs(r) / F.sqrt(s)).alias("significance"))
+
+
 def detect(points: DataFrame, n: int, fov_arcsec: float, significance: float = 5.0, most: int = 5, apart: float = 0.0) -> list[Component]:
     """Components of at least ``significance`` standard errors, ``apart`` arcseconds from each other, brightest first.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,7 +76,7 @@ PAIRS_SQL = (
 ), pairs as (select chained.* from chained, gap where t0 is not null and t1 - t0 <= max_gap)"""
 )
 BASE_SQL = PAIRS_SQL + ", base as (select ant1, ant2, count(d_re) n, case when count(d_re) >= 4 then stddev_pop(d_re) / sqrt(2e0) end sig_re, case when count(d_re) >= 4 then stddev_pop(d_im) / sqrt(2e0) end sig_im from pairs group by all), pool as (select count(d_re) n, stddev_pop(d_re) / sqrt(2e0) p_re, stddev_pop(d_im) / sqrt(2e0) p_im from pairs)"
-MAP_SQL = BASE_SQL + ", mapped as (select c.*, coalesce(case when b.sig_re > 0 then b.sig_re end, p_re) est_re, coalesce(case when b.sig_im > 0 then b.sig_im end, p_im) est_im from crossed c left join base b using (ant1, ant2), pool)"
+MAP_SQL = BASE_SQL + ", mapped as (select c.*, case when b.sig_re > 0 and b.sig_im > 0 then b.sig_re else p_re end est_re, case when b.sig_re > 0 and b.sig_im > 0 then b.sig_im else p_im end est_im from crossed c left join base b using (ant1, ant2), pool)"
 PROFILE_SQL = """, sq as (select ant1, ant2, time_s, avg(1e0 / weight) sq from crossed where not flag group by all),
  own as (select ant1, ant2, avg(sq) m from sq group by all having count(*) >= 2),
  shape as (select time_s, avg(sq / m) p from sq join own using (ant1, ant2) group by all),
@@ -183,9 +185,14 @@ def visibility_null(spark, sf_dir):
     return rounded(selection.first_null(selection.amplitude_bins(points(spark, sf_dir), 24)), q=4)
 
 
-@query("q_shortest_baselines", f"with {POINTS_SQL}, top as (select re, sqrt(u * u + v * v) q from points order by sqrt(u * u + v * v), {KEY} limit 100) select count(*) n, round(avg(re), 8) mean_re, round(max(q), 4) q_max from top")
+@query(
+    "q_shortest_baselines",
+    f"""with {POINTS_SQL}, lengths as (select re, sqrt(u * u + v * v) q from points), k as (select greatest(8, count(*) // 50) k from lengths),
+ ordered as (select q, row_number() over (order by q) r from lengths), edge as (select q e from ordered, k where r = k)
+ select any_value(k) n, round((coalesce(sum(re) filter (q < e), 0e0) + (any_value(k) - count(*) filter (q < e)) * avg(re) filter (q = e)) / any_value(k), 8) mean_re, round(max(e), 4) q_max from lengths, k, edge""",
+)
 def shortest_baselines(spark, sf_dir):
-    return rounded(selection.shortest(selection.flattened(cross(spark, sf_dir), frequency()), 100), q_max=4)
+    return rounded(selection.shortest(selection.flattened(cross(spark, sf_dir), frequency())), q_max=4)
 
 
 # --- noise -------------------------------------------------------------------------------------------------------------
@@ -261,7 +268,7 @@ def hybrid_sigma(spark, sf_dir):
 
 @query(
     "q_baseline_disagreement",
-    f"with {MAP_SQL}, r as (select est_re * sqrt(weight) ratio, sqrt(u_m * u_m + v_m * v_m) l from mapped where not flag), e as (select quantile_cont(l, 25e-2) lo, quantile_cont(l, 75e-2) hi from r) select count(*) n, round(avg(ratio) filter (l <= lo), 8) short_ratio, round(avg(ratio) filter (l >= hi), 8) long_ratio from r, e",
+    f"with {MAP_SQL}, r as (select est_re * sqrt(weight) ratio, sqrt(u_m * u_m + v_m * v_m) l from mapped where not flag and est_re > 0 and u_m * u_m + v_m * v_m > 0), e as (select quantile_cont(l, 25e-2) lo, quantile_cont(l, 75e-2) hi from r), m as (select count(*) n, avg(ratio) filter (l <= lo) s, avg(ratio) filter (l >= hi) g from r, e) select n, case when n >= 8 then round(s, 8) end short_ratio, case when n >= 8 then round(g, 8) end long_ratio, case when n >= 8 then round(g / s, 8) end ratio from m",
 )
 def baseline_disagreement(spark, sf_dir):
     return rounded(noise.weight_disagreement(cross(spark, sf_dir), pairs(spark, sf_dir), F.lit(1.0) / F.sqrt("weight")))
@@ -284,6 +291,48 @@ def sigma_chunks(spark, sf_dir):
     return rounded(noise.chunk_sigma(cross(spark, sf_dir), pairs(spark, sf_dir), CHUNK))
 
 
+#: Each baseline's first sample alone: nothing to take differences of.
+FIRST_SQL = CROSS_SQL + f", single as (select * from (select *, row_number() over (partition by ant1, ant2 order by time_s, {KEY}) turn from crossed where not flag) where turn = 1)"
+
+
+def single_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live = cross(spark, sf_dir).where("not flag")
+    key = F.struct("time_s", *ROW_KEY)
+    return live.groupBy("ant1", "ant2").agg(F.min_by(F.struct(*(c for c in live.columns if c not in ("ant1", "ant2"))), key).alias("s")).select("ant1", "ant2", "s.*")
+
+
+@query("q_sigma_scatter", f"with {FIRST_SQL} select {KEY}, round((select 14826e-4 * mad(re) from single), 8) est_re, round((select 14826e-4 * mad(im) from single), 8) est_im from single")
+def sigma_scatter(spark, sf_dir):
+    """One integration per baseline: the noise falls back to the scatter of the data."""
+    return rounded(noise.estimated_sigma(held(single_samples(spark, sf_dir))).select(*ROW_KEY, "est_re", "est_im"))
+
+
+#: A baseline for each user, and times a day apart wherever an hour holds several: hardly a step is within the gap.
+SPARSE_SQL = SERIES_SQL + """, sparse as (select event_id, user_id % 3 ant1, 5 + user_id % 2 ant2, floor(time_s / 864e2) * 864e2 + case when event_id % 50 = 0 then 1e0 else 0e0 end time_s, value re, value * value im from series),
+ near as (select time_s - lag(time_s) over (order by time_s) step from (select distinct time_s from sparse)), gap as (select 3e0 * quantile_cont(step, 5e-1) g from near where step > 0),
+ chained as (select ant1, ant2, lag(time_s) over w t0, time_s t1, re - lag(re) over w d_re, im - lag(im) over w d_im from sparse window w as (partition by ant1, ant2 order by time_s, event_id)),
+ kept as (select chained.* from chained, gap where t1 - t0 <= g),
+ base as (select ant1, ant2, case when count(*) >= 4 then stddev_pop(d_re) / sqrt(2e0) end s_re, case when count(*) >= 4 then stddev_pop(d_im) / sqrt(2e0) end s_im from kept group by all),
+ pool as (select stddev_pop(d_re) / sqrt(2e0) p_re, stddev_pop(d_im) / sqrt(2e0) p_im from kept)"""
+
+
+@query("q_sigma_fallback", f"with {SPARSE_SQL} select ant1, ant2, count(*) n, round(any_value(case when s_re > 0 and s_im > 0 then s_re else p_re end), 6) est_re, round(any_value(case when s_re > 0 and s_im > 0 then s_im else p_im end), 6) est_im from sparse left join base using (ant1, ant2), pool group by all")
+def sigma_fallback(spark, sf_dir):
+    """The whole ladder on the events: baselines without differences of their own take the pool's level."""
+    day = F.floor(F.col("time_s") / 86400.0) * 86400.0 + F.when(F.col("event_id") % 50 == 0, 1.0).otherwise(0.0)
+    sparse = series(spark, sf_dir).select((F.col("user_id") % 3).alias("ant1"), (5 + F.col("user_id") % 2).alias("ant2"), F.lit(0).alias("chan"), day.alias("time_s"), F.col("event_id").alias("ok"), *(F.lit(0).alias(k) for k in ROW_KEY[1:]), F.col("value").alias("re"), (F.col("value") * F.col("value")).alias("im"), F.lit(False).alias("flag"))
+    found = noise.estimated_sigma(sparse, slab=7 * 86400.0)
+    return rounded(found.groupBy("ant1", "ant2").agg(F.count(F.lit(1)).alias("n"), F.max("est_re").alias("est_re"), F.max("est_im").alias("est_im")), 6)
+
+
+@query(
+    "q_time_variation_ratio",
+    f"with {PAIRS_SQL}, s as (select min(time_s) a, max(time_s) b from crossed), lev as (select greatest(least(floor((t0 - a) / ((b - a) / 3e0)), 2), 0) block, count(d_re) n, stddev_pop(d_re) / sqrt(2e0) sigma from pairs, s where d_re is not null group by 1) select count(*) blocks, case when count(*) >= 2 then round(max(sigma) / min(sigma), 8) end ratio from lev where n >= 4 and sigma > 0",
+)
+def time_variation_ratio(spark, sf_dir):
+    return rounded(noise.time_variation_ratio(cross(spark, sf_dir), pairs(spark, sf_dir)))
+
+
 # --- images and terms ----------------------------------------------------------------------------------------------------
 
 
@@ -323,6 +372,62 @@ def channel_terms_merged(spark, sf_dir):
     return rounded(imaging.combine(imaging.scalar_terms(points(spark, sf_dir), ("spw", "chan"))), 4)
 
 
+CHANNEL_IMAGE_SQL = POINTS_SQL + ", " + GRID_SQL + f", channel_image as (select spw, chan, pix_y, pix_x, sum(w * (re * cos({TURN}) - im * sin({TURN}))) dirty, sum(re / (sig_re * sig_re) * cos({TURN}) - im / (sig_im * sig_im) * sin({TURN})) as data from points, grid group by all)"
+
+
+@query("q_channel_images", f"with {CHANNEL_IMAGE_SQL} select spw, chan, pix_y, pix_x, round(dirty, 4) dirty, round(data, 4) as data from channel_image")
+def channel_images(spark, sf_dir):
+    """Kernel, images and scalars of every channel in one scan; the two images are shown."""
+    long = imaging.terms(points(spark, sf_dir), SIDE, FOV, ("spw", "chan"))
+    shown = long.where("plane in ('dirty', 'data')").groupBy("spw", "chan", "pix_y", "pix_x").agg(*(F.sum(F.when(F.col("plane") == p, F.col("value"))).alias(p) for p in ("dirty", "data")))
+    return rounded(shown, 4)
+
+
+@query("q_channel_images_added", f"with {CHANNEL_IMAGE_SQL} select pix_y, pix_x, round(sum(dirty), 4) dirty, round(sum(data), 4) as data from channel_image group by all")
+def channel_images_added(spark, sf_dir):
+    """The continuum as the sum of the channels' terms."""
+    whole = imaging.added_terms(imaging.terms(points(spark, sf_dir), SIDE, FOV, ("spw", "chan"))).where("plane in ('dirty', 'data')")
+    return rounded(whole.groupBy("pix_y", "pix_x").agg(*(F.sum(F.when(F.col("plane") == p, F.col("value"))).alias(p) for p in ("dirty", "data"))), 4)
+
+
+@query(
+    "q_matched_filter",
+    f"with {IMAGE_SQL}, placed as (select {2 * math.pi * sky.ARCSEC!r} * (u * -5e-2 + v * -3e-2) t, u, v, w, re, im from points), own as (select sum(w) c, sum(w * (re * cos(t) - im * sin(t))) / sum(w) a from placed), sums as (select pix_y, pix_x, sum(w * (re * cos({TURN}) - im * sin({TURN}))) d, sum(w * cos({TURN} - t)) b from placed, grid group by all) select pix_y, pix_x, case when c - b * b / c > 1e-9 * c then round((d - b * a) / (c - b * b / c), 6) end amplitude, case when c - b * b / c > 1e-9 * c then round(abs(d - b * a) / sqrt(c - b * b / c), 4) end significance from sums, own",
+)
+def matched_filter(spark, sf_dir):
+    """A further point's flux and significance at every pixel, beside one that is accepted."""
+    from fringeframe.plans.pointfit import Component, scan
+
+    return rounded(scan(points(spark, sf_dir), [Component(0.05, -0.03)], SIDE, FOV), 6, significance=4)
+
+
+WIDE, WIDE_FOV = 32, 3.0
+WIDE_SQL = POINTS_SQL + f", {GRID_SQL.replace(f'{SIDE * SIDE})', f'{WIDE * WIDE})').replace(f'// {SIDE}', f'// {WIDE}').replace(f'% {SIDE}', f'% {WIDE}').replace(str((SIDE - 1) / 2), str((WIDE - 1) / 2)).replace(repr(STEP), repr(WIDE_FOV / WIDE))}, wide as (select pix_y, pix_x, any_value(x_as) x_as, any_value(y_as) y_as, sum(w * (re * cos({TURN}) - im * sin({TURN}))) / sum(w) dirty, 1e0 / sqrt(sum(w)) rms from points, grid group by pix_y, pix_x)"
+
+
+@query("q_wide_field_peak", f"with {WIDE_SQL} select round(x_as, 6) x_as, round(y_as, 6) y_as, round(dirty / rms, 4) significance from wide order by dirty desc, pix_y, pix_x limit 1")
+def wide_field_peak(spark, sf_dir):
+    """Where the emission is in a field much wider than the one to be imaged, and how many rms it stands out."""
+    from fringeframe.plans.pointfit import scan
+
+    found = scan(points(spark, sf_dir), [], WIDE, WIDE_FOV).join(imaging.pixels(spark, WIDE, WIDE_FOV), ["pix_y", "pix_x"])
+    top = found.orderBy(F.col("amplitude").desc(), "pix_y", "pix_x").limit(1)
+    return rounded(top.select(F.round("x_as", 6).alias("x_as"), F.round("y_as", 6).alias("y_as"), F.round("significance", 4).alias("significance")))
+
+
+@query(
+    "q_injection_difference",
+    f"with {IMAGE_SQL}, t as (select u, v, w, {2 * math.pi * sky.ARCSEC!r} * (u * -5e-2 + v * 2e-2) t from points) select pix_y, pix_x, round(sum(w * 3e-1 * (cos(t) * cos({TURN}) + sin(t) * sin({TURN}))) / sum(w), 8) difference from t, grid group by all",
+)
+def injection_difference(spark, sf_dir):
+    """A point put into the data: image with less image without."""
+    from fringeframe.plans.pointfit import Component, residual
+
+    given = points(spark, sf_dir)
+    with_point = residual(given, [Component(0.05, 0.02, -0.3)])
+    return rounded(regions.image_difference(imaging.dirty_image(with_point, SIDE, FOV), imaging.dirty_image(given, SIDE, FOV), "dirty"))
+
+
 @query("q_peak_top1", f"with {IMAGE_SQL} select pix_y, pix_x, round(dirty, 8) peak from image order by dirty desc, pix_y, pix_x limit 1")
 def peak_top1(spark, sf_dir):
     return rounded(regions.peak(image(spark, sf_dir), "dirty"))
@@ -344,10 +449,10 @@ def peaks_excluded(spark, sf_dir):
 
 @query(
     "q_envelope_moment",
-    f"with {IMAGE_SQL}, b as (select dirty d, x_as x, y_as y from image where dirty > greatest(1e-3, 2e-1 * (select max(dirty) from image))), s as (select count(*) n, sum(d) s, sum(d * x) / sum(d) mx, sum(d * y) / sum(d) my, sum(d * (x * x + y * y)) / sum(d) r from b) select n, round(mx, 7) x_as, round(my, 7) y_as, round(sqrt(greatest(r - mx * mx - my * my, 0e0) / 2e0), 7) sigma_as from s",
+    f"with {IMAGE_SQL}, top as (select dirty t, x_as cx, y_as cy from image order by dirty desc, pix_y, pix_x limit 1), s as (select count(*) n, sum(dirty * ((x_as - cx) ** 2 + (y_as - cy) ** 2)) / sum(dirty) / 2e0 r from image, top where dirty > greatest(1e-3, 2e-1 * t)) select n, round(cx, 7) x_as, round(cy, 7) y_as, round(least(case when n >= 4 then greatest(sqrt(greatest(r, 0e0)), 1e-2) else 1e-2 end, 12e-2), 7) sigma_as from s, top",
 )
 def envelope_moment(spark, sf_dir):
-    return rounded(regions.envelope(located(spark, sf_dir), "dirty", 2e-4), 7)
+    return rounded(regions.envelope(located(spark, sf_dir), "dirty", 2e-4, floor=1e-2, most=0.12), 7)
 
 
 @query("q_ring_average", f"with {IMAGE_SQL} select cast(round_even(sqrt((pix_y - 75e-1) ** 2 + (pix_x - 75e-1) ** 2), 0) as bigint) ring, count(*) n, round(avg(beam), 8) mean from image group by 1")
@@ -370,10 +475,12 @@ def structure_ratio(spark, sf_dir):
 
 @query(
     "q_sliding_smooth",
-    f"with {IMAGE_SQL}, a as (select pix_y, pix_x, max(dirty) over (partition by pix_y order by pix_x rows between 1 preceding and 1 following) m from image), b as (select pix_y, pix_x, max(m) over (partition by pix_x order by pix_y rows between 1 preceding and 1 following) m from a), c as (select pix_y, pix_x, avg(m) over (partition by pix_y order by pix_x rows between 1 preceding and 1 following) m from b) select pix_y, pix_x, round(avg(m) over (partition by pix_x order by pix_y rows between 1 preceding and 1 following), 8) smooth from c",
+    f"""with {IMAGE_SQL}, o as (select a dy, b dx from range(-1, 2) y(a), range(-1, 2) x(b)),
+ high as (select i.pix_y, i.pix_x, max(j.dirty) m from image i, o join image j on j.pix_y = least(greatest(i.pix_y + dy, 0), {SIDE - 1}) and j.pix_x = least(greatest(i.pix_x + dx, 0), {SIDE - 1}) group by all)
+ select i.pix_y, i.pix_x, round(avg(j.m), 8) smooth from high i, o join high j on j.pix_y = least(greatest(i.pix_y + dy, 0), {SIDE - 1}) and j.pix_x = least(greatest(i.pix_x + dx, 0), {SIDE - 1}) group by all""",
 )
 def sliding_smooth(spark, sf_dir):
-    return rounded(regions.sliding(image(spark, sf_dir), "dirty", 3))
+    return rounded(regions.sliding(image(spark, sf_dir), "dirty", 3, SIDE))
 
 
 FWHM = f"({1.13 * C / DISH / sky.ARCSEC!r} / f)"
@@ -416,9 +523,9 @@ def binned_misfit(spark, sf_dir):
 # --- matrices, cubes, sets, dimensions -------------------------------------------------------------------------------------
 
 
-@query("q_gram_matrix", "with a as (select i, j, sum(cast(embedding[i + 1] as double) * cast(embedding[j + 1] as double)) f from embeddings, range(12) x(i), range(12) y(j) where i <= j group by all) select cast(i as integer) i, cast(j as integer) j, round(f, 6) f from a")
+@query("q_gram_matrix", "with a as (select i, j, sum(cast(embedding[i + 1] as double) * cast(embedding[j + 1] as double)) f from embeddings, range(64) x(i), range(64) y(j) where i <= j group by all) select cast(i as integer) i, cast(j as integer) j, round(f, 6) f from a")
 def gram_matrix(spark, sf_dir):
-    return rounded(matrix.gram_of_arrays(table(spark, sf_dir, "embeddings"), "embedding", 12), 6)
+    return rounded(matrix.gram_of_arrays(table(spark, sf_dir, "embeddings"), "embedding"), 6)
 
 
 MESH = 6
@@ -427,9 +534,9 @@ MAPPING_SQL = f"""{GRID_SQL}, placed as (select pix_y, pix_x, greatest(least((pi
  mapping as (select pix_y, pix_x, cast((y0 + dy) * {MESH} + x0 + dx as bigint) mesh_id, (case when dy = 0 then 1 - (my - y0) else my - y0 end) * (case when dx = 0 then 1 - (mx - x0) else mx - x0 end) weight from base, range(2) a(dy), range(2) b(dx))"""
 
 
-@query("q_mapping_apply", f"with {MAPPING_SQL}, mesh as (select vec_id % {MESH * MESH} mesh_id, sum(cast(embedding[1] as double)) value from embeddings group by 1) select pix_y, pix_x, round(sum(weight * value), 6) value from mapping join mesh using (mesh_id) where weight > 0 group by all")
+@query("q_mapping_apply", f"with {MAPPING_SQL}, mesh as (select vec_id % {MESH * MESH} mesh_id, sum(list_sum(list_transform(embedding, lambda x: cast(x as double)))) value from embeddings group by 1) select pix_y, pix_x, round(sum(weight * value), 6) value from mapping join mesh using (mesh_id) where weight > 0 group by all")
 def mapping_apply(spark, sf_dir):
-    mesh = table(spark, sf_dir, "embeddings").groupBy((F.col("vec_id") % (MESH * MESH)).alias("mesh_id")).agg(F.sum(F.element_at("embedding", 1).cast("double")).alias("value"))
+    mesh = table(spark, sf_dir, "embeddings").groupBy((F.col("vec_id") % (MESH * MESH)).alias("mesh_id")).agg(F.sum(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))).alias("value"))
     return rounded(regions.apply_mapping(regions.bilinear_mapping(sized_pixels(spark), MESH, SIDE), mesh), 6)
 
 
@@ -586,9 +693,15 @@ def add_points(spark, sf_dir):
     return rounded(with_points(image(spark, sf_dir).select("pix_y", "pix_x", F.col("beam").alias("value")), at, STEP, SIDE), 6)
 
 
-@query("q_upsample", f"with {IMAGE_SQL} select cast(pix_y * 2 + a as integer) pix_y, cast(pix_x * 2 + b as integer) pix_x, round(beam / 4e0, 8) beam from image, range(2) x(a), range(2) y(b)")
+@query(
+    "q_upsample",
+    f"""with {IMAGE_SQL}, fine as (select cast(a as integer) y, cast(b as integer) x, least(greatest((a + 5e-1) / 2e0 - 5e-1, 0e0), {SIDE - 1.0!r}) cy, least(greatest((b + 5e-1) / 2e0 - 5e-1, 0e0), {SIDE - 1.0!r}) cx from range({2 * SIDE}) p(a), range({2 * SIDE}) q(b)),
+ four as (select y, x, cy, cx, least(floor(cy) + dy, {SIDE - 1}) iy, least(floor(cx) + dx, {SIDE - 1}) ix, (case dy when 0 then 1 - (cy - floor(cy)) else cy - floor(cy) end) * (case dx when 0 then 1 - (cx - floor(cx)) else cx - floor(cx) end) s from fine, range(2) d(dy), range(2) e(dx)),
+ made as (select y, x, sum(s * beam) b from four join image on pix_y = iy and pix_x = ix group by all)
+ select y pix_y, x pix_x, round(b * (select sum(beam) from image) / (select sum(b) from made), 8) beam from made""",
+)
 def upsample(spark, sf_dir):
-    return rounded(regions.upsampled(image(spark, sf_dir).select("pix_y", "pix_x", "beam"), "beam", 2))
+    return rounded(regions.upsampled(image(spark, sf_dir).select("pix_y", "pix_x", "beam"), "beam", 2, SIDE))
 
 
 @query("q_apertures", f"with {IMAGE_SQL} select r radius, count(*) n, round(sum(beam), 7) total from image, (select unnest([5e-2, 1e-1, 2e-1]) r) where x_as * x_as + y_as * y_as <= r * r group by r")
@@ -621,26 +734,98 @@ def moment_errors(spark, sf_dir):
     return rounded(regions.moment_errors(draws, ("baseline",)), 6, mom1_error=5)
 
 
-# --- fits on mocks and streams: no SQL -----------------------------------------------------------------------------------
+#: Parts as detections, suppliers as truths; detections are taken one after the other.
+MATCH_SQL = """recursive found as (select p_partkey id, p_partkey % 97 * 1e0 x, p_size * 2e0 y, p_retailprice flux, row_number() over (order by abs(p_retailprice) desc, p_partkey) turn from part),
+ truth as (select s_suppkey id, s_suppkey % 89 * 1e0 x, s_suppkey % 53 * 2e0 y from supplier),
+ near as (select f.id found_id, f.turn, t.id truth_id, (f.x - t.x) ** 2 + (f.y - t.y) ** 2 d2, f.flux / 1e3 ratio from found f join truth t on (f.x - t.x) ** 2 + (f.y - t.y) ** 2 < 16e0),
+ turns as (select turn, row_number() over (order by turn) k, list(truth_id order by d2, truth_id) wish from near group by turn),
+ walk as (
+  select cast(0 as bigint) k, cast(null as bigint) turn, cast(null as bigint) truth_id, cast([] as bigint[]) used
+  union all
+  select t.k, t.turn, list_filter(t.wish, lambda x: not list_contains(w.used, x))[1], list_append(w.used, coalesce(list_filter(t.wish, lambda x: not list_contains(w.used, x))[1], -1))
+  from walk w join turns t on t.k = w.k + 1
+ ), matched as (select found_id, near.truth_id, ratio, d2 from walk join near on near.turn = walk.turn and near.truth_id = walk.truth_id)"""
+
 
+@query(
+    "q_match_components",
+    f"with {MATCH_SQL} select 'matched' kind, found_id, truth_id, round(ratio, 8) ratio, round(sqrt(d2), 8) distance from matched union all select 'missed', null, id, null, null from truth where id not in (select truth_id from matched) union all select 'false', id, null, null, null from found where id not in (select found_id from matched)",
+)
+def match_components(spark, sf_dir):
+    """Parts near a grid of suppliers, brightest part first: one-to-one nearest matches, what is missed and what is false."""
+    found = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 97 * 1.0).alias("x_as"), (F.col("p_size") * 2.0).alias("y_as"), F.col("p_retailprice").alias("flux"))
+    truth = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 89 * 1.0).alias("x_as"), (F.col("s_suppkey") % 53 * 2.0).alias("y_as"), F.lit(1000.0).alias("flux"))
+    return rounded(regions.match_report(found, truth, 4.0))
 
-def mock_points(spark: SparkSession) -> DataFrame:
-    from fringeframe.sources.mock import Gaussian, Point, observation
 
-    return observation(spark, 4000, [Gaussian(0.0, 0.1, 0.04, 0.25, 0.15, 0.4), Point(0.8, -0.6, 0.006)], sigma=1e-3)
+@query(
+    "q_mask_boundary",
+    f"with {MASK_SQL}, o as (select y, x from range(-4, 5) a(y), range(-4, 5) b(x) where y * y + x * x between 1 and 16), out as (select pix_y + y pix_y, pix_x + x pix_x from ext, o except select pix_y, pix_x from ext), edge as (select pix_y + y pix_y, pix_x + x pix_x from ext, o where abs(y) + abs(x) = 1 except select pix_y, pix_x from ext) select * from out where pix_y % 2 = 0 and pix_x % 2 = 0 union select * from edge where (cast(floor(pix_y / 2e0) + floor(pix_x / 2e0) as bigint)) % 2 = 0",
+)
+def mask_boundary(spark, sf_dir):
+    return regions.mask_boundary(masks(spark, sf_dir)["extra"].distinct(), 2)
+
+
+@query("q_points_union", "with p as (select p_partkey % 64 * 1e-1 y_as, p_size * 3e-1 x_as from part union all select s_suppkey % 64 * 1e-1 + 1e-12, s_suppkey % 50 * 3e-1 from supplier) select distinct round(y_as, 9) y_as, round(x_as, 9) x_as from p")
+def points_union(spark, sf_dir):
+    a = table(spark, sf_dir, "part").select((F.col("p_partkey") % 64 * 0.1).alias("y_as"), (F.col("p_size") * 0.3).alias("x_as"))
+    b = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 64 * 0.1 + 1e-12).alias("y_as"), (F.col("s_suppkey") % 50 * 0.3).alias("x_as"))
+    return regions.distinct_points(a, b)
+
+
+@query(
+    "q_dynamic_range",
+    f"with {IMAGE_SQL}, r as (select dirty, dirty - 5e-1 * beam res, (select 1e0 / sqrt(sum(w)) from points) rms from image), s as (select max(dirty) / max(rms) p, max(abs(res)) / max(rms) m, stddev_pop(res / rms) / {math.sqrt(1.2)!r} q from r) select round(p, 4) peak_sigma, round(m, 4) residual_sigma, round(p / m, 6) dynamic_range, round(q, 6) ratio, case when q < 85e-2 then 'over-fitted' when q <= 125e-2 then 'noise' when q <= 15e-1 then 'some structure' else 'structure' end verdict from s",
+)
+def dynamic_range(spark, sf_dir):
+    """The data against half the beam: how the residual stands to the peak and to noise."""
+    planes = image(spark, sf_dir).withColumn("residual", F.col("dirty") - 0.5 * F.col("beam"))
+    total = imaging.scalar_terms(points(spark, sf_dir)).first()["sum_w"]
+    return rounded(regions.dynamic_range(planes, "dirty", "residual", 1 / math.sqrt(total), 1.2), 6, peak_sigma=4, residual_sigma=4)
+
+
+@query(
+    "q_fit_scores",
+    f"with {IMAGE_SQL}, c as (select 2e0 * count(*) n, sum((re - 5e-1) ** 2 / (sig_re * sig_re) + im * im / (sig_im * sig_im)) x, 1e0 / sqrt(sum(w)) rms from points), i as (select stddev_pop((dirty - 5e-1 * beam) / (select rms from c)) / sqrt((select x / n from c)) ratio, sqrt(sum(beam * beam) / (2e0 * count(*))) scatter from image) select round(x / n, 6) chi2_per_datum, round((x / n - 1e0) / sqrt(2e0 / n), 4) chi2_sigma, round(ratio, 6) ratio, round((ratio - 1e0) / scatter, 6) ratio_sigma from c, i",
+)
+def fit_scores(spark, sf_dir):
+    """A point of half a jansky at the centre, scored by chi square and by the structure of its residual image."""
+    given = points(spark, sf_dir).withColumn("re", F.col("re") - 0.5)
+    scalars = imaging.scalar_terms(given).first()
+    planes = held(image(spark, sf_dir).withColumn("residual", F.col("dirty") - 0.5 * F.col("beam")))
+    n, rms = 2.0 * scalars["n_vis"], 1 / math.sqrt(scalars["sum_w"])
+    ratio = regions.structure_ratio(planes, "residual", rms, scalars["data_term"] / n).first()["ratio"]
+    scored = regions.fit_scores(n, scalars["data_term"], ratio, regions.beam_scatter(planes, "beam").first()["scatter"])
+    return rounded(spark.createDataFrame([tuple(scored.values())], ", ".join(f"{k} double" for k in scored)), 6, chi2_sigma=4)
+
+
+@query("q_empty_channel_rms", f"with {CUBE_SQL} select count(*) n, round(sqrt(avg(value * value)), 8) rms from cube where channel in (0, 1, 30, 31) and value <> 0e0")
+def empty_channel_rms(spark, sf_dir):
+    return rounded(regions.empty_channel_rms(cells(spark, sf_dir), "value", "channel", [0, 1, 30, 31]))
+
+
+# --- fits and streams: no SQL, tests hold them against plain loops -----------------------------------------------------------------------------------
+
+
+def in_task(spark: SparkSession, work: Callable[[], pd.DataFrame], schema: str) -> DataFrame:
+    """The rows of a solve of mesh size, done in one task; what ``work`` closes over are arrays of mesh size."""
+    return spark.range(1, numPartitions=1).mapInPandas(lambda frames: (work() for _ in frames), schema)
 
 
 @query("q_solve_map")
 def solve_map(spark, sf_dir):
-    """The image of largest evidence of a mock, with its posterior deviation."""
+    """The image of largest evidence of all samples, with its posterior deviation."""
     from fringeframe.plans import inversion
 
-    n, fov = 20, 3.0
-    system = inversion.System(inversion.collect_terms(mock_points(spark), n, fov), fov / n, 0.3)
-    best = inversion.search_evidence(system)[-1]
-    wide = system.posterior(best.log_strength)
-    rows = [(k // n, k % n, float(s), float(e)) for k, (s, e) in enumerate(zip(best.image, wide, strict=True))]
-    return spark.createDataFrame(rows, "pix_y int, pix_x int, value double, sigma double")
+    terms = inversion.collect_terms(points(spark, sf_dir), SIDE, FOV)
+
+    def work() -> pd.DataFrame:
+        system = inversion.System(terms, FOV / SIDE, 0.05)
+        best = inversion.search_evidence(system)[-1]
+        k = np.arange(SIDE * SIDE)
+        return pd.DataFrame({"pix_y": k // SIDE, "pix_x": k % SIDE, "value": best.image, "sigma": system.posterior(best.log_strength)})
+
+    return in_task(spark, work, "pix_y int, pix_x int, value double, sigma double")
 
 
 @query("q_evidence_scan")
@@ -648,12 +833,15 @@ def evidence_scan(spark, sf_dir):
     """The trials of both searches of the prior's strength."""
     from fringeframe.plans import inversion
 
-    n, fov = 16, 3.0
-    terms = inversion.collect_terms(mock_points(spark), n, fov)
-    system = inversion.System(terms, fov / n, 0.3)
-    rows = [("evidence", *r) for r in inversion.trial_rows(inversion.search_evidence(system), terms.n_vis)]
-    rows += [("discrepancy", *r) for r in inversion.trial_rows(inversion.search_discrepancy(system), terms.n_vis)]
-    return spark.createDataFrame(rows, "criterion string, trial int, log_strength double, chi2_per_datum double, log_evidence double")
+    terms = inversion.collect_terms(points(spark, sf_dir), SIDE, FOV)
+
+    def work() -> pd.DataFrame:
+        system = inversion.System(terms, FOV / SIDE, 0.05)
+        searches = {"evidence": inversion.search_evidence, "discrepancy": inversion.search_discrepancy}
+        rows = [(name, *r) for name, search in searches.items() for r in inversion.trial_rows(search(system), terms.n_vis)]
+        return pd.DataFrame(rows, columns=["criterion", "trial", "log_strength", "chi2_per_datum", "log_evidence"])
+
+    return in_task(spark, work, "criterion string, trial int, log_strength double, chi2_per_datum double, log_evidence double")
 
 
 @query("q_posterior_draws")
@@ -661,43 +849,34 @@ def posterior_draws(spark, sf_dir):
     """Draws around the solution as a table, and what they say of the total flux: 16, 50 and 84 in a hundred."""
     from fringeframe.plans import inversion
 
-    n, fov = 12, 3.0
-    system = inversion.System(inversion.collect_terms(mock_points(spark), n, fov), fov / n, 0.3)
-    best = inversion.search_evidence(system)[-1]
-    draws = system.draws(best.log_strength, 64)
-    rows = [(k, p, float(best.image[p] + d)) for k, row in enumerate(draws) for p, d in enumerate(row)]
-    table_ = spark.createDataFrame(rows, "draw int, param int, value double")
-    flux = table_.groupBy("draw").agg(F.sum("value").alias("flux"))
-    return flux.agg(F.count(F.lit(1)).alias("draws"), *(F.percentile("flux", F.lit(q / 100)).alias(f"flux_{q}") for q in (16, 50, 84)))
+    terms = inversion.collect_terms(points(spark, sf_dir), SIDE, FOV)
+
+    def work() -> pd.DataFrame:
+        system = inversion.System(terms, FOV / SIDE, 0.05)
+        best = inversion.search_evidence(system)[-1]
+        values = best.image + system.draws(best.log_strength, 64)
+        draw, param = (a.reshape(-1) for a in np.indices(values.shape))
+        return pd.DataFrame({"draw": draw, "param": param, "value": values.reshape(-1)})
+
+    flux = in_task(spark, work, "draw int, param int, value double").groupBy("draw").agg(F.sum("value").alias("flux"))
+    return flux.agg(F.count(F.lit(1)).alias("draws"), *(F.percentile("flux", F.lit(q / 100)).alias(f"flux_{q}") for q in (16, 50, 84)))  # 64 draws
 
 
 @query("q_point_fit")
 def point_fit(spark, sf_dir):
-    """Two points found, placed and measured on a mock."""
+    """The points that all samples show, placed and measured."""
     from fringeframe.plans.pointfit import detect
-    from fringeframe.sources.mock import Point, observation
 
-    truth = [Point(0.41, 0.33, 0.02), Point(-0.62, -0.47, 0.008)]
-    found = detect(observation(spark, 3000, truth, sigma=2e-3), 48, 3.0, apart=0.3)
+    found = detect(points(spark, sf_dir), SIDE, FOV, most=2, apart=0.03)
     return spark.createDataFrame([(c.x_as, c.y_as, c.flux, c.error) for c in found], "x_as double, y_as double, flux double, error double")
 
 
 @query("q_cube_fit")
 def cube_fit(spark, sf_dir):
-    """Every channel of a mock solved in a task of its own under one prior."""
+    """Every channel of all samples solved in a task of its own under one prior."""
     from fringeframe.plans.inversion import solve_channels
-    from fringeframe.sources.mock import Gaussian, observation
-
-    points_ = observation(spark, 1500, [Gaussian(0.2, 0.1, 0.05, 0.25, 0.2, 0.3)], sigma=1e-3, channels=3, windows=2)
-    return solve_channels(points_, 12, 3.0, 4.0, 0.3)
 
-
-@query("q_match_components")
-def match_components(spark, sf_dir):
-    """Parts near a grid of suppliers, brightest part first: one-to-one nearest matches."""
-    found = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 97 * 1.0).alias("x_as"), (F.col("p_size") * 2.0).alias("y_as"), F.col("p_retailprice").alias("flux"))
-    truth = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 89 * 1.0).alias("x_as"), (F.col("s_suppkey") % 53 * 2.0).alias("y_as"), F.lit(1000.0).alias("flux"))
-    return regions.greedy_matches(found, truth, 4.0).drop("bright")
+    return solve_channels(points(spark, sf_dir), 12, FOV, 4.0, 0.05)
 
 
 @query("q_source_region")
@@ -705,7 +884,7 @@ def source_region(spark, sf_dir):
     """The connected pixels above a third of the peak that hold it."""
     pixels = held(image(spark, sf_dir))
     top = pixels.orderBy(F.col("beam").desc(), "pix_y", "pix_x").first()
-    return regions.connected_region(pixels.where(F.col("beam") >= top["beam"] / 3), top["pix_y"], top["pix_x"])
+    return regions.connected_region(pixels.where(F.col("beam") >= top["beam"] / 3), top["pix_y"], top["pix_x"], tile=4)
 
 
 @query("q_running_stream", f"with {SERIES_SQL} select baseline, count(value) n, round(sum(value), 6) s, round(sum(value * value), 6) ss from series group by all")

@@ -256,3 +256,137 @@ def test_seconds_do_not_depend_on_the_session_zone(spark):
             assert df.select(seconds("t").alias("s")).first().s == 1705320000.25
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+@pytest.mark.parametrize(("keys", "few"), [((), 10_000), ((), 1000), (("k",), 10_000), (("k",), 1000)])
+def test_quantiles_are_exact(spark, monkeypatch, keys, few):
+    from fringeframe.operators import quantiles as module
+
+    quantiles = module.quantiles
+    monkeypatch.setattr(module, "FEW", few)
+    draw, n = np.random.default_rng(4), 60_000
+    rows = [(int(k), float(v)) for k, v in zip(draw.integers(0, 3, n), np.where(draw.random(n) < 0.4, 7.0, draw.normal(0, 5, n)))]
+    rows += [(0, None), (1, float("nan")), (9, 2.5)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(7)
+    qs = [0.0, 0.016, 0.25, 0.5, 0.951, 1.0]
+    for r in quantiles(df, F.col("v"), qs, keys).collect():
+        own = np.array([v for k, v in rows if v is not None and not math.isnan(v) and (not keys or k == r.k)])
+        assert r.n == len(own)
+        assert np.allclose([r[f"q{k}"] for k in range(len(qs))], np.quantile(own, qs))
+    empty = quantiles(df.where("false"), F.col("v"), [0.5], keys).collect()
+    assert empty == [] if keys else (empty[0].n, empty[0].q0) == (0, None)
+
+
+def noisy(spark, change=lambda r: r, times=10):
+    """Ten baselines in time, real noise 0.1 and imaginary 0.2."""
+    draw, rows = np.random.default_rng(5), []
+    for a in range(5):
+        for b in range(a + 1, 5):
+            for t in range(times):
+                r = dict(ok=len(rows), ln=0, pk=0, sk=0, px=0.0, ant1=a, ant2=b, time_s=t * 6.0, spw=0, chan=0, u_m=1.0, v_m=1.0, re=float(draw.normal(1, 0.1)), im=float(draw.normal(0, 0.2)), sig_re=0.1, sig_im=0.1, flag=False, weight=1.0)
+                rows.append(tuple(change(r).values()))
+    return spark.createDataFrame(rows, VIS)
+
+
+def levels(df):
+    return {(r.ant1, r.ant2): (r.est_re, r.est_im) for r in df.collect()}
+
+
+def test_estimated_sigma_survives_what_is_not_finite(spark):
+    nan = float("nan")
+    clean = levels(noise.estimated_sigma(noisy(spark)))
+    one = levels(noise.estimated_sigma(noisy(spark, lambda r: {**r, "re": nan} if r["ok"] == 7 else r)))
+    assert all(0.03 < re < 0.3 and 0.06 < im < 0.6 for re, im in clean.values())
+    assert [k for k in clean if one[k] != clean[k]] == [(0, 1)] and 0.03 < one[0, 1][0] < 0.3
+    dead = levels(noise.estimated_sigma(noisy(spark, lambda r: {**r, "re": nan, "im": nan} if r["ant1"] == 0 else r)))
+    assert len({dead[0, b] for b in range(1, 5)}) == 1 and dead[0, 1][0] == pytest.approx(0.1, rel=0.3)
+    with pytest.raises(ValueError, match="cannot estimate a noise level"):
+        noise.estimated_sigma(noisy(spark, lambda r: {**r, "re": nan, "im": nan})).collect()
+
+
+def test_estimated_sigma_of_single_integrations_is_the_scatter(spark):
+    found = levels(noise.estimated_sigma(noisy(spark, times=1)))
+    rows = noisy(spark, times=1).collect()
+    mad = lambda v: 1.4826 * float(np.median(np.abs(v - np.median(v))))
+    (level,) = set(found.values())
+    assert level == pytest.approx((mad(np.array([r.re for r in rows])), mad(np.array([r.im for r in rows]))))
+
+
+def test_estimated_sigma_without_near_pairs_drops_the_gap(spark):
+    """Baselines take turns, so neighbours of one are far apart in steps of all times."""
+    apart = levels(noise.estimated_sigma(noisy(spark, lambda r: {**r, "time_s": r["time_s"] * 1000 + r["ok"]})))
+    assert all(0.03 < re < 0.25 for re, _ in apart.values())
+
+
+def test_a_usable_part_stands_in_for_the_other(spark):
+    found = levels(noise.estimated_sigma(noisy(spark, lambda r: {**r, "im": 3.0})))
+    assert all(re == im for re, im in found.values())
+    assert noise.constant_level(noisy(spark, lambda r: {**r, "im": 3.0}))[1] > 0
+    assert noise.one_or_both(None, 2.0) == (2.0, 2.0)
+
+
+def test_terms_of_channels_add_up_to_those_of_all(spark):
+    draw = np.random.default_rng(6)
+    rows = [(k % 2, k % 5, *map(float, draw.normal(0, 3e5, 2)), float(draw.normal()), float(draw.normal()), 0.5, 0.7) for k in range(400)]
+    points = spark.createDataFrame(rows, "spw int, chan int, u double, v double, re double, im double, sig_re double, sig_im double").repartition(6)
+    whole = {(r.plane, r.pix_y, r.pix_x): r.value for r in imaging.terms(points, 4, 0.5).collect()}
+    added = {(r.plane, r.pix_y, r.pix_x): r.value for r in imaging.added_terms(imaging.terms(points, 4, 0.5, ("spw", "chan"))).collect()}
+    assert set(whole) == set(added) and all(added[k] == pytest.approx(whole[k], rel=1e-9, abs=1e-9) for k in whole)
+    assert whole["n_vis", 0, 0] == 400
+
+
+def test_greedy_matches_equal_a_loop_over_detections(spark):
+    draw = np.random.default_rng(8)
+    found = [(k, *map(float, draw.uniform(0, 6, 2)), float(draw.uniform(1, 9))) for k in range(60)]
+    truth = [(k, *map(float, draw.uniform(0, 6, 2)), 1.0) for k in range(40)]
+    free, want = {t[0]: t for t in truth}, set()
+    for k, x, y, _ in sorted(found, key=lambda f: -f[3]):
+        near = min(free.values(), key=lambda t: (math.hypot(t[1] - x, t[2] - y), t[0]), default=None)
+        if near and math.hypot(near[1] - x, near[2] - y) < 0.7:
+            want.add((k, near[0]))
+            del free[near[0]]
+    schema = "id long, x_as double, y_as double, flux double"
+    report = regions.match_report(spark.createDataFrame(found, schema), spark.createDataFrame(truth, schema), 0.7).collect()
+    assert {(r.found_id, r.truth_id) for r in report if r.kind == "matched"} == want
+    assert {r.truth_id for r in report if r.kind == "missed"} == set(free)
+    assert {r.found_id for r in report if r.kind == "false"} == {f[0] for f in found} - {a for a, _ in want}
+
+
+@pytest.mark.parametrize("tile", [2, 3, 256])
+def test_regions_are_the_same_for_any_tile(spark, tile):
+    picture = ["##..#", ".#.##", ".###.", ".....", "#####"]
+    pixels = spark.createDataFrame([(y, x) for y, line in enumerate(picture) for x, c in enumerate(line) if c == "#"], "pix_y int, pix_x int")
+    assert regions.connected_region(pixels, 0, 0, tile).count() == 9 and regions.connected_region(pixels, 4, 4, tile).count() == 5
+    assert regions.connected_region(pixels, 3, 0, tile).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_excluding_by_broadcast_or_tiles(spark, monkeypatch, few):
+    monkeypatch.setattr(regions, "FEW", few)
+    grid = imaging.pixels(spark, 12, 3.0)
+    centres = spark.createDataFrame([(0.3, 0.2), (-1.0, 1.1)], "y_as double, x_as double")
+    left = {(r.pix_y, r.pix_x) for r in regions.excluding(grid, centres, 0.6).collect()}
+    want = {(r.pix_y, r.pix_x) for r in grid.collect() if all(math.hypot(r.y_as - y, r.x_as - x) > 0.6 for y, x in ((0.3, 0.2), (-1.0, 1.1)))}
+    assert left == want
+
+
+@pytest.mark.parametrize("k", [2, 3])
+def test_sliding_and_upsampling_equal_loops(spark, k):
+    n = 5
+    a = np.random.default_rng(9).normal(1, 1, (n, n))
+    image = spark.createDataFrame([(y, x, float(a[y, x])) for y in range(n) for x in range(n)], "pix_y int, pix_x int, v double")
+    inside = lambda i: min(max(i, 0), n - 1)
+    frame = range(-(k // 2), (k - 1) // 2 + 1)
+    high = [[max(a[inside(y + i), inside(x + j)] for i in frame for j in frame) for x in range(n)] for y in range(n)]
+    for r in regions.sliding(image, "v", k, n).collect():
+        assert r.smooth == pytest.approx(np.mean([high[inside(r.pix_y + i)][inside(r.pix_x + j)] for i in frame for j in frame]))
+    fine = np.zeros((n * k, n * k))
+    for y in range(n * k):
+        for x in range(n * k):
+            cy, cx = (min(max((p + 0.5) / k - 0.5, 0), n - 1) for p in (y, x))
+            iy, ix = int(cy), int(cx)
+            fy, fx = cy - iy, cx - ix
+            fine[y, x] = sum(a[inside(iy + dy), inside(ix + dx)] * abs(1 - dy - fy) * abs(1 - dx - fx) for dy in (0, 1) for dx in (0, 1))
+    fine *= a.sum() / fine.sum()
+    for r in regions.upsampled(image, "v", k, n).collect():
+        assert r.v == pytest.approx(fine[r.pix_y, r.pix_x])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,20 +15,29 @@ from fringeframe.session import build_session
 from fringeframe.sources import files, mock
 
 
+class Parser(argparse.ArgumentParser):
+    """Whole option names only; what it refuses is a ValueError."""
+
+    def __init__(self, *args, **kwargs):
+        super().__init__(*args, **{**kwargs, "allow_abbrev": False})
+
+    def error(self, message: str) -> None:
+        raise ValueError(message)
+
+
 def parser() -> argparse.ArgumentParser:
-    top = argparse.ArgumentParser(prog="fringeframe")
+    top = Parser(prog="fringeframe")
     commands = top.add_subparsers(dest="command", required=True)
 
     def command(name: str, run, text: str) -> argparse.ArgumentParser:
         p = commands.add_parser(name, help=text)
-        p.add_argument("--config")
         p.add_argument("--out", required=True)
         p.set_defaults(run=run)
         return p
 
     p = command("convert", convert, "estimate noise anew and write Parquet")
     p.add_argument("--dataset", required=True)
-    p.add_argument("--noise", choices=["keep", "difference"], default="keep")
+    p.add_argument("--noise", choices=["keep", "difference", "scaled", "hybrid"], default="keep")
     for name, run, text in (("fit", fit, "one image of all channels"), ("cube", cube, "an image for each channel"), ("points", points, "point components")):
         p = command(name, run, text)
         p.add_argument("--dataset", required=True)
@@ -64,10 +74,20 @@ def solved(spark: SparkSession, args: argparse.Namespace, rows: DataFrame, shape
 
 
 def convert(spark: SparkSession, args: argparse.Namespace) -> None:
+    """keep: the noise as it is; difference: from neighbours in time; scaled: the given noise times one factor from them; hybrid: their level, the given noise's course in time."""
     vis = files.read_visibilities(spark, args.dataset)
-    if args.noise == "difference":
+    if args.noise != "keep":
         keyed = vis.withColumns({"ok": F.col("row_id"), "ln": F.lit(0), "pk": F.lit(0), "sk": F.lit(0), "px": F.lit(0.0)})
-        vis = noise.sigma_map(keyed, noise.adjacent_pairs(keyed)).withColumns({"sig_re": F.col("est_re"), "sig_im": F.col("est_im")}).select(vis.columns)
+        claimed = F.col("sig_re")
+        if args.noise == "difference":
+            made = noise.estimated_sigma(keyed).withColumns({"sig_re": F.col("est_re"), "sig_im": F.col("est_im")})
+        elif args.noise == "scaled":
+            k = noise.relative_scale(keyed, claimed).first()
+            re, im = noise.one_or_both(k["k_re"], k["k_im"])
+            made = keyed.withColumns({"sig_re": claimed * re, "sig_im": claimed * im})
+        else:
+            made = noise.hybrid_sigma(keyed, noise.adjacent_pairs(keyed), claimed).withColumns({"sig_re": F.col("hyb_re"), "sig_im": F.col("hyb_im")})
+        vis = made.select(vis.columns)
     files.write_visibilities(vis, args.out, {"noise": args.noise, "source": args.dataset})
 
 
@@ -77,7 +97,7 @@ def fit(spark: SparkSession, args: argparse.Namespace) -> None:
     n = shape.mesh
     image = best.image.reshape(n, n)
     dirty = system.terms.dirty / system.terms.sum_w
-    residual = dirty - products.apply_kernel(system.terms.kernel, image) / system.terms.sum_w
+    residual = dirty - products.Response(system.terms.kernel).to(image) / system.terms.sum_w
     lobe = system.terms.kernel[n // 2 : n // 2 + n, n // 2 : n // 2 + n] / system.terms.sum_w
     beam = products.fit_beam(lobe, shape.mesh_step)
     arrays = {"model": image, "sigma": system.posterior(best.log_strength).reshape(n, n), "dirty": dirty, "residual": residual, "restored": products.restore(image, residual, beam, shape.mesh_step)}
@@ -110,15 +130,20 @@ def write_text(folder: str, name: str, text: str) -> None:
         f.write(text.encode())
 
 
+def arguments(argv: list[str]) -> argparse.Namespace:
+    """Parsed flags; those of a configuration come before the given ones, which win."""
+    early = argparse.ArgumentParser(add_help=False)
+    early.add_argument("--config")
+    found, rest = early.parse_known_args(argv)
+    given = config.as_arguments(config.load(found.config)) if found.config else []
+    return parser().parse_args([*rest[:1], *given, *rest[1:]])
+
+
 def main(argv: list[str] | None = None) -> None:
-    top = parser()
-    given = argparse.ArgumentParser(add_help=False)
-    given.add_argument("command", nargs="?")
-    given.add_argument("--config")
-    early, _ = given.parse_known_args(argv)
-    if early.config:
-        config.applied(top._subparsers._group_actions[0].choices[early.command], config.load(early.config))
-    args = top.parse_args(argv)
+    try:
+        args = arguments(sys.argv[1:] if argv is None else argv)
+    except ValueError as e:
+        raise SystemExit(f"fringeframe: {e}") from None
     spark = build_session()
     write_text(args.out + "-input", "input_parameters.json", config.record(args))
     args.run(spark, args)

@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from fringeframe.sources.adapter import seconds
+
 
 def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
     """(baseline, time_s, value) of Parquet files as they arrive."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-    return stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("baseline"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("time_s"), "value")
+    instant = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp")  # ts has no zone and is UTC
+    return stream.select("event_id", instant.alias("ts"), F.col("event_type").alias("baseline"), seconds("ts").alias("time_s"), "value")
 
 
 def running_terms(stream: DataFrame) -> DataFrame:

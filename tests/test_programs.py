@@ -99,7 +99,7 @@ def test_beam_restore_and_kernel():
     assert np.unravel_index(seen.argmax(), seen.shape) == (10, 12) and math.isclose(seen.max(), 2.0, rel_tol=1e-9)
     kernel = np.zeros((2 * n, 2 * n))
     kernel[n + 1, n] = 1.0
-    assert products.apply_kernel(kernel, model)[11, 12] == pytest.approx(2.0)
+    assert products.Response(kernel).to(model)[11, 12] == pytest.approx(2.0)
 
 
 def test_terms_cache(spark, tmp_path):
@@ -155,15 +155,30 @@ def test_windows_and_sessions_stream(spark, event_files, tmp_path):
 def test_config(tmp_path):
     path = tmp_path / "c.json"
     path.write_text(json.dumps({"_note": "x", "fov": "2.5", "image-centre": [0.1, 0.2], "reg": "gaussian"}))
-    top = cli.parser()
-    own = top._subparsers._group_actions[0].choices["fit"]
-    config.applied(own, config.load(str(path)))
-    args = top.parse_args(["fit", "--dataset", "d", "--out", "o", "--reg", "matern"])
+    args = cli.arguments(["fit", "--config", str(path), "--dataset", "d", "--out", "o", "--reg", "matern"])
     assert (args.fov, args.image_centre, args.reg) == (2.5, (0.1, 0.2), "matern")
     assert json.loads(config.record(args))["fov"] == 2.5
-    for bad in ({"unknown": 1}, {"reg": "none"}, {"fov": 1, "--fov": 2}):
+    flags = config.as_arguments({"positive": True, "scale": None, "image_centre": (-0.1, 0.2)})
+    assert flags == ["--positive", "--image-centre=-0.1,0.2"]
+    for bad in ({"unknown": 1}, {"reg": "none"}, {"fov": 1, "--fov": 2}, {"fov": "wide"}, {"fo": 1}):
+        path.write_text(json.dumps({"fov": 1, **bad} if "--fov" not in bad else bad))
         with pytest.raises(ValueError):
-            config.applied(cli.parser()._subparsers._group_actions[0].choices["fit"], bad)
+            cli.arguments(["fit", "--config", str(path), "--dataset", "d", "--out", "o"])
+
+
+@pytest.mark.parametrize("mode", ["difference", "scaled", "hybrid"])
+def test_convert_finds_the_noise(spark, tmp_path, mode):
+    """Claimed noise is off by 7; times of four baselines, real noise 0.1."""
+    from fringeframe.sources import files
+
+    draw, rows = np.random.default_rng(3), []
+    for k in range(400):
+        rows.append((0, k, k % 3, float(k // 4 * 6), k % 4, 4, 100.0, 50.0, 0.0, 230e9, float(draw.normal(1, 0.1)), float(draw.normal(0, 0.1)), 0.7, 0.7, False))
+    schema = "spw int, row_id long, chan int, time_s double, ant1 int, ant2 int, u_m double, v_m double, w_m double, freq_hz double, re double, im double, sig_re double, sig_im double, flag boolean"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in")
+    cli.main(["convert", "--dataset", f"file://{tmp_path}/in", "--noise", mode, "--out", f"file://{tmp_path}/out"])
+    found = files.read_visibilities(spark, f"file://{tmp_path}/out").agg(F.avg("sig_re").alias("re"), F.avg("sig_im").alias("im"), F.count("re").alias("n")).first()
+    assert found.n == 400 and found.re == pytest.approx(0.1, rel=0.25) and found.im == pytest.approx(0.1, rel=0.25)
 
 
 def test_command_line(spark, tmp_path):

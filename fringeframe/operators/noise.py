@@ -27,7 +27,7 @@ def max_gap(rows: DataFrame, steps: float = GAP_STEPS, slab: float = SLAB) -> Da
     times = held(rows.select("time_s").where(F.col("time_s").isNotNull()).distinct())
     stepped = with_previous(times, [], ["time_s"], ["time_s"], slab)
     step = F.col("time_s") - F.col("previous.time_s")
-    middle = quantiles(stepped, F.when(step > 0, step), [0.5])
+    middle = quantiles(stepped, F.when(step > 0, step), [0.5], most=times.count())
     return middle.select(F.when(F.col("n") >= 2, F.lit(steps) * F.col("q0")).otherwise(F.lit(math.inf)).alias("max_gap"))
 
 
@@ -172,12 +172,13 @@ def constant_level(vis: DataFrame, order: Sequence[str] = ("time_s", *ROW_KEY),
     return one_or_both(*(level if any(level) else scatter(vis)))
 
 
-def robust_sigma(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """1.4826 times the median distance from the median of finite values; null for fewer than two."""
+def robust_sigma(df: DataFrame, value: str, keys: Sequence[str] = (), most: int | None = None) -> DataFrame:
+    """1.4826 times the median distance from the median of finite values; null for fewer than two. ``most``: values that no key exceeds, where that is known."""
     finite = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
-    middle = held(quantiles(finite, F.col(value), [0.5], keys).select(*keys, F.col("q0").alias("middle_")))
+    middle = quantiles(finite, F.col(value), [0.5], keys, most).select(*keys, F.col("q0").alias("middle_"))
+    middle = middle if most is not None else held(middle)
     joined = finite.join(middle, list(keys)) if keys else finite.crossJoin(F.broadcast(middle))
-    off = quantiles(joined, F.abs(F.col(value) - F.col("middle_")), [0.5], keys)
+    off = quantiles(joined, F.abs(F.col(value) - F.col("middle_")), [0.5], keys, most)
     return off.select(*keys, "n", F.when(F.col("n") >= 2, F.lit(1.4826) * F.col("q0")).alias("sigma"))
 
 
@@ -222,11 +223,12 @@ def time_profile(vis: DataFrame, relative: Column) -> DataFrame:
     baselines, missing times filled with the median, root taken. The table per baseline and time and the one per time are
     written once.
     """
-    square = held(vis.groupBy(*BASELINE, "time_s").agg(F.avg(F.when(~F.coalesce(F.col("flag"), F.lit(False)), relative * relative)).alias("sq")))
+    square = vis.groupBy(*BASELINE, "time_s").agg(F.avg(F.when(~F.coalesce(F.col("flag"), F.lit(False)), relative * relative)).alias("sq"))
+    square = held(square)
     own = square.where("sq is not null").groupBy(*BASELINE).agg(F.avg("sq").alias("mean_sq"), F.count(F.lit(1)).alias("rows_")).where("rows_ >= 2")
     shape = square.join(own, list(BASELINE), "left").groupBy("time_s").agg(F.avg(F.col("sq") / F.col("mean_sq")).alias("p"))
     shape = held(shape)
-    middle = quantiles(shape, F.col("p"), [0.5]).select(F.col("q0").alias("mid"))
+    middle = quantiles(shape, F.col("p"), [0.5], most=shape.count()).select(F.col("q0").alias("mid"))
     level = shape.crossJoin(F.broadcast(middle)).withColumn("p", F.coalesce("p", "mid")).drop("mid")  # one row
     mean = level.agg(F.avg("p").alias("mean_p"))
     return level.crossJoin(F.broadcast(mean)).select("time_s", F.sqrt(F.col("p") / F.col("mean_p")).alias("profile"))

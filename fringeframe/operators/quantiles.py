@@ -13,17 +13,22 @@ from fringeframe.session import held
 ACCURACY, REACH = 10_000, 4
 #: Values of a key up to which all of them are ranked: a sketch's reach is less than a rank there.
 FEW = 10_000
+#: Values of a key up to which one aggregation may hold all of them.
+BOUND = 1_000_000
 
 
-def quantiles(df: DataFrame, value: Column, qs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+def quantiles(df: DataFrame, value: Column, qs: Sequence[float], keys: Sequence[str] = (), most: int | None = None) -> DataFrame:
     """(keys, n, q0, q1, ...): linearly interpolated quantiles of ``value`` where it is neither null nor NaN.
 
     A first pass gives each key's count and, from a sketch of fixed size, two values that enclose each wanted rank. A
     second pass counts what lies below and each distinct value between, map-side first; only that share of a key's
     distinct values (a thousandth, or up to FEW) is put in order, so no task holds a key's or the table's values. Without keys
-    and rows the counts are 0 and the quantiles null; keys without values give no row.
+    and rows the counts are 0 and the quantiles null; keys without values give no row. ``most``: a number of values that no
+    key exceeds, where the caller has counted; up to BOUND of them one aggregation gives the same.
     """
     rows = df.select(*keys, value.cast("double").alias("v_")).where("v_ is not null and not isnan(v_)")
+    if most is not None and most <= BOUND:
+        return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.percentile("v_", F.lit(float(q))).alias(f"q{k}") for k, q in enumerate(qs)))
     reach = REACH / ACCURACY
     ends = F.array(*(F.lit(float(x)) for q in qs for x in (max(q - reach, 0.0), min(q + reach, 1.0))))
     brackets = held(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_"), F.percentile_approx("v_", ends, ACCURACY).alias("p_"), F.min("v_").alias("low_"), F.max("v_").alias("high_")))

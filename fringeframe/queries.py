@@ -553,7 +553,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     binned = noise.time_bins(series(spark, sf_dir), "time_s", 32)
     cube = binned.groupBy(F.col("baseline").alias("pixel"), F.col("bin_").cast("long").alias("channel")).agg(F.sum("value").alias("value"))
     channels = regions.channel_widths(cube.select("channel").distinct().withColumn("velocity", F.col("channel") * 2.5 - 40.0), "velocity", "channel")
-    sigma = noise.robust_sigma(cube, "value", ("pixel",)).select("pixel", F.col("sigma").alias("noise"))
+    sigma = noise.robust_sigma(cube, "value", ("pixel",), most=32).select("pixel", F.col("sigma").alias("noise"))
     return regions.snr_mask(cube.join(channels, "channel").join(sigma, "pixel"), 0.5, 3, ("pixel",))
 
 

@@ -17,8 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def seconds(column: str) -> Column:
     """A timestamp without zone as seconds since 1970 in UTC, whatever the session's zone."""
-    local = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(column))
-    return F.unix_micros(local.cast("timestamp")) / F.lit(1e6)
+    ts = F.col(column)
+    whole = F.unix_date(ts.cast("date")).cast("long") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+    micros = whole * 1_000_000 + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+    return micros / F.lit(1e6)
 
 
 def frequency(spw: str = "spw", chan: str = "chan") -> Column:

@@ -898,3 +898,20 @@ def running_stream(spark, sf_dir):
     name = f"terms_{uuid.uuid4().hex}"
     stream = running_terms(event_stream(spark, f"{sf_dir}/events.parquet*"))
     return rounded(drain(stream, name, f"{shared_folder(spark)}/{name}"), 6)
+
+
+@query(
+    "q_stream_pairs",
+    f"with {SERIES_SQL}, steps as (select baseline, lag(time_s) over w t0, time_s t1, value - lag(value) over w d from series window w as (partition by baseline order by time_s, event_id)) select baseline, t0, t1, round(d, 8) d from steps where t1 - t0 <= 6e2",
+)
+def stream_pairs(spark, sf_dir):
+    """Neighbours' differences from the events files read as a stream: closed slabs, and those that the end leaves open."""
+    import uuid
+
+    from fringeframe.session import shared_folder
+    from fringeframe.streaming import terms
+
+    folder = f"{shared_folder(spark)}/pairs_{uuid.uuid4().hex}"
+    stream = terms.stream_pairs(terms.event_stream(spark, f"{sf_dir}/events.parquet*"), 600.0)
+    closed = terms.landed(stream, f"{folder}/rows", f"{folder}/state")
+    return rounded(closed.unionByName(terms.open_pairs(spark, f"{folder}/state", 600.0)))

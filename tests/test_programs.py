@@ -139,11 +139,43 @@ def test_streams_equal_batches_for_any_split(spark, event_files, tmp_path, files
     got = {r.baseline: (r.n, round(r.s, 6)) for r in streams.drain(streams.running_terms(stream), f"terms_{files}", f"{tmp_path}/a").collect()}
     assert got == {k: (len(g), round(g.value.sum(), 6)) for k, g in rows.groupby("event_type")}
     pairs = streams.drain(streams.stream_pairs(stream, 7200.0), f"pairs_{files}", f"{tmp_path}/b", "append").count()
+    pairs += streams.open_pairs(spark, f"{tmp_path}/b", 7200.0).count()
     seconds = rows.ts.astype("datetime64[us]").astype("int64") / 1e6
     want = sum(int((np.diff(seconds[g.index]) <= 7200.0).sum()) for _, g in rows.groupby("event_type"))
     assert pairs == want
 
 
+@pytest.mark.parametrize("seed, files", [(1, 1), (2, 1), (3, 2), (4, 5)])
+def test_late_rows_take_their_place(spark, tmp_path, seed, files):
+    """Rows come up to a day late, in files of any order within that; nothing is lost, and what the watermark has passed is out early."""
+    import os
+
+    rows = spark.read.parquet(str(DATA / "sf0.001" / "events.parquet")).toPandas().sort_values("ts").reset_index(drop=True)
+    t = rows.ts.astype("datetime64[us]").astype("int64") / 1e6
+    draw = np.random.default_rng(seed)
+    arrival = np.argsort(t.to_numpy() + draw.uniform(0, 86400.0, len(rows)))
+    (tmp_path / "in").mkdir()
+    for k, part in enumerate(np.array_split(arrival, 7)):
+        rows.iloc[draw.permutation(part)].to_parquet(tmp_path / "in" / f"{k}.parquet", index=False, coerce_timestamps="us")
+        os.utime(tmp_path / "in" / f"{k}.parquet", (1e9 + 10 * k, 1e9 + 10 * k))
+    stream = streams.stream_pairs(streams.event_stream(spark, f"file://{tmp_path}/in", files), 3600.0, "1 day")
+    closed = streams.drain(stream, f"late_{seed}", f"{tmp_path}/state", "append").collect()
+    left = streams.open_pairs(spark, f"{tmp_path}/state", 3600.0).collect()
+    want = []
+    for name, g in rows.assign(t=t).sort_values(["t", "event_id"]).groupby("event_type"):
+        a, b, d = g.t.to_numpy()[:-1], g.t.to_numpy()[1:], np.diff(g.value.to_numpy())
+        want += [(name, x, y, z) for x, y, z in zip(a, b, d) if y - x <= 3600.0]
+    assert sorted(map(tuple, [*closed, *left])) == sorted(want)
+    assert len(closed) > 0.8 * len(want)
+
+
+def test_a_hot_key_is_many_states(spark):
+    """Slabs of a baseline are groups of their own, and few rows are there twice."""
+    rows = spark.range(20_000).selectExpr("'b' as baseline", "id * 10.0D as time_s")
+    counts = [r.n for r in streams.slabbed(rows, 100.0).groupBy("baseline", "slab").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(counts) == 126 and max(counts) <= 172 and sum(counts) < 1.08 * 20_000
+
+
 def test_windows_and_sessions_stream(spark, event_files, tmp_path):
     stream = streams.event_stream(spark, event_files[0])
     day = streams.drain(streams.tumbling(stream, 86400), "days", f"{tmp_path}/c", "append")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fringeframe.llm.common import attach
+from fringeframe.llm.common import attach, free_name
 
 #: The splitting pattern whose pre-tokens the shortcuts of ``Codec`` know (a fixed value); texts are split by others as they stand.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -239,8 +239,9 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", kee
             yield pa.StructArray.from_arrays(columns, [f.name for f in fields])
 
     coded = F.arrow_udf(run, T.StructType(fields), F.ArrowUDFType.SCALAR_ITER)
-    held = df.withColumn("bpe__", coded(F.col(f"`{text}`")))
-    return attach(held, {f.name: F.col(f"bpe__.{f.name}") for f in fields}).drop("bpe__")
+    own = free_name(df, "bpe__")
+    held = df.withColumn(own, coded(F.col(f"`{text}`")))
+    return attach(held, {f.name: F.col(f"{own}.{f.name}") for f in fields}).drop(own)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "token_ids") -> DataFrame:

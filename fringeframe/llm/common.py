@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +34,15 @@ def attach(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*kept, *(v.alias(k) for k, v in columns.items()))
 
 
+def packed(names: Sequence[str]) -> Column:
+    """Columns of any name as one, to pass through tasks that address columns by name; ``unpacked`` gives them back."""
+    return F.struct(*(F.col(f"`{c}`") for c in names), *([] if names else [F.lit(0).alias("none")])).alias("row")
+
+
+def unpacked(df: DataFrame, names: Sequence[str], results: Sequence[str]) -> DataFrame:
+    return df.select(*(F.col("row").getField(c).alias(c) for c in names), *results)
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """A column name near ``wish`` that ``df`` doesn't have."""
     taken, name = {c.lower() for c in df.columns}, wish
@@ -58,6 +69,29 @@ def running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], sla
     return joined.select(*(f"`{c}`" for c in df.columns), *((F.col(f"{n}_base") + F.coalesce(F.sum(n).over(inner), F.lit(0))).alias(k) for k, n in names.items()))
 
 
+def numbered(df: DataFrame, marks: Sequence[str], name: str) -> DataFrame:
+    """``df`` with ``name``: 0 for a row whose ``marks`` no other row has, else its number, from 0, among the rows of equal marks.
+
+    Which of them has which number is left open. Rows with marks of their own don't move. The others are written down with the task
+    that holds them and numbered there, then shifted by what other tasks hold of the same marks, so that rows of
+    which a third are equal are still many tasks.
+    """
+    again = cut(df.groupBy(*marks).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*marks))
+    many = again.count()
+    if not many:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    part, rank = free_name(df, "part__"), free_name(df, "rank__")
+    known = F.broadcast(again) if many <= MOST_SLABS else again
+    same = lambda other: reduce(and_, (F.col(f"d.{m}").eqNullSafe(F.col(f"{other}.{m}")) for m in marks))
+    once = df.alias("d").join(known.alias("a"), same("a"), "left_anti").withColumn(name, F.lit(0).cast("long"))
+    twice = cut(df.alias("d").join(known.alias("a"), same("a"), "left_semi").withColumn(part, F.spark_partition_id()))
+    held = twice.groupBy(*marks, part).agg(F.count(F.lit(1)).alias(rank))
+    before = cut(held.select(*marks, part, F.coalesce(F.sum(rank).over(Window.partitionBy(*marks).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(rank)))
+    inside = twice.withColumn(name, F.row_number().over(Window.partitionBy(*marks, part).orderBy(F.lit(0))))
+    shifted = inside.alias("d").join(before.alias("b"), same("b") & (F.col(f"d.{part}") == F.col(f"b.{part}")))
+    return once.unionByName(shifted.select(*(F.col(f"d.`{c}`") for c in df.columns), (F.col(f"d.{name}") - 1 + F.col(f"b.{rank}")).alias(name)))
+
+
 def split_hot(rows: DataFrame, keys: Sequence[str], salt: str, limit: int) -> DataFrame:
     """Deal the rows of each key to units that one task can compare.
 

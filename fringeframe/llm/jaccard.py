@@ -200,25 +200,36 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5
     """``df`` with component_id: the smallest key that links of similarity LEAST or more reach.
 
     Rows without a key keep a null component of their own; rows that repeat a key share its component. Keys are
-    whole numbers. Result columns replace inputs of their name.
+    whole numbers. Texts without a word, null ones too, are copies of each other; very long texts are compared by whole sets; an empty table gives
+    an empty result; result columns replace inputs of their name, other columns of any name and type pass.
     """
-    name = free_name(df, "component__")
+    name, own = free_name(df, "component__"), free_name(df, "doc__")
     known = cut(classes(df, text, key, width).where("doc is not null"))
     least = known.groupBy("component").agg(F.min("doc").alias(name))
-    one = known.join(least, "component").groupBy("doc").agg(F.min(name).alias(name))
-    joined = df.join(one, F.col(f"`{key}`").cast("long") == F.col("doc"), "left")
-    return attach(joined, {"component_id": F.col(name)}).drop("doc", name)
+    one = known.join(least, "component").groupBy(F.col("doc").alias(own)).agg(F.min(name).alias(name))
+    joined = df.join(one, F.col(f"`{key}`").cast("long") == F.col(own), "left")
+    return attach(joined, {"component_id": F.col(name)}).drop(own, name)
+
+
+def holds_map(kind: T.DataType) -> bool:
+    """Whether values of a type can hold a map (or a variant), which can be neither hashed nor ordered."""
+    if isinstance(kind, T.StructType):
+        return any(holds_map(f.dataType) for f in kind.fields)
+    return holds_map(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, (T.MapType, T.VariantType))
 
 
 def survivors(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5) -> DataFrame:
     """One row of ``df`` for each group of near copies: that of the smallest key, then of the smallest hash of its text.
 
     Groups are of texts, so a key that repeats with other texts neither joins groups nor loses one. Rows without a key
-    come after those with one. Rows of equal key and text are folded to the least before they are dealt.
+    come after those with one. Rows of equal key and text are folded to one before they are dealt: that of the smallest hash of its columns,
+    but for those that hold maps, which have no order. Texts without a word, null ones too, are one group; very long texts are compared by whole sets; an
+    empty table gives an empty result; columns of any name pass.
     """
     doc, row = F.col(f"`{key}`").cast("long"), F.struct(*(f"`{c}`" for c in df.columns))
     name = ("absent", "doc", "words")
     first = F.min(F.struct(F.col("doc").isNull().alias("absent"), F.coalesce("doc", F.lit(0)).alias("doc"), "words")).alias("first")
     kept = cut(classes(df, text, key, width).groupBy("component").agg(first).select("first.*"))
     rows = df.select(doc.isNull().alias("absent"), F.coalesce(doc, F.lit(0)).alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("words"), row.alias("row"))
-    return rows.groupBy(*name).agg(F.min("row").alias("row")).join(kept, list(name)).select("row.*")
+    ordered = F.xxhash64(F.lit(0), *(F.col("row").getField(f.name) for f in df.schema.fields if not holds_map(f.dataType)))
+    return rows.groupBy(*name).agg(F.min_by("row", ordered).alias("row")).join(kept, list(name)).select("row.*")

@@ -90,9 +90,9 @@ isc | permission to use copy modify | 0.9 | permission to use copy modify and or
 bsd-4-clause | advertising materials | 0.93 | all advertising materials mentioning features or use of this software must display
 bsd-3-clause | neither the name | 0.93 | neither the name of .{0,80}? nor the names of its contributors
 bsd-3-clause | neither the name | 0.85 | neither the name of .{0,80}? may be used to endorse or promote
-bsd-2-clause | redistribution and use | 0.9 | redistribution and use in source and binary forms with or without modification are permitted
-bsd-2-clause | redistributions | 0.75 | redistributions of source code must retain the above copyright notice
-bsd-2-clause | redistributions | 0.75 | redistributions in binary form must reproduce the above copyright notice
+bsd | redistribution and use | 0.9 | redistribution and use in source and binary forms with or without modification are permitted
+bsd | redistributions | 0.75 | redistributions of source code must retain the above copyright notice
+bsd | redistributions | 0.75 | redistributions in binary form must reproduce the above copyright notice
 bsd | governed by a bsd style | 0.9 | use of this (?:source code|software) is governed by a bsd style ~
 apache-2 | licensed under the apache | 0.98 | licensed under the apache ~ version 2 0 the ~ you may not use this file except in compliance with the ~
 apache-2 | except in compliance | 0.85 | you may not use this file except in compliance with the ~
@@ -284,7 +284,12 @@ zlib | zlib | 0.85 | (?:licensed|released|distributed|available) under (?:the )?
 boost-1 | boost software | 0.85 | boost software ~
 ofl-1.1 | open font | 0.85 | sil open font ~
 unlicense | unlicense | 0.85 | (?:the|under|is) unlicense
-unlicense | unlicensed | 0.3 | unlicensed
+no-license | unlicensed | 0.3 | unlicensed
+sspl-1 | server side public | 0.9 | (?:mongodb )?server side public ~(?: ?(?:version |v ?)?1)?
+sspl-1 | sspl | 0.85 | sspl(?: ?(?:version |v ?)?1(?: 0)?)?
+public-domain | public domain | 0.8 | (?:released|placed|dedicated|put|donated|given|published) (?:in|into|to) the public domain
+public-domain | public domain | 0.75 | (?:is|are|as|was|were) (?:hereby )?(?:in )?(?:the )?public domain
+python-2 | psf | 0.85 | psf ~(?: agreement)?(?: (?:version |v ?)?2)?
 wtfpl | wtfpl | 0.85 | wtfpl(?: ~)?
 gpl | general public | 0.85 | (?:licensed|released|distributed|available|provided) under (?:the )?(?:terms of the )?gnu general public(?: ~)?+!
 gpl | general public | 0.78 | gnu general public ~!
@@ -319,6 +324,9 @@ commons-clause | commons clause | 0.85 | commons clause(?: ~ condition)?
 openrail | openrail | 0.85 | (?:creativeml |bigscience )?open ?rail(?: [mds]+)?(?: ~)?
 llama-community | community license | 0.8 | llama [234](?: [0-9])? community ~
 proprietary | commercial license | 0.6 | (?:requires|under) an? commercial ~
+mit | mit | 0.8 | mit(?: ~)? or (?:at your option )?(?:the )?(?:apache|gpl|lgpl|bsd|isc|zlib)
+mit | or mit | 0.8 | (?:apache|gpl|lgpl|bsd|isc|zlib)(?: ~)?(?: (?:version |v ?)?[23](?: [01])?)?(?: clause)?(?: ~)? or (?:at your option )?(?:the )?mit
+mit | or the mit | 0.8 | (?:apache|gpl|lgpl|bsd|isc|zlib)(?: ~)?(?: (?:version |v ?)?[23](?: [01])?)?(?: clause)?(?: ~)? or (?:at your option )?the mit
 non-commercial | non commercial | 0.6 | for non ?commercial use only
 """
 

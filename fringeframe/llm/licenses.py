@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fringeframe.llm import license_rules
-from fringeframe.llm.common import attach
+from fringeframe.llm.common import attach, free_name
 
 #: Phrases and labels that the contract fixes.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -145,5 +145,6 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
                 rows.append({"n_words": n, "found": [vars(d) for d in found]})
             yield pa.array(rows, ARROW)
 
-    scanned = df.withColumn("license__", F.arrow_udf(run, FOUND, F.ArrowUDFType.SCALAR_ITER)(F.col(f"`{text}`")))
-    return attach(scanned, {"license_words": F.col("license__.n_words"), "license_found": F.col("license__.found")}).drop("license__")
+    own = free_name(df, "license__")
+    scanned = df.withColumn(own, F.arrow_udf(run, FOUND, F.ArrowUDFType.SCALAR_ITER)(F.col(f"`{text}`")))
+    return attach(scanned, {"license_words": F.col(f"{own}.n_words"), "license_found": F.col(f"{own}.found")}).drop(own)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fringeframe.llm.common import cut, shared_folder
+from fringeframe.llm.common import cut, packed, shared_folder, unpacked
 from fringeframe.llm.storage import opened, publish
 
 #: Samples in a row of the picture, bytes and members of a shard, and how much of a file the header-only read takes.
@@ -126,7 +126,8 @@ def store(df: DataFrame, folder: str | None = None, text: str = "text") -> DataF
     spark = df.sparkSession
     folder = folder or shared_folder(spark, "media")
     taken = {name for name, _ in STORED} | {text.lower()}
-    kept = df.select(F.col(f"`{text}`").alias("media__text"), *(F.col(f"`{c}`") for c in df.columns if c.lower() not in taken))
+    others = [c for c in df.columns if c.lower() not in taken]
+    kept = df.select(F.col(f"`{text}`").alias("text"), packed(others))
     schema = T.StructType(list(kept.schema.fields)[1:])
     for name, kind in STORED:
         schema = schema.add(name, kind)
@@ -145,25 +146,26 @@ def store(df: DataFrame, folder: str | None = None, text: str = "text") -> DataF
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array([r[c] for r in placed], kind) for c, kind in enumerate(kinds))], schema.names)
         shards.close()
 
-    return cut(kept.mapInArrow(run, schema))
+    return unpacked(cut(kept.mapInArrow(run, schema)), others, [name for name, _ in STORED])
 
 
 def read(stored: DataFrame) -> DataFrame:
     """``stored`` with the columns READ: sizes by header-only range reads, the others from whole pictures.
 
     Rows are read where they stand, in the order of their shards; a copy costs no second read while it is the last one seen.
-    Result columns replace inputs of their name.
+    Rows whose text was null or empty read WIDTH zeros, very long ones are one picture each, repeated rows read alike, and an
+    empty table gives an empty result. Result columns replace inputs of their name.
     """
     taken = {name for name, _ in READ}
-    stored = stored.select(*(F.col(f"`{c}`") for c in stored.columns if c.lower() not in taken))
-    schema = T.StructType(list(stored.schema.fields))
+    others = [c for c in stored.columns if c.lower() not in taken]
+    where = stored.select(packed(others), "media_uri", "media_offset", "media_length")
+    schema = T.StructType(list(where.schema.fields)[:1])
     for name, kind in READ:
         schema = schema.add(name, kind)
-    uri_at, offset_at, length_at = (stored.columns.index(c) for c in ("media_uri", "media_offset", "media_length"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uris, offsets, lengths = (batch.column(k).to_pylist() for k in (uri_at, offset_at, length_at))
+            uris, offsets, lengths = (batch.column(k).to_pylist() for k in (1, 2, 3))
             result: list[tuple] = [()] * batch.num_rows
             for uri in dict.fromkeys(uris):
                 with opened(uri) as f:
@@ -176,9 +178,9 @@ def read(stored: DataFrame) -> DataFrame:
                             seen = offsets[k], (meta["width"], meta["height"], meta["depth"], len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-WIDTH:]), hashlib.sha256(media).hexdigest(), features(data))
                         result[k] = seen[1]
             kinds = [pa.int32()] * 3 + [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[c] for r in result], kind) for c, kind in enumerate(kinds))], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[c] for r in result], kind) for c, kind in enumerate(kinds))], schema.names)
 
-    return stored.mapInArrow(run, schema)
+    return unpacked(where.mapInArrow(run, schema), others, [name for name, _ in READ])
 
 
 def with_media(df: DataFrame, text: str = "text") -> DataFrame:

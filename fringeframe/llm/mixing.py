@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fringeframe.llm.common import attach, cut, free_name, running
+from fringeframe.llm.common import attach, cut, free_name, numbered, running
 
 #: A table of targets up to this many sources is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
@@ -47,28 +47,30 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
     """``df`` with size, source_size, target and copies: how often the mix takes each document.
 
     copies = floor(rate), plus one where the document's hash in [0, 1) is below the rate's fraction; rate is
-    target / source_size. The hash is of key and text, so reruns agree, rows without a key or with a common one draw
-    each for itself, and only rows equal in both share a draw. Null and empty texts have size 0 and are taken by the same
+    target / source_size. The hash is of key and text, so reruns agree, and rows without a key or with a common one draw
+    each for itself; rows equal in both are numbered and draw by their number too. Null and empty texts have size 0 and are taken by the same
     law, very long ones like others; an empty table gives an empty result; result columns replace inputs of their name.
     Rows are never grouped: sizes are summed per source map-side first, and only that small table is ordered.
     """
-    tag = free_name(df, "mix_source")
-    sized = attach(df, {"size": word_count(F.col(f"`{text}`")), tag: F.col(f"`{source}`")})
+    tag, mark_a, mark_b, turn, at, total, aim = (free_name(df, f"mix_{n}") for n in ("source", "mark_a", "mark_b", "turn", "key", "total", "target"))
+    words = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    marks = {mark_a: F.xxhash64(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), words), mark_b: F.xxhash64(F.lit(1), words)}
+    sized = attach(numbered(df.withColumns(marks), [mark_a, mark_b], turn), {"size": word_count(F.col(f"`{text}`")), tag: F.col(f"`{source}`")})
     sums = sized.groupBy(F.col(tag).alias("source")).agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sums, weights).select(F.col("source").alias("mix_key"), F.col("source_size").alias("mix_total"), F.col("target").alias("mix_target"))
+    targets = source_targets(sums, weights).select(F.col("source").alias(at), F.col("source_size").alias(total), F.col("target").alias(aim))
     targets = cut(targets)
     if targets.count() <= BROADCAST_ROWS:
         targets = F.broadcast(targets)
-    joined = sized.join(targets, F.col(tag).eqNullSafe(F.col("mix_key")), "left")
-    rate = F.when(F.col("mix_total") > 0, F.col("mix_target") / F.col("mix_total")).otherwise(F.lit(0.0))
-    copies = (F.floor(rate) + (draw(F.col(f"`{key}`"), F.col(f"`{text}`"), seed) < rate - F.floor(rate)).cast("long")).cast("long")
-    out = attach(joined, {"source_size": F.col("mix_total"), "target": F.col("mix_target"), "copies": copies})
-    return out.drop(tag, "mix_key", "mix_total", "mix_target")
+    joined = sized.join(targets, F.col(tag).eqNullSafe(F.col(at)), "left")
+    rate = F.when(F.col(total) > 0, F.col(aim) / F.col(total)).otherwise(F.lit(0.0))
+    copies = (F.floor(rate) + (draw(F.col(f"`{key}`"), F.col(f"`{text}`"), F.col(turn), seed) < rate - F.floor(rate)).cast("long")).cast("long")
+    out = attach(joined, {"source_size": F.col(total), "target": F.col(aim), "copies": copies})
+    return out.drop(tag, mark_a, mark_b, turn, at, total, aim)
 
 
-def draw(key: Column, text: Column, seed: str) -> Column:
-    """A number in [0, 1) from a row's key and text."""
-    name = F.concat_ws(":", F.lit(seed), F.coalesce(key.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+def draw(key: Column, text: Column, turn: Column, seed: str) -> Column:
+    """A number in [0, 1) from a row's key and text, and from its number if others are equal in both."""
+    name = F.concat_ws(":", F.lit(seed), F.coalesce(key.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary")), F.when(turn > 0, turn.cast("string")))
     return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fringeframe.llm.common import attach
+from fringeframe.llm.common import attach, free_name
 
 #: Kinds whose spans the contract fixes, in the order that ties take.
 BASE = ("email", "ip", "card", "phone")
@@ -198,8 +198,9 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
                 rows.append({"spans": [vars(s) for s in spans], "masked": None if value is None or not spans else mask(value, spans)})
             yield pa.array(rows, pa.struct([("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))), ("masked", pa.string())]))
 
-    found = df.withColumn("pii__", F.arrow_udf(run, kind, F.ArrowUDFType.SCALAR_ITER)(F.col(f"`{text}`")))
-    return attach(found, {"pii_spans": F.col("pii__.spans"), "pii_masked": F.coalesce(F.col("pii__.masked"), F.col(f"`{text}`"))}).drop("pii__")
+    own = free_name(df, "pii__")
+    found = df.withColumn(own, F.arrow_udf(run, kind, F.ArrowUDFType.SCALAR_ITER)(F.col(f"`{text}`")))
+    return attach(found, {"pii_spans": F.col(f"{own}.spans"), "pii_masked": F.coalesce(F.col(f"{own}.masked"), F.col(f"`{text}`"))}).drop(own)
 
 
 def scores(spans) -> Column:

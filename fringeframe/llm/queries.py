@@ -104,7 +104,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 with sized as (
-  select doc_id, source, text, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as size from documents
+  select doc_id, source, text, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as size,
+         row_number() over (partition by doc_id, coalesce(text, '')) - 1 as turn
+  from documents
 ), sums as (
   select source, cast(sum(size) as bigint) as source_size from sized group by source
 ), ranked as (
@@ -122,7 +124,7 @@ with sized as (
   select source, source_size, least(cap, coalesce(weight * t, cap)) as target from leveled2
 ), rated as (
   select d.doc_id, d.size, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0e0 end as rate,
-         cast(concat('0x', substr(md5(concat('mix:', coalesce(cast(d.doc_id as varchar), ''), ':', md5(coalesce(d.text, '')))), 1, 8)) as bigint) / 4294967296e0 as draw
+         cast(concat('0x', substr(md5(concat('mix:', coalesce(cast(d.doc_id as varchar), ''), ':', md5(coalesce(d.text, '')), case when turn > 0 then concat(':', turn) else '' end)), 1, 8)) as bigint) / 4294967296e0 as draw
   from sized d join targets t on d.source is not distinct from t.source
 )
 select doc_id, size, source_size, target,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fringeframe.llm.common import attach, cut, free_name, running, shared_folder
+from fringeframe.llm.common import attach, cut, free_name, numbered, running, shared_folder
 
 #: A table of buckets up to this many rows is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 65_536
@@ -17,35 +17,34 @@ def assign(df: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "tex
     """``df`` with size, law, shard and slot: a uniform permutation of all rows, cut into ``shards`` equal slices.
 
     Pass one scatters rows by a seeded hash of key and text into buckets of about ``bucket_bytes``, so rows without a
-    key or with a common one fall apart by their texts. Pass two permutes each bucket: the n places of a bucket are
+    key or with a common one fall apart by their texts, and rows equal in both, which are numbered, by their numbers. Pass two permutes each bucket: the n places of a bucket are
     an array that Spark's shuffle() puts in Fisher-Yates order, and the row that is i-th by another hash takes the
     i-th place. The array is made from spark.range with a fixed partitioning, so a recomputed task draws the same
     order. Law `rows`: shard sizes differ by one at most. Null keys or texts are rows like others (size: text
-    bytes plus 1), empty and very long texts too; rows equal in key and text stand side by side in their bucket, each with a
-    slot; an empty table gives an empty result. Result columns replace inputs of their name.
+    bytes plus 1), empty and very long texts too; an empty table gives an empty result. Result columns replace inputs of their name.
     """
     spark = df.sparkSession
-    bucket, place, mark = free_name(df, "shard_bucket"), free_name(df, "shard_place"), free_name(df, "shard_mark")
-    sized = attach(df, {"size": F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long") + 1})
+    bucket, place, mark, both, number, b, base, places = (free_name(df, f"shard_{n}") for n in ("bucket", "place", "mark", "both", "number", "b", "base", "places"))
+    name, words = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    told = numbered(df.withColumns({mark: F.xxhash64(words, F.lit(seed)), both: F.xxhash64(name, words)}), [mark, both], number)
+    sized = attach(told, {"size": F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long") + 1})
     total = sized.agg(F.sum("size")).first()[0] or 0
     n = max(LEAST_BUCKETS, -(-total // max(1, bucket_bytes)))
-    name = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
-    marked = sized.withColumn(mark, F.xxhash64(F.col(f"`{text}`"), F.lit(seed)))
-    scattered = marked.withColumn(bucket, F.pmod(F.xxhash64(name, F.col(mark), F.lit(seed)), F.lit(n)).cast("int"))
+    scattered = sized.withColumn(bucket, F.pmod(F.xxhash64(name, F.col(mark), F.col(number), F.lit(seed)), F.lit(n)).cast("int"))
     counts = cut(scattered.groupBy(F.col(bucket).alias("b")).agg(F.count(F.lit(1)).alias("n")))
     starts = cut(running(counts, [F.col("b")], {"base": F.col("n")}))
     rows = counts.agg(F.sum("n")).first()[0] or 0
     dealt = spark.range(0, n, 1, max(1, min(n, 1024))).select(F.col("id").cast("int").alias("b"))
     orders = dealt.join(F.broadcast(starts) if n <= BROADCAST_ROWS else starts, "b").select(
-        F.col("b").alias("shard__b"), F.col("base").alias("shard__base"), F.shuffle(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.lit(seed)).alias("shard__places")
+        F.col("b").alias(b), F.col("base").alias(base), F.shuffle(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.lit(seed)).alias(places)
     )
-    turn = Window.partitionBy(bucket).orderBy(F.xxhash64(name, F.col(mark), F.lit(seed + 1)), F.col(f"`{key}`"), F.col("size"), F.col(mark))
+    turn = Window.partitionBy(bucket).orderBy(F.xxhash64(name, F.col(mark), F.col(number), F.lit(seed + 1)), F.col(f"`{key}`"), F.col("size"), F.col(mark), F.col(number))
     queued = scattered.withColumn(place, F.row_number().over(turn))
-    joined = queued.join(orders, F.col(bucket) == F.col("shard__b"))
-    joined = joined.withColumn(place, F.col("shard__base") + F.element_at("shard__places", F.col(place).cast("int")))
+    joined = queued.join(orders, F.col(bucket) == F.col(b))
+    joined = joined.withColumn(place, F.col(base) + F.element_at(places, F.col(place).cast("int")))
     first = f"((`{place}` * {shards}) div {max(1, rows)})"
     slot = F.col(place) - F.expr(f"({first} * {rows} + {shards - 1}) div {shards}")
-    return attach(joined, {"law": F.lit("rows"), "shard": F.expr(first).cast("int"), "slot": slot.cast("long")}).drop(bucket, place, mark, "shard__b", "shard__base", "shard__places")
+    return attach(joined, {"law": F.lit("rows"), "shard": F.expr(first).cast("int"), "slot": slot.cast("long")}).drop(bucket, place, mark, both, number, b, base, places)
 
 
 def write_shards(df: DataFrame, path: str | None = None, **options) -> str:

@@ -228,14 +228,14 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4
     repeat a key share its component. Keys are whole numbers. Very long texts are hashed whole, a run of shingles at a time. Result
     columns replace inputs of their name; an empty table gives an empty result.
     """
-    bits = free_name(df, "simhash__")
+    bits, doc, group = (free_name(df, n) for n in ("simhash__", "simhash_doc__", "component__"))
     known = printed(df, text, key, width).where("doc is not null")
     groups = classes(known, radius)
-    reached = known.join(groups, "print").select("doc", F.col("print").alias(bits), F.col("component").alias("component__"))
+    reached = known.join(groups, "print").select(F.col("doc").alias(doc), F.col("print").alias(bits), F.col("component").alias(group))
     # A key whose rows differ in text ties their groups together only by name: the smallest component stands.
-    one = cut(reached.groupBy("doc").agg(F.min_by(bits, F.struct("component__", bits)).alias(bits), F.min("component__").alias("component__")))
-    joined = df.join(one, F.col(f"`{key}`").cast("long") == F.col("doc"), "left")
-    return attach(joined, {"simhash": F.col(bits), "component_id": F.col("component__")}).drop("doc", bits, "component__")
+    one = cut(reached.groupBy(doc).agg(F.min_by(bits, F.struct(group, bits)).alias(bits), F.min(group).alias(group)))
+    joined = df.join(one, F.col(f"`{key}`").cast("long") == F.col(doc), "left")
+    return attach(joined, {"simhash": F.col(bits), "component_id": F.col(group)}).drop(doc, bits, group)
 
 
 def classes(known: DataFrame, radius: int = 4) -> DataFrame:
@@ -249,7 +249,8 @@ def digests(df: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     """(key, fingerprint as 16 hex digits, component_id), one row for each row of ``df``, by its own text.
 
     Rows without a key have a fingerprint and a null component, and tie nothing together; rows that repeat a key with
-    other texts have the fingerprint and the component of their text each.
+    other texts have the fingerprint and the component of their text each. Null, empty and wordless texts have fingerprint 0 and are
+    linked like others; very long texts are hashed whole; no other column is read, so none clashes; an empty table gives no row.
     """
     known = printed(df, text, key, width)
     groups = classes(known.where("doc is not null"), radius)

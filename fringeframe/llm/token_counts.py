@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fringeframe.llm.common import free_name
+from fringeframe.llm.common import packed, unpacked
 from fringeframe.llm.token_files import NORMALIZERS, SPLIT, Words
 
 #: Characters of a chunk, and of the first overlap of two.
@@ -180,8 +180,9 @@ def count(df: DataFrame, tokenizer: str, text: str = "text", limit: int = LIMIT,
     """
     with open(tokenizer, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
-    taken, held = {name for name, _ in RESULT} | {text.lower()}, free_name(df, "text_to_count")
-    kept = df.select(F.col(f"`{text}`").alias(held), *(F.col(f"`{c}`") for c in df.columns if c.lower() not in taken))
+    taken = {name for name, _ in RESULT} | {text.lower()}
+    others = [c for c in df.columns if c.lower() not in taken]
+    kept = df.select(F.col(f"`{text}`").alias("text"), packed(others))
     schema = T.StructType(list(kept.schema.fields)[1:])
     for name, kind in RESULT:
         schema = schema.add(name, kind)
@@ -196,4 +197,4 @@ def count(df: DataFrame, tokenizer: str, text: str = "text", limit: int = LIMIT,
                 sizes = [len(t.encode()) for t in texts]
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sizes, pa.int64()), pa.array(n), pa.array(n > limit)], schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return unpacked(kept.mapInArrow(run, schema), others, [name for name, _ in RESULT])

@@ -401,3 +401,105 @@ def test_mix_draws_for_each_row_of_a_common_key(spark):
     mixed = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string"))
     for r in mixed.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect():
         assert abs(r.taken / r.target - 1) < 0.1
+
+
+def odd_columns(df, names):
+    """``df`` with a column of each name, all of one value, and a map column."""
+    return df.selectExpr("*", *(f"'kept' as `{n}`" for n in names), "map('k', doc_id) as `a.map`", "named_struct('m', map(1, text)) as nested")
+
+
+def applied():
+    """Operators with the names that they use inside, and how to run them on documents."""
+    import public_tokenizers
+
+    from fringeframe.llm import bpe, filter_audit, licenses, media, pii, token_counts, toxicity
+
+    ranks, words = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
+    yield "toxicity", lambda df: toxicity.score(df, toxicity.fit(df, df.sparkSession.createDataFrame([(1, 1), (2, 0), (5, 1), (7, 0)], "doc_id long, toxic int"))), ["toxicity__", "features", "model", "key", "word"]
+    yield "bpe", lambda df: bpe.encode(df, ranks, public_tokenizers.PATTERN), ["bpe__", "bpe___", "ids"]
+    yield "mixing", mixing.mix, ["mix_key", "mix_total", "mix_target", "mix_source", "mix_mark_a", "mix_mark_b", "mix_turn", "rank", "weight", "limit", "level", "d", "b", "n", "part__", "rank__"]
+    yield "emit", lambda df: mixing.emit(mixing.mix(df)), ["mix_key", "mix_turn"]
+    yield "pii", pii.scan, ["pii__", "spans"]
+    yield "simhash", simhash.dedup, ["doc", "component__", "simhash__", "simhash_doc__", "print", "component", "node"]
+    yield "jaccard", jaccard.dedup, ["doc", "doc__", "component__", "words", "component", "node", "sketch__"]
+    yield "survivors", jaccard.survivors, ["doc", "absent", "words", "row", "first", "component"]
+    yield "licenses", licenses.scan, ["license__", "found", "n_words"]
+    yield "sharding", sharding.assign, [f"shard_{n}" for n in ("bucket", "place", "mark", "both", "number", "b", "base", "places")] + ["b", "n", "base", "shard__b", "shard__base", "shard__places", "slab__", "part__", "rank__", "d"]
+    yield "media", lambda df: media.with_media(df), ["media__text", "uri", "digest", "offset"]
+    yield "counts", lambda df: token_counts.count(df, words), ["text_to_count", "text_to_count_"]
+
+
+@pytest.mark.parametrize("name", ["toxicity", "bpe", "mixing", "emit", "pii", "simhash", "jaccard", "survivors", "licenses", "sharding", "media", "counts"])
+def test_inner_names_and_maps_pass(spark, docs, name):
+    """A column of every name that an operator uses inside, a map and a nested map keep their values."""
+    pytest.importorskip("public_tokenizers")
+    run, inner = next((f, inner) for n, f, inner in applied() if n == name)
+    got = run(odd_columns(docs, inner)).collect()
+    assert got
+    texts = {(k, t) for k, t, *_ in ROWS}
+    for r in got:
+        assert all(r[c] == "kept" for c in inner), r
+        assert r["a.map"] == {"k": r.doc_id} and (r.doc_id, r.nested.m[1]) in texts
+    if name not in ("survivors", "emit"):
+        assert len(got) == len(ROWS)
+
+
+@pytest.mark.parametrize("name", ["drop_toxic", "drop_copies", "mask_personal_data", "mix_sources", "encode_texts"])
+def test_stages_pass_inner_names_and_maps(spark, docs, name, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(5, 1, 1), *((k, 1, 0) for k in (1, 2, 3, 7, 8, 9, 12, 13))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    inner = ["row", "doc", "bpe__", "pii__", "pii_masked", "mix_key", "copies", "component", "words", "score", "absent"]
+    got = getattr(corpus_pipeline, name)(spark, odd_columns(docs, inner), str(tmp_path)).collect()
+    assert got and all(r[c] == "kept" for r in got for c in inner) and all(r["a.map"] == {"k": r.doc_id} for r in got)
+
+
+def test_equal_rows_are_mixed_to_their_targets(spark):
+    """Rows that are equal in key and text draw each for itself, in any partitioning."""
+    df = spark.range(3000).selectExpr("cast(null as long) as doc_id", "'one two' as text", "if(id < 2500, 'a', 'b') as source")
+    counts = []
+    for parts in (3, 11):
+        rows = mixing.mix(df.repartition(parts)).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.count(F.lit(1)).alias("n")).collect()
+        assert sorted(r.n for r in rows) == [500, 2500]
+        assert all(abs(r.taken / r.target - 1) < 0.12 for r in rows), rows
+        counts.append(sum(r.taken for r in rows))
+    assert len(counts) == 2
+    same = [sorted(r.copies for r in mixing.mix(spark.range(500).selectExpr("7L as doc_id", "'x' as text", "'s' as source").unionByName(spark.createDataFrame([(1, "y " * 1000, "t")], "doc_id long, text string, source string")).repartition(p)).where("doc_id = 7").collect()) for p in (2, 9)]
+    assert same[0] == same[1] and len(set(same[0])) > 1
+
+
+def test_numbers_of_equal_rows(spark):
+    from fringeframe.llm.common import numbered
+
+    df = spark.range(1000).selectExpr("if(id % 3 = 0, null, id) as a", "if(id % 3 = 0, 'x', 'y') as `b.c`", "map(1, id) as m").repartition(7)
+    rows = numbered(df.withColumn("mark", F.coalesce("a", F.lit(-1))), ["mark"], "k").collect()
+    assert sorted(r.k for r in rows if r.a is None) == list(range(334)) and all(r.k == 0 for r in rows if r.a is not None)
+    assert sorted(r.m[1] for r in rows) == list(range(1000))
+    once = numbered(df.where("a is not null"), ["a"], "k")
+    assert once.where("k > 0").count() == 0 and once.count() == 666
+
+
+def test_equal_rows_are_split_over_buckets(spark):
+    """A table of one repeated row is many buckets, and its permutation has no gap."""
+    df = spark.range(5000).selectExpr("1L as doc_id", "'same text' as text", "id as n")
+    rows = sharding.assign(df, bucket_bytes=500).collect()
+    counts = np.bincount([r.shard for r in rows], minlength=8)
+    assert counts.tolist() == [625] * 8
+    for s in range(8):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(625))
+    order = [r.n for r in sorted(rows, key=lambda r: (r.shard, r.slot))]
+    assert sorted(order) == list(range(5000))
+
+
+def test_permutation_is_the_plain_one(spark):
+    """Places recomputed bucket by bucket: a bucket is a stretch of the permutation, in the order that its shuffled places give."""
+    df = spark.range(900).selectExpr("id as doc_id", "concat('t', id % 11) as text")
+    rows = sharding.assign(df, shards=3).collect()
+    at = {r.doc_id: r.shard * 300 + r.slot for r in rows}
+    assert sorted(at.values()) == list(range(900))
+    keyed = df.select("doc_id", F.xxhash64(F.col("text"), F.lit(7)).alias("m")).select("doc_id", "m", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "m", F.lit(0).cast("long"), F.lit(7)), F.lit(256)).alias("b"), F.xxhash64(F.col("doc_id").cast("string"), "m", F.lit(0).cast("long"), F.lit(8)).alias("o")).collect()
+    start = 0
+    for b in range(256):
+        own = [r.doc_id for r in sorted((r for r in keyed if r.b == b), key=lambda r: r.o)]
+        assert sorted(at[k] for k in own) == list(range(start, start + len(own)))
+        start += len(own)

@@ -1,12 +1,16 @@
-"""Emission masks from region files: shapes become rows, pixels meet them, exclusions win."""
+"""Emission masks from region files and FITS images: shapes become rows, pixels meet them, exclusions win."""
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fringeframe.operators.wcs import Grid, resampled
+from fringeframe.sources.files import fits_image
+
 #: A shape, its first pair (the centre) and the numbers after it; a leading - excludes.
 SHAPE = re.compile(r"^\s*(?P<sign>[-+]?)\s*(?P<kind>circle|ellipse|centerbox|rotbox)\s*\[\s*\[(?P<centre>[^\]]*)\]\s*,\s*(?P<rest>.*)\]\s*(?:coord=.*)?$", re.IGNORECASE)
 NUMBER = re.compile(r"([-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?)\s*(deg|arcsec|arcmin|rad|pix)?")
@@ -32,6 +36,23 @@ def shapes(text: str) -> list[tuple[bool, str, float, float, float, float, float
     return out
 
 
+def from_fits(spark: SparkSession, raw: bytes, grid: Grid, least: float = 0.5) -> DataFrame:
+    """(pix_y, pix_x) of ``grid`` where the nearest pixel of a mask image (the bytes of a FITS file with a projection) is above ``least``.
+
+    A mask on a grid of its own is carried over on the sky; further axes of length one are left aside. An empty result refuses.
+    """
+    header, array = fits_image(raw)
+    array = array.reshape(array.shape[-2:]) if array.size == array.shape[-1] * array.shape[-2] else array
+    if array.ndim != 2:
+        raise ValueError(f"a mask has two axes, not {array.ndim}")
+    y, x = (a.tolist() for a in np.nonzero(np.nan_to_num(array) > least))
+    mask = spark.createDataFrame(list(zip(y, x)), "pix_y int, pix_x int").withColumn("in_", F.lit(True))
+    kept = resampled(mask, "in_", Grid.of(header), grid).select("pix_y", "pix_x")
+    if kept.isEmpty():
+        raise ValueError("the mask is empty")
+    return kept
+
+
 def rasterised(spark: SparkSession, pixels: DataFrame, text: str) -> DataFrame:
     """(pix_y, pix_x) inside a shape and in no excluded one; an empty result refuses."""
     rows = spark.createDataFrame(shapes(text), "include boolean, kind string, cx double, cy double, a double, b double, angle double")

@@ -121,10 +121,10 @@ def sigma_map(vis: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def one_or_both(re: float | None, im: float | None) -> tuple[float, float]:
-    """A usable part stands in for one that isn't; with neither there is nothing to go on."""
+    """Both levels; where just one of them is a positive number, it is taken for both."""
     good = [x for x in (re, im) if x is not None and math.isfinite(x) and x > 0]
     if not good:
-        raise ValueError("cannot estimate a noise level: no usable time differences and no finite scatter; check the data and the flags, or give the noise")
+        raise ValueError("nothing to measure noise by: every sample is flagged, alone in time or not a number; pass a level instead")
     return tuple(x if x is not None and math.isfinite(x) and x > 0 else good[0] for x in (re, im))
 
 
@@ -242,11 +242,13 @@ def hybrid_sigma(vis: DataFrame, pairs: DataFrame, relative: Column) -> DataFram
 def weight_disagreement(vis: DataFrame, pairs: DataFrame, relative: Column) -> DataFrame:
     """One row: mean of measured over claimed noise on the shortest and on the longest quarter of the rows, and their ratio.
 
-    Rows count whose both noises are positive and whose baseline has a length; fewer than LEAST_VALUES give nulls.
+    A row is a window's baseline at a time with its place; its ratio is the mean over its channels whose both noises are positive. Rows without
+    such a channel or a baseline length don't count; fewer than LEAST_VALUES rows give nulls.
     """
-    length = F.sqrt(F.col("u_m") * F.col("u_m") + F.col("v_m") * F.col("v_m"))
-    rows = sigma_map(vis, pairs).where(~F.coalesce(F.col("flag"), F.lit(False))).select((F.col("est_re") / relative).alias("ratio"), length.alias("length"))
-    rows = held(rows.where("ratio > 0 and length > 0"))
+    length, row = F.sqrt(F.col("u_m") * F.col("u_m") + F.col("v_m") * F.col("v_m")), ("spw", "ant1", "ant2", "time_s", "u_m", "v_m")
+    rows = sigma_map(vis, pairs).where(~F.coalesce(F.col("flag"), F.lit(False))).select(*row, (F.col("est_re") / relative).alias("ratio"), length.alias("length"))
+    rows = rows.where("ratio > 0 and length > 0").groupBy(*row).agg(F.avg("ratio").alias("ratio"), F.first("length").alias("length"))
+    rows = held(rows)
     ends = quantiles(rows, F.col("length"), [0.25, 0.75]).select(F.col("q0").alias("low"), F.col("q1").alias("high"))
     found = rows.crossJoin(F.broadcast(ends)).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("length") <= F.col("low"), F.col("ratio"))).alias("short_ratio"), F.avg(F.when(F.col("length") >= F.col("high"), F.col("ratio"))).alias("long_ratio"))
     enough = F.col("n") >= LEAST_VALUES

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fringeframe.session import held
@@ -291,27 +291,71 @@ def region_flux(image: DataFrame, value: str, rms: float, n_sigma: float) -> Dat
     return image.where(F.col(value) >= F.lit(rms * n_sigma)).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("flux"))
 
 
+def mapped_variance(mapping: DataFrame, covariance: DataFrame) -> DataFrame:
+    """(pix_y, pix_x, variance): the diagonal of M C M' for a mapping (pix_y, pix_x, mesh_id, weight) and a symmetric covariance
+    (i, j, c) of mesh values, of which i <= j is given.
+
+    Both factors stay sparse: a pixel's few weights meet in pairs, pairs meet the covariance by (i, j), and products are added by pixel.
+    """
+    a = mapping.select("pix_y", "pix_x", F.col("mesh_id").alias("i"), F.col("weight").alias("wa_"))
+    b = mapping.select("pix_y", "pix_x", F.col("mesh_id").alias("j"), F.col("weight").alias("wb_"))
+    pairs = a.join(b, ["pix_y", "pix_x"]).where("i <= j").withColumn("w_", F.col("wa_") * F.col("wb_") * F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0))
+    return pairs.join(covariance, ["i", "j"]).groupBy("pix_y", "pix_x").agg(F.sum(F.col("w_") * F.col("c")).alias("variance"))
+
+
+def region_flux_error(image: DataFrame, value: str, region: DataFrame, mapping: DataFrame, covariance: DataFrame) -> DataFrame:
+    """One row: pixels of ``region``, their summed value, and its standard error when image = M s and s has the covariance (i, j, c), i <= j.
+
+    The region's pixels are folded to one weight for each mesh point first, v = M' 1, so that the triple product v' C v is one join of the
+    covariance with v on either index.
+    """
+    v = mapping.join(region.select("pix_y", "pix_x").distinct(), ["pix_y", "pix_x"], "left_semi").groupBy("mesh_id").agg(F.sum("weight").alias("v_"))
+    both = covariance.join(v.select(F.col("mesh_id").alias("i"), F.col("v_").alias("vi_")), "i").join(v.select(F.col("mesh_id").alias("j"), F.col("v_").alias("vj_")), "j")
+    spread = both.agg(F.sqrt(F.sum(F.col("vi_") * F.col("vj_") * F.col("c") * F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0))).alias("error"))
+    total = image.join(region.select("pix_y", "pix_x").distinct(), ["pix_y", "pix_x"], "left_semi").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("flux"))
+    return total.crossJoin(F.broadcast(spread))  # a row each
+
+
 def moment_errors(draws: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Half the spread of the middle 68 in a hundred draws of each moment."""
     half = lambda c: ((F.percentile(c, F.lit(0.84)) - F.percentile(c, F.lit(0.16))) / 2.0).alias(f"{c}_error")
     return draws.groupBy(*keys).agg(F.count(F.lit(1)).alias("draws"), half("mom0"), half("mom1"))
 
 
-def mask_boundary(mask: DataFrame, spacing: int) -> DataFrame:
-    """(pix_y, pix_x) of zero points round a mask: lattice points up to two spacings outside it, and every other stretch of the pixels at its edge.
+def mask_boundary(mask: DataFrame, spacing: int, n: int) -> DataFrame:
+    """(pix_y, pix_x) on an image of n x n pixels where a mesh over the mask is held at zero.
 
-    A pixel spreads to a disc of bounded size; the two kinds are united without repeats.
+    Of the pixels up to two spacings from the mask those on every ``spacing``-th row and column count; of its direct neighbours those in every
+    other square of that side. A pixel spreads to a disc of bounded size; the two kinds are united without repeats.
     """
     reach = 2 * spacing
     moves = [(y, x) for y in range(-reach, reach + 1) for x in range(-reach, reach + 1) if 0 < y * y + x * x <= reach * reach]
     spread = mask.withColumn("m", F.explode(F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in moves))))
-    outside = spread.select((F.col("pix_y") + F.col("m.y")).alias("pix_y"), (F.col("pix_x") + F.col("m.x")).alias("pix_x")).distinct().join(mask, ["pix_y", "pix_x"], "left_anti")
+    inside = F.col("pix_y").between(0, n - 1) & F.col("pix_x").between(0, n - 1)
+    outside = spread.select((F.col("pix_y") + F.col("m.y")).alias("pix_y"), (F.col("pix_x") + F.col("m.x")).alias("pix_x")).where(inside).distinct().join(mask, ["pix_y", "pix_x"], "left_anti")
     lattice = outside.where((F.col("pix_y") % spacing == 0) & (F.col("pix_x") % spacing == 0))
-    edge = dilated(mask, 1).join(mask, ["pix_y", "pix_x"], "left_anti")
+    edge = dilated(mask, 1).where(inside).join(mask, ["pix_y", "pix_x"], "left_anti")
     thin = edge.where((F.floor(F.col("pix_y") / spacing) + F.floor(F.col("pix_x") / spacing)) % 2 == 0)
     return lattice.union(thin.select("pix_y", "pix_x")).distinct()
 
 
+def field_ring(spark: SparkSession, n: int, step: float, spacing: float) -> DataFrame:
+    """(y_as, x_as) on the square half a pixel outside the field: every ``spacing`` from each corner along the next side."""
+    half = (n / 2 + 0.5) * step
+    t = F.lit(-half) + F.col("id") * F.lit(float(spacing))
+    side = spark.range(math.ceil(2 * half / spacing) + 1).select(t.alias("t")).where(F.col("t") < half)
+    h = F.lit(half)
+    four = F.array(*(F.struct(y.alias("y_as"), x.alias("x_as")) for y, x in ((h, F.col("t")), (F.col("t"), -h), (-h, -F.col("t")), (-F.col("t"), h))))
+    return side.select(F.explode(four).alias("p")).select("p.y_as", "p.x_as")
+
+
+def boundary_points(mask: DataFrame, spacing: int, n: int, step: float) -> DataFrame:
+    """(y_as, x_as) of the zero points: those round the mask and those of the ring about the field, once each."""
+    middle = (n - 1) / 2
+    near = mask_boundary(mask, spacing, n).select(((F.lit(middle) - F.col("pix_y")) * step).alias("y_as"), ((F.col("pix_x") - middle) * step).alias("x_as"))
+    return distinct_points(near, field_ring(mask.sparkSession, n, step, spacing * step))
+
+
 def distinct_points(*sets: DataFrame, digits: int = 9) -> DataFrame:
     """The union of point sets (y_as, x_as) without repeats, coordinates rounded to ``digits`` decimals."""
     out = sets[0].select("y_as", "x_as")

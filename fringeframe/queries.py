@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fringeframe.functions import sky
 from fringeframe.operators import imaging, matrix, noise, regions, selection
+from fringeframe.operators.quantiles import quantiles
 from fringeframe.session import held
 from fringeframe.sources.adapter import FREQUENCY_SQL, ROW_KEY, SERIES_SQL, VIS_SQL, frequency, series, table, visibilities
 
@@ -268,7 +269,7 @@ def hybrid_sigma(spark, sf_dir):
 
 @query(
     "q_baseline_disagreement",
-    f"with {MAP_SQL}, r as (select est_re * sqrt(weight) ratio, sqrt(u_m * u_m + v_m * v_m) l from mapped where not flag and est_re > 0 and u_m * u_m + v_m * v_m > 0), e as (select quantile_cont(l, 25e-2) lo, quantile_cont(l, 75e-2) hi from r), m as (select count(*) n, avg(ratio) filter (l <= lo) s, avg(ratio) filter (l >= hi) g from r, e) select n, case when n >= 8 then round(s, 8) end short_ratio, case when n >= 8 then round(g, 8) end long_ratio, case when n >= 8 then round(g / s, 8) end ratio from m",
+    f"with {MAP_SQL}, r as (select avg(est_re * sqrt(weight)) ratio, sqrt(u_m * u_m + v_m * v_m) l from mapped where not flag and est_re > 0 and u_m * u_m + v_m * v_m > 0 group by spw, ant1, ant2, time_s, u_m, v_m), e as (select quantile_cont(l, 25e-2) lo, quantile_cont(l, 75e-2) hi from r), m as (select count(*) n, avg(ratio) filter (l <= lo) s, avg(ratio) filter (l >= hi) g from r, e) select n, case when n >= 8 then round(s, 8) end short_ratio, case when n >= 8 then round(g, 8) end long_ratio, case when n >= 8 then round(g / s, 8) end ratio from m",
 )
 def baseline_disagreement(spark, sf_dir):
     return rounded(noise.weight_disagreement(cross(spark, sf_dir), pairs(spark, sf_dir), F.lit(1.0) / F.sqrt("weight")))
@@ -630,7 +631,8 @@ def tumbling_chunks(spark, sf_dir):
 def coverage(spark, sf_dir):
     rows = points(spark, sf_dir)
     off = F.col("re") - 0.5
-    return rounded(rows.groupBy("spw").agg(F.sqrt(F.avg(F.pow(off, 2))).alias("rms_error"), F.percentile("sig_re", F.lit(0.5)).alias("median_sigma"), F.avg(F.when(F.abs(off) <= 5.0 * F.col("sig_re"), 1.0).otherwise(0.0)).alias("covered")))
+    middle = quantiles(rows, F.col("sig_re"), [0.5], ("spw",)).select("spw", F.col("q0").alias("median_sigma"))
+    return rounded(rows.groupBy("spw").agg(F.sqrt(F.avg(F.pow(off, 2))).alias("rms_error"), F.avg(F.when(F.abs(off) <= 5.0 * F.col("sig_re"), 1.0).otherwise(0.0)).alias("covered")).join(middle, "spw"))
 
 
 @query("q_image_agreement", f"with {IMAGE_SQL} select count(*) n, round(corr(dirty, beam), 8) correlation, round(sqrt(avg((dirty - beam) ** 2)) / max(abs(beam)), 8) rms_over_peak from image")
@@ -760,10 +762,19 @@ def match_components(spark, sf_dir):
 
 @query(
     "q_mask_boundary",
-    f"with {MASK_SQL}, o as (select y, x from range(-4, 5) a(y), range(-4, 5) b(x) where y * y + x * x between 1 and 16), out as (select pix_y + y pix_y, pix_x + x pix_x from ext, o except select pix_y, pix_x from ext), edge as (select pix_y + y pix_y, pix_x + x pix_x from ext, o where abs(y) + abs(x) = 1 except select pix_y, pix_x from ext) select * from out where pix_y % 2 = 0 and pix_x % 2 = 0 union select * from edge where (cast(floor(pix_y / 2e0) + floor(pix_x / 2e0) as bigint)) % 2 = 0",
+    f"with {MASK_SQL}, o as (select y, x from range(-4, 5) a(y), range(-4, 5) b(x) where y * y + x * x between 1 and 16), out as (select pix_y + y pix_y, pix_x + x pix_x from ext, o except select pix_y, pix_x from ext), edge as (select pix_y + y pix_y, pix_x + x pix_x from ext, o where abs(y) + abs(x) = 1 except select pix_y, pix_x from ext), kept as (select * from out where pix_y % 2 = 0 and pix_x % 2 = 0 union select * from edge where (cast(floor(pix_y / 2e0) + floor(pix_x / 2e0) as bigint)) % 2 = 0) select pix_y, pix_x from kept where pix_y between 0 and 63 and pix_x between 0 and 63",
 )
 def mask_boundary(spark, sf_dir):
-    return regions.mask_boundary(masks(spark, sf_dir)["extra"].distinct(), 2)
+    return regions.mask_boundary(masks(spark, sf_dir)["extra"].distinct(), 2, 64)
+
+
+@query(
+    "q_boundary_points",
+    f"with {MASK_SQL}, o as (select y, x from range(-4, 5) a(y), range(-4, 5) b(x) where y * y + x * x between 1 and 16), out as (select pix_y + y pix_y, pix_x + x pix_x from ext, o except select pix_y, pix_x from ext), edge as (select pix_y + y pix_y, pix_x + x pix_x from ext, o where abs(y) + abs(x) = 1 except select pix_y, pix_x from ext), kept as (select * from out where pix_y % 2 = 0 and pix_x % 2 = 0 union select * from edge where (cast(floor(pix_y / 2e0) + floor(pix_x / 2e0) as bigint)) % 2 = 0), t as (select -65e-1 + i * 4e-1 t from range(33) r(i) where -65e-1 + i * 4e-1 < 65e-1), ring as (select 65e-1 y, t x from t union all select t, -65e-1 from t union all select -65e-1, -t from t union all select -t, 65e-1 from t) select round((315e-1 - pix_y) * 2e-1, 9) + 0 y_as, round((pix_x - 315e-1) * 2e-1, 9) + 0 x_as from kept where pix_y between 0 and 63 and pix_x between 0 and 63 union select round(y, 9) + 0, round(x, 9) + 0 from ring",
+)
+def boundary_points(spark, sf_dir):
+    """Zero points of a mesh over a mask: round the mask, and on a square just outside the field."""
+    return regions.boundary_points(masks(spark, sf_dir)["extra"].distinct(), 2, 64, 0.2)
 
 
 @query("q_points_union", "with p as (select p_partkey % 64 * 1e-1 y_as, p_size * 3e-1 x_as from part union all select s_suppkey % 64 * 1e-1 + 1e-12, s_suppkey % 50 * 3e-1 from supplier) select distinct round(y_as, 9) y_as, round(x_as, 9) x_as from p")
@@ -915,3 +926,6 @@ def stream_pairs(spark, sf_dir):
     stream = terms.stream_pairs(terms.event_stream(spark, f"{sf_dir}/events.parquet*"), 600.0)
     closed = terms.landed(stream, f"{folder}/rows", f"{folder}/state")
     return rounded(closed.unionByName(terms.open_pairs(spark, f"{folder}/state", 600.0)))
+
+
+from fringeframe import queries_sky  # noqa: E402, F401  registers its own

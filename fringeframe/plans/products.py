@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
 import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fringeframe.plans.inversion import Terms
 from fringeframe.sources.files import place
 
+logger = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class Beam:
@@ -88,6 +93,44 @@ def terms_key(source: str, **choices: object) -> str:
     return hashlib.sha256(json.dumps([source, choices], sort_keys=True, default=str).encode()).hexdigest()
 
 
+def content_identity(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row (n, content): what ``rows`` hold in ``columns``, whatever their order and partitioning.
+
+    A row is the first 60 bits of the MD5 of its values, nulls marked, lengths in front; the sum over all rows, kept whole, is the content. Only sums move.
+    """
+    values = [F.coalesce(F.concat(F.length(s := F.col(f"`{c}`").cast("string")).cast("string"), F.lit(":"), s), F.lit("-")) for c in columns]
+    mark = F.conv(F.substring(F.md5(F.concat_ws("|", *values).cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(mark).cast("string").alias("content"))
+
+
+def source_identity(source: str | DataFrame) -> str:
+    """A name for what a cache was made from: of files, where they are, their sizes and times, without a pass over them; of a table, its content."""
+    if isinstance(source, DataFrame):
+        row = content_identity(source, sorted(source.columns)).first()
+        return f"table:{row['n']}:{row['content']}"
+    files, root = place(source)
+    found = files.get_file_info(root)
+    if found.type == fs.FileType.NotFound:
+        raise FileNotFoundError(source)
+    listed = [found] if found.type == fs.FileType.File else [i for i in files.get_file_info(fs.FileSelector(root, recursive=True)) if i.type == fs.FileType.File and not i.base_name.startswith(".")]
+    parts = sorted(f"{i.path}:{i.size}:{i.mtime_ns}" for i in listed)
+    return f"files:{len(parts)}:{hashlib.sha256('|'.join(parts).encode()).hexdigest()[:32]}"
+
+
+def cached_terms(spark: SparkSession, folder: str, key: str, build: Callable[[], Terms], renew: bool = False) -> Terms:
+    """Terms from the cache, or built and put there. A cache that is damaged, of another key or of another shape never stops a run: it is built anew,
+    and one that can't be written costs a warning."""
+    found = None if renew else load_terms(spark, folder, key)
+    if found is not None:
+        return found
+    made = build()
+    try:
+        save_terms(spark, made, folder, key)
+    except Exception as e:  # noqa: BLE001  a full disk or a store without leave to write: the terms are there all the same
+        logger.warning("terms %s are not cached: %s", key, e)
+    return made
+
+
 def save_terms(spark: SparkSession, terms: Terms, folder: str, key: str) -> None:
     row = (key, len(terms.dirty), terms.kernel.reshape(-1).tolist(), terms.dirty.reshape(-1).tolist(), int(terms.n_vis), float(terms.sum_w), float(terms.data_term), float(terms.noise_norm))
     made = spark.createDataFrame([row], "key string, n int, kernel array<double>, dirty array<double>, n_vis long, sum_w double, data_term double, noise_norm double")
@@ -95,16 +138,18 @@ def save_terms(spark: SparkSession, terms: Terms, folder: str, key: str) -> None
 
 
 def load_terms(spark: SparkSession, folder: str, key: str) -> Terms | None:
-    """Cached terms, or none where there are none of this key."""
-    from pyarrow import fs
-
+    """Cached terms, or none where there are none of this key or they can't be used."""
     files, p = place(f"{folder}/{key}")
     if files.get_file_info(p).type == fs.FileType.NotFound:
         return None
-    r = spark.read.parquet(f"{folder}/{key}").where(F.col("key") == key).first()
-    if r is None:
+    try:
+        r = spark.read.parquet(f"{folder}/{key}").where(F.col("key") == key).first()
+        if r is None:
+            return None
+        return Terms(np.array(r.kernel).reshape(2 * r.n, 2 * r.n), np.array(r.dirty).reshape(r.n, r.n), r.n_vis, r.sum_w, r.data_term, r.noise_norm)
+    except Exception as e:  # noqa: BLE001  whatever is wrong with a cache, it is built again
+        logger.warning("cached terms %s can't be read and are built again: %s", key, str(e).splitlines()[0])
         return None
-    return Terms(np.array(r.kernel).reshape(2 * r.n, 2 * r.n), np.array(r.dirty).reshape(r.n, r.n), r.n_vis, r.sum_w, r.data_term, r.noise_norm)
 
 
 def run_record(**resolved: object) -> str:

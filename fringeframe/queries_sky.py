@@ -138,3 +138,100 @@ def region_flux_error(spark, sf_dir):
     rows = image(spark, sf_dir)
     found = regions.region_flux_error(rows, "dirty", rows.where("beam >= 0.5"), regions.bilinear_mapping(sized_pixels(spark), MESH, SIDE), covariance(spark, sf_dir))
     return rounded(found, 7, error=6)
+
+
+#: Rings of the registered disc, its radius in arcseconds, the phase that a part of a cell may turn by.
+RINGS, RADIUS, TURN = 3, 0.12, 0.5
+RINGS_SQL = f"r as (select id ring, greatest(1, cast(round_even(6.283185307179586 * (id + 5e-1), 0) as bigint)) n from range({RINGS}) t(id)), rings as (select ring, n cells, cast(coalesce(sum(n) over (order by ring rows between unbounded preceding and 1 preceding), 0) as bigint) first_cell, ring * {RADIUS / RINGS!r} r_in, (ring + 1) * {RADIUS / RINGS!r} r_out from r), cells as (select first_cell + k cell_id, r_in, r_out, k * 6.283185307179586 / cells th_lo, (k + 1) * 6.283185307179586 / cells th_hi from rings, range(40) s(k) where k < cells)"
+VALUES_SQL = "vals as (select p_partkey % 28 cell_id, sum(p_size) * 1e0 as bright from part group by 1)"
+
+
+def brightness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brightness of the 28 cells: sizes of parts."""
+    return table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 28).alias("cell_id")).agg(F.sum("p_size").cast("double").alias("value"))
+
+
+@query(
+    "q_disc_visibilities",
+    f"""with {POINTS_SQL}, {RINGS_SQL}, {VALUES_SQL}, far as (select max(sqrt(u * u + v * v)) * {2 * math.pi * sky.ARCSEC / TURN!r} q from points),
+ cut as (select cell_id, r_in, r_out, th_lo, th_hi, cast(greatest(ceil((r_out - r_in) * q), 1) as bigint) n_r, cast(greatest(ceil(r_out * (th_hi - th_lo) * q), 1) as bigint) n_t from cells, far),
+ node as (select (th_hi - th_lo) / 2 * (r_out * r_out - r_in * r_in) / (n_r * n_t) * bright w, sqrt(r_in * r_in + (r_out * r_out - r_in * r_in) * (a.k + 5e-1) / n_r) r, th_lo + (th_hi - th_lo) * (b.k + 5e-1) / n_t t from cut join vals using (cell_id), (select unnest(range(200)) k) a, (select unnest(range(200)) k) b where a.k < n_r and b.k < n_t),
+ xy as (select sum(w) w, r * cos(t) x, r * sin(t) y from node group by r, t),
+ uvs as (select spw, chan, u, v, count(*) n from points group by all),
+ seen as (select spw, chan, u, v, n, sum(w * cos({2 * math.pi * sky.ARCSEC!r} * (v * y - u * x))) re, -sum(w * sin({2 * math.pi * sky.ARCSEC!r} * (v * y - u * x))) im from uvs, xy group by all)
+ select spw, chan, cast(sum(n) as bigint) n, round(sum(n * re) / sum(n), 6) re, round(sum(n * im) / sum(n), 6) im from seen group by all""",
+)
+def disc_visibilities(spark, sf_dir):
+    """Mean model visibility of a tiled disc at all samples, by channel; samples of one place are seen once."""
+    from fringeframe.operators import disc
+
+    places = points(spark, sf_dir).groupBy("spw", "chan", "u", "v").agg(F.count(F.lit(1)).alias("n"))
+    longest = places.agg(F.max(F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")))).first()[0] or 0.0
+    seen = disc.cell_visibilities(places, disc.nodes(disc.cells(spark, RINGS, RADIUS), longest, TURN), brightness(spark, sf_dir))
+    mean = lambda c: (F.sum(F.col("n") * F.col(f"model_{c}")) / F.sum("n")).alias(c)
+    return rounded(seen.groupBy("spw", "chan").agg(F.sum("n").alias("n"), mean("re"), mean("im")), 6)
+
+
+@query(
+    "q_disc_rendered",
+    f"with {GRID_SQL}, {RINGS_SQL}, {VALUES_SQL}, fine as (select pix_y, pix_x, x_as + ((j + 5e-1) / 4 - 5e-1) * {STEP!r} x, y_as + ((i + 5e-1) / 4 - 5e-1) * {STEP!r} y from grid, range(4) a(i), range(4) b(j)), placed as (select pix_y, pix_x, cast(floor(sqrt(x * x + y * y) / {RADIUS / RINGS!r}) as bigint) ring, case when atan2(y, x) < 0 then atan2(y, x) + 6.283185307179586 else atan2(y, x) end angle from fine), met as (select pix_y, pix_x, first_cell + least(cast(floor(angle / 6.283185307179586 * cells) as bigint), cells - 1) cell_id from placed join rings using (ring)) select pix_y, pix_x, round(sum(bright) / 16e0, 6) as value from met join vals using (cell_id) group by all",
+)
+def disc_rendered(spark, sf_dir):
+    from fringeframe.operators import disc
+
+    return rounded(disc.rendered(sized_pixels(spark), disc.rings(spark, RINGS, RADIUS), brightness(spark, sf_dir), STEP), 6)
+
+
+def hilbert_sql(bits: int) -> str:
+    """The place along the curve through (pix_y, pix_x), one level after the other."""
+    out = "h0 as (select pix_y, pix_x, beam, cast(pix_y as bigint) r, cast(pix_x as bigint) c, cast(0 as bigint) at_ from image)"
+    for n, k in enumerate(reversed(range(bits))):
+        s = 1 << k
+        right, up, lc, lr = f"((c // {s}) % 2)", f"((r // {s}) % 2)", f"(c % {s})", f"(r % {s})"
+        out += f", h{n + 1} as (select pix_y, pix_x, beam, at_ + {s * s} * case when {right} = 1 then case when {up} = 1 then 2 else 3 end else {up} end at_, case when {up} = 0 then case when {right} = 1 then {s - 1} - {lr} else {lr} end else {lc} end c, case when {up} = 0 then case when {right} = 1 then {s - 1} - {lc} else {lc} end else {lr} end r from h{n})"
+    return out
+
+
+@query(
+    "q_hilbert_points",
+    f"with {IMAGE_SQL}, {hilbert_sql(4)}, masked as (select * from h4 where pix_y + pix_x >= 5), top as (select max(beam) p from masked), dens as (select pix_y, pix_x, at_, greatest((greatest(beam, 0e0) / p) ** 2, 1e-2) d from masked, top), summed as (select *, sum(d) over (order by at_ rows between unbounded preceding and current row) upto, sum(d) over () total from dens), n as (select pix_y, pix_x, cast(floor(upto / total * 150 + 499999999e-9) - floor((upto - d) / total * 150 + 499999999e-9) as bigint) points from summed) select pix_y, pix_x, points from n where points > 0",
+)
+def hilbert_points(spark, sf_dir):
+    """Mesh points over the beam of all samples inside a mask."""
+    from fringeframe.operators.mesh import hilbert_points as drawn
+
+    rows = image(spark, sf_dir)
+    return drawn(rows, "beam", 4, 150, mask=rows.where("pix_y + pix_x >= 5"), stretch=40)
+
+
+@query(
+    "q_content_identity",
+    "with v as (select l_linestatus, case when l_orderkey is null then '-' else length(l_orderkey::varchar) || ':' || l_orderkey end || '|' || case when l_returnflag is null then '-' else length(l_returnflag) || ':' || l_returnflag end || '|' || case when l_suppkey is null then '-' else length(l_suppkey::varchar) || ':' || l_suppkey end as name from lineitem) select count(*) n, cast(sum(cast('0x' || substr(md5(name), 1, 15) as bigint)) as varchar) as content from v",
+)
+def content_identity(spark, sf_dir):
+    from fringeframe.plans.products import content_identity as identity
+
+    return identity(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_returnflag", "l_suppkey"])
+
+
+def argmax_sql(rounds: int, steps: int = 8) -> str:
+    """A grid for each round, the best trial of each channel, and the next grid round it."""
+    ranges = {"m": (-1.0, 1.0), "s": (0.05, 2.05)}
+    sql = f"with {POINTS_SQL}, stats as (select spw, chan, count(*) * 1e0 n, sum(re) a, sum(re * re) b from points group by spw, chan), b0 as (select spw, chan, " + ", ".join(f"{lo!r} {n}_low, {hi!r} {n}_high" for n, (lo, hi) in ranges.items()) + " from stats)"
+    for k in range(rounds):
+        sql += f", t{k} as (select stats.*, m_low, m_high, s_low, s_high, m_low + (m_high - m_low) * i / {steps}e0 m, s_low + (s_high - s_low) * j / {steps}e0 s from stats join b{k} using (spw, chan), range({steps + 1}) x(i), range({steps + 1}) y(j)), s{k} as (select *, -n * ln(s) - (b - 2 * m * a + n * m * m) / (2 * s * s) score from t{k}), w{k} as (select * from (select *, row_number() over (partition by spw, chan order by score desc, m, s) turn from s{k}) where turn = 1), b{k + 1} as (select spw, chan, "
+        sql += ", ".join(f"greatest({n} - ({n}_high - {n}_low) / {steps}e0, {lo!r}) {n}_low, least({n} + ({n}_high - {n}_low) / {steps}e0, {hi!r}) {n}_high" for n, (lo, hi) in ranges.items()) + f" from w{k})"
+    return sql + f" select spw, chan, round(m, 9) m, round(s, 9) s, round(score / n, 6) score from w{rounds - 1}"
+
+
+@query("q_nested_argmax", argmax_sql(4))
+def nested_argmax(spark, sf_dir):
+    """Mean and deviation of largest likelihood of each channel's real parts."""
+    from fringeframe.operators.search import nested_argmax as searched
+
+    re = F.col("re")
+    stats = points(spark, sf_dir).groupBy("spw", "chan").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(re).alias("a"), F.sum(re * re).alias("b"))
+    m, s = F.col("m"), F.col("s")
+    score = -F.col("n") * F.log(s) - (F.col("b") - 2 * m * F.col("a") + F.col("n") * m * m) / (2 * s * s)
+    found = searched(stats, ("spw", "chan"), {"m": (-1.0, 1.0), "s": (0.05, 2.05)}, score)
+    return rounded(found.join(stats.select("spw", "chan", "n"), ["spw", "chan"]).select("spw", "chan", "m", "s", (F.col("score") / F.col("n")).alias("score")), 9, score=6)

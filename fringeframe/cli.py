@@ -50,6 +50,14 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--positive", action="store_true")
         p.add_argument("--significance", type=float, default=5.0)
         p.add_argument("--max-points", type=int, default=5)
+    p = command("moments", moments, "moment maps of a FITS cube")
+    p.add_argument("--dataset", required=True)
+    p.add_argument("--rest-hz", type=float)
+    p.add_argument("--systemic", type=float, default=0.0)
+    p.add_argument("--mask-from", default="auto", choices=["auto", "snr", "residual", "empty", "self"])
+    p.add_argument("--n-sigma", type=float, default=5.0)
+    p.add_argument("--empty-planes", default="0")
+    p.add_argument("--min-channels", type=int, default=1)
     p = command("demo", demo, "write a mock observation")
     p.add_argument("--samples", type=int, default=4000)
     return top
@@ -123,6 +131,12 @@ def demo(spark: SparkSession, args: argparse.Namespace) -> None:
     mock.observation(spark, args.samples, [mock.Gaussian(0.0, 0.0, 0.05, 0.3, 0.2, 0.5), mock.Point(-0.85, -0.65, 0.004)]).write.partitionBy("spw").parquet(args.out)
 
 
+def moments(spark: SparkSession, args: argparse.Namespace) -> None:
+    from fringeframe.plans.moments import run
+
+    run(spark, args.dataset, args.out, args.rest_hz, args.systemic, args.mask_from, args.n_sigma, args.empty_planes, args.min_channels)
+
+
 def write_text(folder: str, name: str, text: str) -> None:
     store, path = files.place(folder)
     store.create_dir(path, recursive=True)

@@ -41,7 +41,8 @@ def one_pass(points: DataFrame, planes: Sequence[Plane], totals: Sequence[str] =
     """(keys, plane, pix_y, pix_x, value): all planes and the sums of the columns ``totals`` (planes of one pixel) from one scan.
 
     The phase factors into axes, so a batch costs a product of small matrices, and planes on the same grid share it. With
-    keys, rows are dealt by them first, so a task meets few; one that meets more than MOST_KEYS emits what it has and goes on. A
+    keys a task holds an array for each; samples stay where they are while there are MOST_KEYS keys at most, which a look at the key columns
+    tells, and are dealt by key beyond it, so that a task meets few. One that meets more all the same emits what it has and goes on. A
     task's sums leave as one array, arrays are added in FAN groups of tasks, and only those are taken apart by pixel.
     """
     numbers = dict.fromkeys(c for p in planes for c in (p.re, p.im) if c)
@@ -52,8 +53,9 @@ def one_pass(points: DataFrame, planes: Sequence[Plane], totals: Sequence[str] =
     kinds = dict(points.dtypes)
     columns = list(dict.fromkeys(["u", "v", *numbers, *totals]))
     source = points.select(*keys, *columns)
-    if keys:
-        source = source.withColumn("deal_", F.spark_partition_id() % FAN).repartition(*keys, "deal_").drop("deal_")
+    if keys and points.select(*keys).distinct().limit(MOST_KEYS + 1).count() > MOST_KEYS:
+        deals = max(FAN, points.sparkSession.sparkContext.defaultParallelism)
+        source = source.withColumn("deal_", F.spark_partition_id() % deals).repartition(*keys, "deal_").drop("deal_")
 
     def sums_of(batch: pa.RecordBatch, rows: np.ndarray) -> np.ndarray:
         get = {n: batch.column(n).to_numpy(zero_copy_only=False)[rows] for n in columns}

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fringeframe.operators.ordered import with_previous
+from fringeframe.operators.ordered import near_previous, with_previous
 from fringeframe.operators.quantiles import quantiles
 from fringeframe.session import held
 from fringeframe.sources.adapter import ROW_KEY
@@ -45,8 +45,11 @@ def adjacent_pairs(vis: DataFrame, keys: Sequence[str] = (*BASELINE, "chan"), or
     """
     most = max_gap(vis, slab=slab).first()["max_gap"] if gap is None else gap
     values = usable(vis).select(*keys, *order, "re", "im", *extra)
-    paired = with_previous(values, keys, order, ["time_s", "re", "im", *extra], slab).where("previous is not null")
-    near = paired.where(F.col("time_s") - F.col("previous.time_s") <= F.lit(most))
+    held_ = ["time_s", "re", "im", *extra]
+    if most is None or math.isinf(most):  # too few times to tell what is near
+        near = with_previous(values, keys, order, held_, slab).where("previous is not null")
+    else:
+        near = near_previous(values, keys, order, held_, most, slab).where("previous is not null")
     return near.select(
         *keys, F.col("previous.time_s").alias("t0"), F.col("time_s").alias("t1"), (F.col("re") - F.col("previous.re")).alias("d_re"), (F.col("im") - F.col("previous.im")).alias("d_im"), *(F.col(f"previous.{x}").alias(f"{x}0") for x in extra), *(F.col(x).alias(f"{x}1") for x in extra)
     )
@@ -72,7 +75,9 @@ def pooled_sigma(pairs: DataFrame) -> DataFrame:
 def grouped_sigma(pairs: DataFrame, groupings: Sequence[Sequence[str]]) -> DataFrame:
     """Several groupings in one sweep: rows of each, with grouping_id telling them apart."""
     columns = list(dict.fromkeys(c for g in groupings for c in g))
-    return pairs.groupingSets([[F.col(c) for c in g] for g in groupings], *columns).agg(F.grouping_id().cast("long").alias("grouping"), F.count("d_re").alias("n"), difference_sigma("d_re").alias("sig_re"), difference_sigma("d_im").alias("sig_im"))
+    # The pairs are summed once by all columns; only those sums meet each grouping.
+    sums = moments_of(pairs, columns).groupingSets([[F.col(c) for c in g] for g in groupings], *columns).agg(F.grouping_id().cast("long").alias("grouping"), *(F.sum(c).alias(c) for c in MOMENTS))
+    return sums.select(*columns, "grouping", "n", *(c.alias(k) for k, c in parts_of(sums).items()))
 
 
 def moments_of(pairs: DataFrame, keys: Sequence[str | Column]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fringeframe.operators.ordered import with_previous
+from fringeframe.operators.ordered import near_previous
 
 
 def sessions(df: DataFrame, keys: Sequence[str], order: Sequence[str], gap: float, slab: float = 86400.0) -> DataFrame:
@@ -16,8 +16,8 @@ def sessions(df: DataFrame, keys: Sequence[str], order: Sequence[str], gap: floa
     Runs that start in a slab are numbered there and shifted by the starts in the slabs before it, so no key is one task.
     """
     time = order[0]
-    stepped = with_previous(df.select(*keys, *order), keys, order, [time], slab)
-    begins = F.col("previous").isNull() | (F.col(time) - F.col(f"previous.{time}") > F.lit(gap))
+    stepped = near_previous(df.select(*keys, *order), keys, order, [time], gap, slab)
+    begins = F.col("previous").isNull()
     marked = stepped.withColumns({"starts_": begins.cast("int"), "slab_": F.floor(F.col(time) / F.lit(slab))})
     counts = marked.groupBy(*keys, "slab_").agg(F.sum("starts_").alias("own_"))
     w = Window.partitionBy(*keys).orderBy("slab_").rowsBetween(Window.unboundedPreceding, -1)

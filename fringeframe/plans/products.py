@@ -14,6 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fringeframe.operators.wcs import Grid
 from fringeframe.plans.inversion import Terms
 from fringeframe.sources.files import place
 
@@ -82,6 +83,45 @@ def planes(spark: SparkSession, arrays: dict[str, np.ndarray], plane: int = 0) -
     return spark.createDataFrame(rows, "plane int, kind string, pix_y int, pix_x int, value double")
 
 
+#: Cards that say where an image lies.
+PLACING = ("CTYPE1", "CTYPE2", "CRVAL1", "CRVAL2", "CRPIX1", "CRPIX2", "CDELT1", "CDELT2", "CROTA2", "EQUINOX", "RADESYS")
+
+
+def grid_of(header: dict) -> dict[str, object]:
+    """The cards of a header that say where its planes lie."""
+    return {k: header[k] for k in PLACING if k in header}
+
+
+def product_cards(n: int, step_arcsec: float, centre: tuple[float, float] | None = None, moved: tuple[float, float] = (0.0, 0.0), unit: str = "", beam: Beam | None = None, hz: Sequence[float] = (), rest_hz: float | None = None) -> dict[str, object]:
+    """Cards of a product on the image grid: where it lies, its unit, its beam and its frequencies.
+
+    ``centre`` is the pointing in degrees, ``moved`` the offset in arcseconds (x to the west) by which the data were recentred: the reference then lies
+    there, in right ascension by the offset over the cosine of the declination. An uneven axis of frequencies gets a card for each plane.
+    """
+    at = Grid(*(centre or (0.0, 0.0)), (n - 1) / 2, (n - 1) / 2, -step_arcsec / 3600, step_arcsec / 3600, n, n)
+    cards = (at.shifted(*moved) if any(moved) else at).cards()
+    if centre is not None:
+        cards |= {"RADESYS": "ICRS"}
+    if unit:
+        cards["BUNIT"] = unit
+    if beam is not None:
+        fwhm = 2 * math.sqrt(2 * math.log(2)) / 3600
+        cards |= {"BMAJ": beam.major * fwhm, "BMIN": beam.minor * fwhm, "BPA": beam.angle}
+    if len(hz):
+        steps = np.diff(hz)
+        cards |= {"CTYPE3": "FREQ", "CUNIT3": "Hz", "CRPIX3": 1.0, "CRVAL3": float(hz[0]), "CDELT3": float(steps[0]) if len(steps) else 1.0}
+        if len(steps) > 1 and np.ptp(steps) > 1e-6 * np.abs(steps).max():
+            cards |= {f"FREQ{k + 1:04d}": float(f) for k, f in enumerate(hz)}
+    if rest_hz:
+        cards["RESTFRQ"] = float(rest_hz)
+    return cards
+
+
+def median_beam(beams: Sequence[Beam]) -> Beam:
+    """The beam of middle area, for planes that share one header."""
+    return sorted(beams, key=lambda b: (b.major * b.minor, b.major))[len(beams) // 2]
+
+
 def with_points(image: DataFrame, points: DataFrame, step: float, n: int) -> DataFrame:
     """(pix_y, pix_x, value) with each point's flux added to its nearest pixel."""
     at = points.select(F.rint((n - 1) / 2 - F.col("y_as") / step).cast("int").alias("pix_y"), F.rint(F.col("x_as") / step + (n - 1) / 2).cast("int").alias("pix_x"), F.col("flux").alias("value"))

@@ -328,10 +328,10 @@ def scan_windows(rows: DataFrame) -> DataFrame:
     return rows.groupBy("spw").agg(F.count(F.lit(1)).alias("n_rows"), F.max("channels").alias("n_chan"), F.sum("n_live").alias("n_samples"), F.sum(F.col("row_keep").cast("long")).alias("n_kept"), F.max("length").alias("longest"))
 
 
-def plane_bytes(plane: DataFrame, value: str, n: int, step_arcsec: float, cards: dict | None = None) -> bytes:
-    """A FITS image of a plane of n x n pixels (pix_y, pix_x, value), rows turned so that north is up; missing pixels are NaN."""
-    out = np.full((n, n), np.nan, np.float32)
+def plane_bytes(plane: DataFrame, value: str, n: int, step_arcsec: float, cards: dict | None = None, n_x: int | None = None) -> bytes:
+    """A FITS image of a plane of n rows and n (or ``n_x``) columns (pix_y, pix_x, value), rows turned so that north is up; missing pixels are NaN."""
+    n_x = n_x or n
+    out = np.full((n, n_x), np.nan, np.float32)
     for r in plane.select("pix_y", "pix_x", value).toLocalIterator():
         out[r[0], r[1]] = np.nan if r[2] is None else r[2]
-    middle = (n + 1) / 2
-    return fits_bytes(out[::-1], {"CTYPE1": "RA---SIN", "CTYPE2": "DEC--SIN", "CRPIX1": middle, "CRPIX2": middle, "CDELT1": -step_arcsec / 3600, "CDELT2": step_arcsec / 3600, **(cards or {})})
+    return fits_bytes(out[::-1], {"CTYPE1": "RA---SIN", "CTYPE2": "DEC--SIN", "CRPIX1": (n_x + 1) / 2, "CRPIX2": (n + 1) / 2, "CDELT1": -step_arcsec / 3600, "CDELT2": step_arcsec / 3600, **(cards or {})})

@@ -142,3 +142,15 @@ def test_a_cache_that_can_t_be_written_costs_a_warning(spark, tmp_path, caplog):
     (tmp_path / "f").write_bytes(b"")
     assert products.cached_terms(spark, f"file://{tmp_path}/f", "k", made_terms).n_vis == 10
     assert "not cached" in caplog.text
+
+
+def test_few_keys_move_no_samples(spark, monkeypatch):
+    """Images by key with and without dealing agree, and samples are dealt only where there are many keys."""
+    points = spark.range(4000).selectExpr("cast(id % 5 as int) as spw", "cast(id % 2 as int) as chan", "(id % 41 - 20) * 3e3D as u", "(id % 37 - 18) * 3e3D as v", "sin(id) as re", "cos(id) as im", "0.1D as sig_re", "0.2D as sig_im").repartition(3)
+    few = imaging.terms(points, 6, 1.0, ("spw", "chan"))
+    monkeypatch.setattr(imaging, "MOST_KEYS", 4)
+    many = imaging.terms(points, 6, 1.0, ("spw", "chan"))
+    dealt = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("deal_")
+    assert dealt(few) == 0 and dealt(many) > 0
+    a, b = ({tuple(r)[:-1]: r.value for r in df.collect()} for df in (few, many))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-9, abs=1e-9) for k in a)

@@ -95,7 +95,7 @@ def convert(spark: SparkSession, args: argparse.Namespace) -> None:
             made = keyed.withColumns({"sig_re": claimed * re, "sig_im": claimed * im})
         else:
             made = noise.hybrid_sigma(keyed, noise.adjacent_pairs(keyed), claimed).withColumns({"sig_re": F.col("hyb_re"), "sig_im": F.col("hyb_im")})
-        vis = made.select(vis.columns)
+        vis = noise.repaired(made.select(vis.columns))
     files.write_visibilities(vis, args.out, {"noise": args.noise, "source": args.dataset})
 
 

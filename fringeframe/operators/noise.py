@@ -244,6 +244,22 @@ def hybrid_sigma(vis: DataFrame, pairs: DataFrame, relative: Column) -> DataFram
     return sigma_map(vis, pairs).join(time_profile(vis, relative), "time_s").withColumns({"hyb_re": F.col("est_re") * F.col("profile"), "hyb_im": F.col("est_im") * F.col("profile")})
 
 
+def repaired(vis: DataFrame, columns: Sequence[str] = ("sig_re", "sig_im")) -> DataFrame:
+    """``vis`` where a noise that is missing, not finite or not above zero is the median of the good ones of its part among live samples.
+
+    Medians are exact and one row, which goes to every task. Without a good one a bad one fails the job; where all are good nothing changes.
+    """
+    good = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < math.inf) & (F.col(c) > 0)
+    live = vis.where(~F.coalesce(F.col("flag"), F.lit(False))) if "flag" in vis.columns else vis
+    middle = None
+    for k, c in enumerate(columns):
+        own = quantiles(live, F.when(good(c), F.col(c)), [0.5]).select(F.col("q0").alias(f"middle_{k}_"))
+        middle = own if middle is None else middle.crossJoin(own)  # a row each
+    met = vis.crossJoin(F.broadcast(middle))
+    put = {c: F.when(good(c), F.col(c)).otherwise(F.coalesce(F.col(f"middle_{k}_"), F.raise_error(F.lit(f"no sample has a usable {c}")).cast("double"))) for k, c in enumerate(columns)}
+    return met.withColumns(put).select(vis.columns)
+
+
 def weight_disagreement(vis: DataFrame, pairs: DataFrame, relative: Column) -> DataFrame:
     """One row: mean of measured over claimed noise on the shortest and on the longest quarter of the rows, and their ratio.
 

@@ -106,6 +106,17 @@ def mask_common(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, a.columns, "left_semi").distinct()
 
 
+def circle(pixels: DataFrame, radius: float) -> DataFrame:
+    """(pix_y, pix_x) within ``radius`` arcseconds of the middle: the field that an image may fill."""
+    return pixels.where(F.col("x_as") * F.col("x_as") + F.col("y_as") * F.col("y_as") <= F.lit(radius * radius)).select("pix_y", "pix_x")
+
+
+def with_discs(pixels: DataFrame, mask: DataFrame, centres: DataFrame, radius: float) -> DataFrame:
+    """``mask`` and the pixels within ``radius`` of a centre (y_as, x_as), which components outside the mask need."""
+    far = excluding(pixels, centres, radius).select("pix_y", "pix_x")
+    return mask_union(mask.select("pix_y", "pix_x"), pixels.select("pix_y", "pix_x").join(far, ["pix_y", "pix_x"], "left_anti"))
+
+
 def dilated(mask: DataFrame, steps: int) -> DataFrame:
     """Pixels within ``steps`` moves along rows and columns: each pixel spreads to a diamond of bounded size."""
     moves = [(y, x) for y in range(-steps, steps + 1) for x in range(-steps, steps + 1) if abs(y) + abs(x) <= steps]
@@ -205,6 +216,18 @@ def snr_mask(cells: DataFrame, n_sigma: float, min_channels: int, keys: tuple[st
     return cells.join(counts, list(keys)).withColumn("keep", bright & (F.col("bright_") >= min_channels)).drop("bright_")
 
 
+def residual_mask(cells: DataFrame, value: str, residual: str, channel: str, n_sigma: float, unit: float, min_channels: int, keys: tuple[str, ...]) -> DataFrame:
+    """``cells`` with keep: value at least ``n_sigma`` times its channel's noise, in a pixel (``keys``) with ``min_channels`` such channels.
+
+    A channel's noise is ``unit`` times the scaled median deviation of its residual.
+    """
+    from fringeframe.operators.noise import robust_sigma
+
+    cells = held(cells)  # read by the medians and by the cut
+    level = robust_sigma(cells.where(F.col(residual).isNotNull()), residual, (channel,)).select(channel, (F.col("sigma") * F.lit(unit)).alias("noise"))
+    return snr_mask(cells.join(level, channel), n_sigma, min_channels, keys)
+
+
 def near_pairs(found: DataFrame, truth: DataFrame, tolerance: float) -> DataFrame:
     """(found_id, truth_id, bright, d2, ratio) of pairs less than ``tolerance`` apart, met by tiles of that size: one side goes to its tile, the other to nine."""
     tile = lambda c: F.floor(F.col(c) / F.lit(float(tolerance))).cast("long")

@@ -54,6 +54,22 @@ def fluxes(points: DataFrame, found: list[Component]) -> tuple[np.ndarray, np.nd
     return flux, inverse, float(a["c"] + a["c_"] - b @ flux), int(a["n"])
 
 
+def pruned(points: DataFrame, found: list[Component], significance: float) -> list[Component]:
+    """The components that stay when the one of least signal to noise goes again and again, all fluxes solved anew each time, until
+    each is ``significance`` standard errors high. Errors grow with chi square where that is above its expectation."""
+    left = list(found)
+    while left:
+        flux, cov, chi2, samples = fluxes(points, left)
+        error = np.sqrt(np.diag(cov) * max(1.0, chi2 / (2 * samples)))
+        for c, a, e in zip(left, flux, error, strict=True):
+            c.flux, c.error = float(a), float(e)
+        least = int(np.argmin(flux / error))
+        if flux[least] >= significance * error[least]:
+            break
+        left.pop(least)
+    return left
+
+
 def residual(points: DataFrame, found: list[Component]) -> DataFrame:
     re, im = F.col("re"), F.col("im")
     for c in found:
@@ -124,4 +140,4 @@ def detect(points: DataFrame, n: int, fov_arcsec: float, significance: float = 5
         found.append(new)
         for c, a, e in zip(found, flux, error, strict=True):
             c.flux, c.error = float(a), float(e)
-    return sorted(found, key=lambda c: -c.flux)
+    return sorted(pruned(points, found, significance), key=lambda c: -c.flux)

@@ -563,6 +563,17 @@ def snr_mask(spark, sf_dir):
     return rounded(cells(spark, sf_dir).select("pixel", "channel", "value", "keep"), 6)
 
 
+@query(
+    "q_residual_mask",
+    f"with {CUBE_SQL}, level as (select channel, avg(value) m from cube group by all), rest as (select pixel, channel, value, value - m r from cube join level using (channel)), noise as (select channel, 14826e-4 * mad(r) s from rest group by all), b as (select pixel, channel, value, value >= 2e0 * 5e-1 * s bright from rest join noise using (channel)), many as (select pixel, count(*) filter (bright) c from b group by all) select pixel, channel, round(value, 6) as value, bright and c >= 3 keep from b join many using (pixel)",
+)
+def residual_mask(spark, sf_dir):
+    """Cells at twice the noise that each channel's residual shows, in pixels with three of them; half a unit of the cube is one of the residual."""
+    cube = cells(spark, sf_dir).select("pixel", "channel", "value")
+    rest = cube.join(cube.groupBy("channel").agg(F.avg("value").alias("m")), "channel").withColumn("rest", F.col("value") - F.col("m"))
+    return rounded(regions.residual_mask(rest, "value", "rest", "channel", 2.0, 0.5, 3, ("pixel",)).select("pixel", "channel", "value", "keep"), 6)
+
+
 @query(
     "q_moments",
     f"with {CUBE_SQL}, k as (select pixel, case when keep then value end v, velocity x, width from cells), s as (select pixel, sum(v * width) m0, sum(v) s, sum(v * x) sx, sum(v * x * x) sxx, max(v) peak from k group by all) select pixel, round(m0, 5) mom0, case when s > 0 then round(sx / s, 6) end mom1, case when s > 0 then round(sqrt(greatest(sxx / s - (sx / s) * (sx / s), 0e0)), 6) end mom2, round(peak, 6) peak from s",
@@ -603,11 +614,15 @@ def dim_lookup(spark, sf_dir):
     return rounded(joined.groupBy("r_name", "n_name").agg(F.count(F.lit(1)).alias("n"), F.avg("s_acctbal").alias("mean_balance")), 6)
 
 
-@query("q_ring_offsets", "with r as (select id ring, greatest(1, cast(round_even(6.283185307179586 * (id + 5e-1), 0) as bigint)) cells from range(24) t(id)) select ring, cells, cast(coalesce(sum(cells) over (order by ring rows between unbounded preceding and 1 preceding), 0) as bigint) first_cell, round(2e0 / 3e0 * ((ring + 1) ** 3 - ring ** 3) / ((ring + 1) ** 2 - ring ** 2), 8) centroid from r")
+@query("q_ring_offsets", "with r as (select id ring, greatest(1, cast(round_even(6.283185307179586 * (id + 5e-1), 0) as bigint)) cells from range(24) t(id)), o as (select ring, cells, cast(coalesce(sum(cells) over (order by ring rows between unbounded preceding and 1 preceding), 0) as bigint) first_cell, 2e0 / 3e0 * ((ring + 1) ** 3 - ring ** 3) / ((ring + 1) ** 2 - ring ** 2) centroid from r), p as (select cast(floor(sqrt((p_partkey % 31 - 15) ** 2 + (p_size - 25) ** 2)) as bigint) ring, p_retailprice v from part) select ring, cells, first_cell, round(centroid, 8) centroid, count(v) n, round(coalesce(sum(v), 0) / cells, 6) per_cell from o left join p using (ring) group by ring, cells, first_cell, centroid")
 def ring_offsets(spark, sf_dir):
+    """Parts in the rings about a centre: how the rings' cells are numbered and what each ring's cells hold."""
     from fringeframe.operators.disc import rings
 
-    return rounded(rings(spark, 24, 24.0).select("ring", "cells", "first_cell", "centroid"))
+    parts = table(spark, sf_dir, "part").select(F.floor(F.sqrt(F.pow(F.col("p_partkey") % 31 - 15, 2) + F.pow(F.col("p_size") - 25, 2))).cast("long").alias("ring"), F.col("p_retailprice").alias("v"))
+    held_in = parts.groupBy("ring").agg(F.count("v").alias("n"), F.sum("v").alias("s"))
+    met = rings(spark, 24, 24.0).join(held_in, "ring", "left").na.fill(0, ["n", "s"])
+    return rounded(met.select("ring", "cells", "first_cell", "centroid", "n", (F.col("s") / F.col("cells")).alias("per_cell")), 8, per_cell=6)
 
 
 @query(
@@ -649,11 +664,31 @@ def baseline_ids(spark, sf_dir):
     return selection.baseline_ids(cross(spark, sf_dir))
 
 
-@query("q_parse_windows", "select unnest([0, 1, 4, 7, 8, 9]) spw")
+@query("q_parse_windows", f"with {VIS_SQL} select cast(chan as integer) spw, count(*) n, sum(case when flag then 0 else 1 end) n_live from vis where chan in (0, 1, 4, 6) group by 1")
 def parse_windows(spark, sf_dir):
+    """Samples of the windows that a text names; line numbers stand for windows."""
     from fringeframe.sources.measurement import windows_of
 
-    return windows_of(spark, "7-9, 0-1, 4, 8")
+    named = windows_of(spark, "6, 0-1, 4, 12-14")
+    return visibilities(spark, sf_dir).withColumn("spw", F.col("chan").cast("int")).join(named, "spw", "left_semi").groupBy("spw").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("flag")).alias("n_live"))
+
+
+@query(
+    "q_repaired_sigma",
+    f"with {VIS_SQL}, bad as (select *, sig_re - 1e-2 a, case when sig_im <= 3e-2 then null else sig_im end b from vis), m as (select (select quantile_cont(a, 5e-1) from bad where not flag and a > 0) ma, (select quantile_cont(b, 5e-1) from bad where not flag and b > 0) mb) select {KEY}, round(case when a > 0 then a else ma end, 9) sig_re, round(coalesce(b, mb), 9) sig_im from bad, m",
+)
+def repaired_sigma(spark, sf_dir):
+    """Noise that is zero or missing in some samples, replaced by the median of the rest."""
+    broken = visibilities(spark, sf_dir).withColumns({"sig_re": F.col("sig_re") - 1e-2, "sig_im": F.when(F.col("sig_im") > 3e-2, F.col("sig_im"))})
+    return rounded(noise.repaired(broken).select(*ROW_KEY, "sig_re", "sig_im"), 9)
+
+
+@query("q_field_mask", f"with {IMAGE_SQL}, c as (select s_acctbal, (s_suppkey % 7 - 3) * 45e-3 cx, (s_suppkey % 5 - 2) * 6e-2 cy from supplier where s_acctbal > 9e3) select pix_y, pix_x from image where x_as * x_as + y_as * y_as <= 64e-4 union select pix_y, pix_x from image, c where (y_as - cy) ** 2 + (x_as - cx) ** 2 <= 4e-4")
+def field_mask(spark, sf_dir):
+    """The round field of an image and discs about bright suppliers."""
+    centres = table(spark, sf_dir, "supplier").where("s_acctbal > 9e3").select(((F.col("s_suppkey") % 7 - 3) * 0.045).alias("x_as"), ((F.col("s_suppkey") % 5 - 2) * 0.06).alias("y_as"))
+    grid = sized_pixels(spark)
+    return regions.with_discs(grid, regions.circle(grid, 0.08), centres, 0.02)
 
 
 @query(

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fringeframe.operators import masks, matrix, regions, wcs
-from fringeframe.plans import gaussians
+from fringeframe.operators import masks, noise, regions, wcs
+from fringeframe.plans import gaussians, pointfit
 from fringeframe.plans.products import Beam
 from fringeframe.sources import files
 
@@ -158,4 +158,34 @@ def test_flux_errors_are_the_dense_ones(spark):
     w = np.array([float(3 <= k // n <= 6 and k % n < 5) for k in range(n * n)])
     row = regions.region_flux_error(grid.withColumn("v", F.lit(2.0)), "v", region.unionByName(region), mapping, cov).first()
     assert (row.n, row.flux) == (20, 40.0) and row.error == pytest.approx(math.sqrt(w @ m @ c @ m.T @ w))
-    assert matrix is not None
+
+
+def test_weak_points_go_one_by_one(spark):
+    """Against the same loop on dense arrays: the weakest goes, all others are solved again."""
+    df, rows = samples(spark, [gaussians.Source(1.0, 0.4, -0.3), gaussians.Source(0.5, -0.8, 0.5)], 800, 0.2)
+    places = [(0.4, -0.3), (-0.8, 0.5), (0.42, -0.28), (1.5, 1.5), (-0.2, 0.9)]
+    found = pointfit.pruned(df, [pointfit.Component(x, y) for x, y in places], 5.0)
+    u, v, re, im, sr, si = rows.T
+    left, w = list(places), np.sqrt(2 / (sr**2 + si**2))
+    while left:
+        cols = gaussians.model_columns([gaussians.Source(1.0, x, y, held=("x_as", "y_as")) for x, y in left], u, v)[1]
+        a = np.vstack([cols.real * w[:, None], cols.imag * w[:, None]])
+        d = np.concatenate([re * w, im * w])
+        cov = np.linalg.inv(a.T @ a)
+        flux = cov @ a.T @ d
+        chi2 = d @ d - flux @ a.T @ d
+        snr = flux / np.sqrt(np.diag(cov) * max(1.0, chi2 / (2 * len(u))))
+        if snr.min() >= 5:
+            break
+        left.pop(int(np.argmin(snr)))
+    assert [(c.x_as, c.y_as) for c in found] == left and len(left) < 5
+    assert np.allclose([c.flux for c in found], flux, rtol=1e-6)
+    assert pointfit.pruned(df, [pointfit.Component(1.5, 1.5)], 50.0) == []
+
+
+def test_bad_noise_is_the_median_of_the_good(spark):
+    rows = [(1.0, 2.0, False), (3.0, None, False), (0.0, 4.0, False), (-1.0, float("inf"), True), (float("nan"), 6.0, None), (100.0, 100.0, True), (5.0, 2.0, False)]
+    got = noise.repaired(spark.createDataFrame(rows, "sig_re double, sig_im double, flag boolean")).collect()
+    assert [(r.sig_re, r.sig_im) for r in got] == [(1.0, 2.0), (3.0, 3.0), (3.0, 4.0), (3.0, 3.0), (3.0, 6.0), (100.0, 100.0), (5.0, 2.0)]
+    with pytest.raises(Exception, match="usable sig_re"):
+        noise.repaired(spark.createDataFrame([(0.0, 1.0, False)], "sig_re double, sig_im double, flag boolean")).collect()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 from fringeframe.sources.dataset import SCHEMA, read_dataset, write_visibilities  # noqa: F401
+from fringeframe.sources.legacy import legacy_files, read_legacy
 from fringeframe.sources.members import FITS_BLOCK, FITS_KINDS, Ranged, fits_header, fits_member, npz_members, opened, place
 
 #: Rows of one partition, and of one Arrow batch.
@@ -305,10 +306,12 @@ def register(spark: SparkSession) -> None:
 
 
 def read_visibilities(spark: SparkSession, path: str) -> DataFrame:
-    """Samples of an npz archive, a FITS directory or a Parquet dataset, by what the path looks like."""
+    """Samples of an npz archive, a FITS directory, a prototype export or a Parquet dataset, by what the path looks like."""
     register(spark)
     if path.endswith(".npz"):
         return spark.read.format("visnpz").load(path)
+    if legacy_files(path) is not None:
+        return read_legacy(spark, path)
     files, p = place(path)
     listed = files.get_file_info(fs.FileSelector(p, recursive=True))
     if any(i.path.endswith(".fits") for i in listed):

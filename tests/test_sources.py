@@ -182,3 +182,35 @@ def test_a_failing_task_leaves_nothing(spark, tmp_path):
 def test_missing_columns_are_named(spark, tmp_path):
     with pytest.raises(Exception, match="sig_im"):
         dataset.write_visibilities(some(spark).drop("sig_im"), f"file://{tmp_path}/set")
+
+
+def legacy_export(path, vis, sigma, uv, hz, begins="sigma_statwt"):
+    path.mkdir(exist_ok=True)
+    reim = lambda a: np.stack([a.real, a.imag], -1)
+    for name, a in (("visibilities", reim(vis)), (begins, reim(sigma)), ("uv_wavelengths", uv), ("frequencies", hz)):
+        (path / f"{name}_target.fits").write_bytes(files.fits_bytes(np.ascontiguousarray(a)))
+
+
+@pytest.mark.parametrize("hands, different", [("two", 2), ("doubled", 1), ("one", 1), ("three", 2)])
+def test_prototype_exports(spark, tmp_path, hands, different, caplog):
+    draw = np.random.default_rng(8)
+    n_chan, n = 3, 40
+    one, other = (draw.normal(size=(n_chan, n)) + 1j * draw.normal(size=(n_chan, n)) for _ in range(2))
+    vis = {"two": np.stack([one, other]), "doubled": np.stack([one, one * (1 + 1e-9)]), "one": one, "three": np.stack([one, other, one])}[hands]
+    sigma = np.full(vis.shape, 0.3 + 0.4j)
+    hz, uvw = 230e9 + 1e9 * np.arange(n_chan), draw.normal(0, 100, (n, 2))
+    uv = uvw[None] * (hz / 299792458.0)[:, None, None]
+    legacy_export(tmp_path / "x", vis, sigma, uv[0] if hands == "one" else uv, hz, "sigma" if hands == "two" else "sigma_statwt")
+    rows = files.read_visibilities(spark, f"file://{tmp_path}/x").collect()
+    mean = np.atleast_3d(vis.reshape(-1, n_chan, n)).mean(0)
+    assert len(rows) == n_chan * n
+    for r in rows:
+        assert complex(r.re, r.im) == pytest.approx(mean[r.chan, r.row_id]) and (r.u_m, r.v_m) == (pytest.approx(uvw[r.row_id, 0]), pytest.approx(uvw[r.row_id, 1]))
+        assert r.sig_re == pytest.approx(0.3 / different**0.5) and r.sig_im == pytest.approx(0.4 / different**0.5) and r.freq_hz == hz[r.chan] and not r.flag
+    assert ("differ" in caplog.text) == (hands in ("doubled", "three"))
+    (tmp_path / "x" / "uv_wavelengths_target.fits").unlink()
+    from fringeframe.sources import legacy
+
+    assert legacy.legacy_files(f"file://{tmp_path}/x") is None
+    with pytest.raises(FileNotFoundError):
+        legacy.HandReader(f"file://{tmp_path}/x")

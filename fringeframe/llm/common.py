@@ -55,12 +55,15 @@ def running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], sla
     """``df`` in ``order`` (which has no ties) with sums over all rows before each one, without a task that sees all rows.
 
     Rows fall into slabs of the order; each slab is summed alone, and only one row per slab, MOST_SLABS at most, is
-    summed and broadcast as a whole.
+    summed and broadcast as a whole. A table of one slab is one window.
     """
     slab = free_name(df, "slab__")
     slabs = max(1, min(MOST_SLABS, df.count() // slab_rows))
+    if slabs == 1:
+        before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select(*(f"`{c}`" for c in df.columns), *(F.coalesce(F.sum(v).over(before), F.lit(0)).alias(k) for k, v in sums.items()))
     names = {k: f"{slab}{k}" for k in sums}
-    dealt = df.withColumns({names[k]: v for k, v in sums.items()}).repartitionByRange(slabs, *order) if slabs > 1 else df.withColumns({names[k]: v for k, v in sums.items()}).coalesce(1)
+    dealt = df.withColumns({names[k]: v for k, v in sums.items()}).repartitionByRange(slabs, *order)
     dealt = cut(dealt.withColumn(slab, F.spark_partition_id()))
     whole = Window.orderBy(slab).rowsBetween(Window.unboundedPreceding, -1)
     bases = dealt.groupBy(slab).agg(*(F.sum(n).alias(n) for n in names.values())).select(F.col(slab).alias(f"{slab}at"), *(F.coalesce(F.sum(n).over(whole), F.lit(0)).alias(f"{n}_base") for n in names.values()))

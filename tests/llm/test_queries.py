@@ -157,5 +157,5 @@ def test_media(spark, texts):
         assert r.feature == f"png=64x{len(data) // 64}x8;{plain_features(data)}"
 
 
-def test_all_queries_are_tested_here_or_in_test_tables():
-    assert set(QUERIES) == {"op1_toxicity", "op2_bpe", "op3_mixing", "op4_pii", "op5_simhash", "op6_token_files", "op7_licenses", "op8_sharding", "op9_embedding_dedup", "op10_media", "pipeline"}
+def test_all_queries_are_tested_here_in_test_tables_or_in_test_counts_trie_audit():
+    assert set(QUERIES) == {"op11_token_counts", "op12_prefix_trie", "op13_filter_audit", "op1_toxicity", "op2_bpe", "op3_mixing", "op4_pii", "op5_simhash", "op6_token_files", "op7_licenses", "op8_sharding", "op9_embedding_dedup", "op10_media", "pipeline"}

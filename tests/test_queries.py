@@ -129,8 +129,39 @@ def test_source_region_equals_a_flood(spark):
     assert got == {(int(y), int(x)) for y, x in seen}
 
 
+def test_gaussian_fit_is_no_worse_than_the_dense_one(spark):
+    """The registered fit's chi square on all samples, against damped steps on one array from the same start."""
+    from dataclasses import replace
+
+    from fringeframe import queries_sky
+    from fringeframe.plans import gaussians
+
+    rows = queries.points(spark, str(SF)).where("sig_re > 0 and sig_im > 0").select("u", "v", "re", "im", "sig_re", "sig_im").toPandas().to_numpy(float)
+    u, v, re, im, sr, si = rows.T
+    start = queries_sky.HELD
+
+    def chi2(at):
+        model, cols = gaussians.model_columns(gaussians.unpacked(start, at), u, v)
+        r = np.concatenate([(re - model.real) / sr, (im - model.imag) / si])
+        return float(r @ r), r, np.vstack([cols.real / sr[:, None], cols.imag / si[:, None]])
+
+    at, damping = gaussians.packed(start), 1e-3
+    best, r, a = chi2(at)
+    for _ in range(60):
+        f = a.T @ a
+        step = np.linalg.solve(f + damping * np.diag(np.diag(f)), a.T @ r)
+        now = chi2(at + np.clip(step, -1, 1))
+        if now[0] <= best:
+            at, (best, r, a), damping = at + np.clip(step, -1, 1), now, damping / 10
+        else:
+            damping *= 10
+    got = {(x.source, x.parameter): x.value for x in QUERIES["q_gaussian_fit"](spark, str(SF)).collect()}
+    found = [replace(s, **{n: got[k, n] for n in s.free()}) for k, s in enumerate(start)]
+    assert chi2(gaussians.packed(found))[0] <= best * (1 + 1e-7)
+
+
 def test_every_query_without_sql_has_a_test_above():
-    assert set(QUERIES) - set(SQL) == {"q_solve_map", "q_evidence_scan", "q_posterior_draws", "q_cube_fit", "q_point_fit", "q_source_region"}
+    assert set(QUERIES) - set(SQL) == {"q_solve_map", "q_evidence_scan", "q_posterior_draws", "q_cube_fit", "q_point_fit", "q_source_region", "q_gaussian_fit"}
 
 
 def test_entry(spark):

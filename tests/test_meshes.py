@@ -154,3 +154,27 @@ def test_few_keys_move_no_samples(spark, monkeypatch):
     assert dealt(few) == 0 and dealt(many) > 0
     a, b = ({tuple(r)[:-1]: r.value for r in df.collect()} for df in (few, many))
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-9, abs=1e-9) for k in a)
+
+
+@pytest.mark.parametrize("keys", [(), ("k",)])
+def test_narrowed_brackets_give_the_same_quantiles(spark, monkeypatch, keys):
+    """However small what a task may order, quantiles are the exact ones; heavy ties, infinities of ranks and one value included."""
+    from fringeframe.operators import quantiles as q
+
+    draw = np.random.default_rng(9)
+    values = np.concatenate([draw.lognormal(0, 3, 30_000), np.repeat(1.5, 9_000), -draw.random(1000)])
+    df = spark.createDataFrame([(int(i % 3), float(v)) for i, v in enumerate(values)] + [(7, 4.0), (8, None)], "k int, v double")
+    qs = [0.0, 0.013, 0.5, 0.61, 0.9999, 1.0]
+    want = {tuple(r)[: len(keys)]: tuple(r)[len(keys) :] for r in q.quantiles(df, F.col("v"), qs, keys).collect()}
+    monkeypatch.setattr(q, "BOUND", 20)
+    monkeypatch.setattr(q, "PARTS", 64)
+    monkeypatch.setattr(q, "FEW", 5)
+    calls, plain = [], q.narrowed
+    monkeypatch.setattr(q, "narrowed", lambda *a: (calls.append(1), plain(*a))[1])
+    got = {tuple(r)[: len(keys)]: tuple(r)[len(keys) :] for r in q.quantiles(df, F.col("v"), qs, keys).collect()}
+    assert got == want and len(calls) == 1
+    for k in want:
+        own = np.array([v for i, v in enumerate(values) if not keys or i % 3 == k[0]]) if k != (7,) else np.array([4.0])
+        if not keys:
+            own = np.append(own, 4.0)
+        assert np.allclose(want[k][1:], np.quantile(own, qs), rtol=1e-12)

@@ -54,13 +54,15 @@ class Written(WriterCommitMessage):
 class DatasetWriter(DataSourceArrowWriter):
     """Tasks write files to a folder of their own run beside the dataset; the driver validates what they report and only then moves them in.
 
-    A task that fails takes its files with it, a run that fails or is refused takes its folder, so a dataset is whole or
+    A task that fails takes its files with it, a run that fails or is refused takes its folder, which no task makes again, so a dataset is whole or
     isn't there. Attempts never share a name.
     """
 
     def __init__(self, path: str, meta: str, overwrite: bool):
         self.path, self.meta, self.overwrite = path.rstrip("/"), meta, overwrite
         self.aside = f"{self.path}/_aside-{uuid.uuid4().hex}"
+        files, aside = place(self.aside)
+        files.create_dir(aside, recursive=True)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, aside = place(self.aside)
@@ -91,7 +93,6 @@ class DatasetWriter(DataSourceArrowWriter):
                         open_.pop(key).close()
                         rows[key] = 0
                     if key not in open_:
-                        files.create_dir(aside, recursive=True)
                         name = f"part-{uuid.uuid4().hex}.parquet"
                         made.append(name)
                         open_[key] = pq.ParquetWriter(f"{aside}/{name}", own.schema, filesystem=files)
@@ -183,5 +184,8 @@ def write_visibilities(vis: DataFrame, path: str, meta: dict | None = None, over
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """The samples of a dataset; optional columns that weren't written are null, flags false."""
+    """The samples of a dataset; optional columns that weren't written are null, flags false. A table of other columns is read as it stands."""
+    plain = spark.read.parquet(path)
+    if not {"u_m", "v_m", "re", "im"} <= set(plain.columns):
+        return plain
     return spark.read.schema(SCHEMA).option("basePath", path).parquet(path).withColumn("flag", F.coalesce("flag", F.lit(False)))

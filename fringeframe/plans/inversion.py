@@ -134,14 +134,32 @@ class System:
             c = weighted(c, np.clip(beam.reshape(-1), 0.1, 1.0))
         self.h = np.linalg.inv(c)
         self.log_h = log_det(self.h)
+        # Roots of both parts, columns reversed. F is a sum of squares: eigenvalues below zero are rounding, which grows with the weights.
+        size, turn = np.linalg.eigh(self.f)
+        self.roots = (np.sqrt(np.maximum(size, 0.0))[:, None] * turn.T)[:, ::-1], np.linalg.cholesky(self.h).T[:, ::-1]
+
+    def factor(self, log_strength: float) -> np.ndarray:
+        """Upper R of positive diagonal with R'R = F + H, rows and columns reversed.
+
+        It comes from the roots and never from the sum, so weak modes of the prior beside any sum of weights stay above zero. The
+        inverse of R, reversed back, is the lower root of the posterior covariance.
+        """
+        r = np.linalg.qr(np.vstack([self.roots[0], 10.0 ** (log_strength / 2) * self.roots[1]]), mode="r")
+        return r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
 
     def trial(self, log_strength: float, positive: bool = False) -> Trial:
         strength = 10.0**log_strength
+        r = self.factor(log_strength)
         a = self.f + strength * self.h
-        s = solve_positive(a, self.d) if positive else np.linalg.solve(a, self.d)
+        solve = lambda b: np.linalg.solve(r, np.linalg.solve(r.T, b[::-1]))[::-1]
+        if positive:
+            s = solve_positive(a, self.d)
+        else:
+            s = solve(self.d)
+            s = s + solve(self.d - a @ s)  # takes out what the roots' rounding left
         chi2 = float(s @ self.f @ s - 2 * s @ self.d) + self.terms.data_term
         penalty = strength * float(s @ self.h @ s)
-        evidence = -0.5 * (chi2 + penalty + log_det(a) - len(s) * np.log(strength) - self.log_h + self.terms.noise_norm)
+        evidence = -0.5 * (chi2 + penalty + 2 * float(np.log(np.diag(r)).sum()) - len(s) * np.log(strength) - self.log_h + self.terms.noise_norm)
         return Trial(log_strength, chi2, evidence, s)
 
     def gamma(self, log_strength: float) -> float:
@@ -152,13 +170,13 @@ class System:
     def posterior(self, log_strength: float) -> np.ndarray:
         """Standard deviation of each mesh point, widened where chi square exceeds its number of data."""
         best = self.trial(log_strength)
-        c = np.linalg.inv(self.f + 10.0**log_strength * self.h)
-        return np.sqrt(np.diag(c) * max(1.0, best.chi2 / (2 * self.terms.n_vis)))
+        variance = (np.linalg.inv(self.factor(log_strength)) ** 2).sum(axis=1)[::-1]
+        return np.sqrt(variance * max(1.0, best.chi2 / (2 * self.terms.n_vis)))
 
     def draws(self, log_strength: float, count: int, seed: int = 0) -> np.ndarray:
         """Offsets from the solution, one row per draw."""
-        c = np.linalg.inv(self.f + 10.0**log_strength * self.h)
-        return np.random.default_rng(seed).standard_normal((count, len(c))) @ np.linalg.cholesky((c + c.T) / 2).T
+        unit = np.random.default_rng(seed).standard_normal((count, len(self.d)))
+        return np.linalg.solve(self.factor(log_strength), unit[:, ::-1].T).T[:, ::-1]
 
 
 def search_evidence(system: System, positive: bool = False) -> list[Trial]:

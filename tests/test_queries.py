@@ -89,6 +89,27 @@ def test_solves_equal_dense_ones(spark):
     assert draws.draws == 64 and abs(draws.flux_50 - s.sum()) < 0.6 * spread and draws.flux_84 - draws.flux_16 == pytest.approx(2 * spread, rel=0.5)
 
 
+@pytest.mark.parametrize("weight", [1e4, 1e11, 1e13])
+def test_draws_and_evidence_stand_any_sum_of_weights(weight):
+    """Weights of large tables beside a weak prior: the draws' covariance solves the normal equations and the evidence is finite."""
+    from fringeframe.operators import imaging
+
+    n, draw = queries.SIDE, np.random.default_rng(11)
+    u, v = draw.normal(0, 80e3, (2, 300))
+    at, (y, x) = np.array(imaging.lags(n, queries.FOV)), map(np.array, imaging.grid(n, queries.FOV))
+    wave = lambda a, b: np.exp(2j * np.pi * sky.ARCSEC * np.outer(a, b))
+    kernel, dirty = (weight * (wave(v, b).T @ wave(u, a)).real for b, a in ((at, at), (y, x)))
+    system = inversion.System(inversion.Terms(kernel, dirty, 300, 300 * weight, 300 * weight, 0.0), queries.FOV / n, 0.05)
+    draws = system.draws(-0.9, 64)
+    assert np.isfinite(draws).all() and np.isfinite(system.posterior(-0.9)).all() and np.isfinite(system.trial(-0.9).log_evidence)
+    root = np.linalg.inv(system.factor(-0.9))[::-1, ::-1]
+    assert np.allclose(draws, np.random.default_rng(0).standard_normal((64, n * n)) @ root.T, rtol=1e-6, atol=1e-9 * np.abs(root).max())
+    assert np.allclose(np.triu(root, 1), 0) and (np.diag(root) > 0).all()
+    if weight == 1e4:  # where the covariance's own root exists, it is the same
+        c = np.linalg.inv(system.f + 10.0**-0.9 * system.h)
+        assert np.allclose(root, np.linalg.cholesky((c + c.T) / 2), rtol=1e-4, atol=1e-4 * np.abs(root).max())
+
+
 def test_cube_fit_equals_a_solve_per_channel(spark):
     p, n = samples(spark), 12
     h = 10.0**4 * np.linalg.inv(inversion.covariance(n, queries.FOV / n, 0.05))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fringeframe.functions.sky import ARCSEC
 from fringeframe.plans.products import Beam
+from fringeframe.session import held
 
 #: Samples whose model columns are held at a time.
 ROWS = 8192
@@ -102,13 +103,35 @@ def step_sums(points: DataFrame, sources: Sequence[Source]) -> DataFrame:
     return kept.mapInArrow(run, "i int, j int, f double").groupBy("i", "j").agg(F.sum("f").alias("f"))
 
 
-def _collected(points: DataFrame, sources: Sequence[Source]) -> tuple[np.ndarray, np.ndarray, float]:
-    """J'WJ, J'Wr and chi square; (parameters + 1)^2 numbers leave Spark."""
+def merged(points: DataFrame) -> tuple[DataFrame, float]:
+    """(samples, rest): those of one place (u, v) as their weighted mean, and the chi square that lies between them whatever the model.
+
+    A model says the same of all samples of a place, so ``step_sums`` of the means are those of the samples, but for ``rest`` in the corner. Written
+    once; a fit's rounds read places, not samples. Where every sample has a place of its own nothing is saved and nothing is lost.
+    """
+    values = ("u", "v", "re", "im", "sig_re", "sig_im")
+    kept = points.select(*(F.col(c).cast("double").alias(c) for c in values)).where("sig_re > 0 and sig_im > 0")
+    for c in values:
+        kept = kept.where(F.abs(c) < float("inf"))  # NaN counts as larger
+    sums, means, rest = [], [], []
+    for part in ("re", "im"):
+        one = F.lit(1.0) / F.col(f"sig_{part}")
+        weight, value = one * one, F.col(part)
+        sums += [F.sum(weight).alias(f"w_{part}"), F.sum(weight * value).alias(f"x_{part}"), F.sum(weight * value * value).alias(f"xx_{part}")]
+        w, x = F.greatest(F.col(f"w_{part}"), F.lit(1e-300)), F.col(f"x_{part}")
+        means += [(x / w).alias(part), (F.lit(1.0) / F.sqrt(w)).alias(f"sig_{part}")]
+        rest.append(F.col(f"xx_{part}") - x * (x / w))
+    found = held(kept.groupBy("u", "v").agg(*sums).select("u", "v", *means, (rest[0] + rest[1]).alias("rest")))
+    return found.select(*values), float(found.agg(F.sum("rest")).first()[0] or 0.0)
+
+
+def _collected(points: DataFrame, rest: float, sources: Sequence[Source]) -> tuple[np.ndarray, np.ndarray, float]:
+    """J'WJ, J'Wr and chi square of merged samples; (parameters + 1)^2 numbers leave Spark."""
     n = len(packed(sources)) + 1
     m = np.zeros((n, n))
     for i, j, f in step_sums(points, sources).collect():
         m[i, j] = m[j, i] = f
-    return m[:-1, :-1], m[:-1, -1], float(m[-1, -1])
+    return m[:-1, :-1], m[:-1, -1], float(m[-1, -1]) + rest
 
 
 @dataclass(frozen=True)
@@ -122,12 +145,13 @@ class Fit:
 def fit(points: DataFrame, sources: Sequence[Source], most: int = 40, accuracy: float = 1e-9) -> Fit:
     """Sources at the least chi square near the given ones, with standard errors, by damped Gauss-Newton steps.
 
-    Each round is one pass over the samples, whose sums say both whether the last step was a good one and where the next one goes. It ends
+    The samples are merged by place in one pass. Each round is one over the places, whose sums say both whether the last step was a good one and where the next one goes. It ends
     when chi square falls by less than ``accuracy`` of itself or no damping helps; after ``most`` rounds the best so far is returned,
     which ``settled`` tells.
     """
     at = packed(sources)
-    f, d, chi2 = _collected(points, sources)
+    places, rest = merged(points)
+    f, d, chi2 = _collected(places, rest, sources)
     damping, rounds = 1e-3, 1
     wide = np.array([n in ("major", "minor") for s in sources for n in s.free()])
     while rounds < most:
@@ -136,7 +160,7 @@ def fit(points: DataFrame, sources: Sequence[Source], most: int = 40, accuracy:
         step = np.linalg.solve(f + damping * np.diag(scale), d)
         step = np.where(wide, np.clip(step, -1.0, 1.0), step)
         trial = unpacked(sources, at + step)
-        g, e, now = _collected(points, trial)
+        g, e, now = _collected(places, rest, trial)
         rounds += 1
         if now <= chi2:
             small = chi2 - now <= accuracy * max(chi2, 1e-300)

@@ -58,6 +58,25 @@ def test_joint_fit_is_the_dense_one(spark, held):
     assert abs(found.sources[0].flux - 1) < 6 * found.sources[0].errors["flux"] and abs(found.chi2 / 3000 - 1) < 0.1
 
 
+def test_rounds_read_places_not_samples(spark, monkeypatch):
+    """Samples that share places, some unusable: the fit of all on one array, from a row for each place."""
+    df, rows = samples(spark, [G, P], 60)
+    draw, every = np.random.default_rng(5), np.repeat(rows, 30, axis=0)
+    every[:, 4:] *= draw.uniform(0.5, 2, (len(every), 2))
+    every[:, 2:4] += draw.normal(0, every[:, 4:])
+    at = rows[0][:2].tolist()
+    odd = [(*at, 9.0, 9.0, 0.0, 1.0), (*at, float("nan"), 9.0, 1.0, 1.0), (*at, 9.0, 9.0, 1.0, float("inf")), (None, 0.0, 9.0, 9.0, 1.0, 1.0), (*at, 9.0, 9.0, 1.0, float("nan"))]
+    seen, plain = [], gaussians.step_sums
+    monkeypatch.setattr(gaussians, "step_sums", lambda points, sources: seen.append(points.count()) or plain(points, sources))
+    start = [gaussians.Source(0.8, 0.45, -0.2, 0.3, 0.25, 0.6), gaussians.Source(0.2, -0.75, 0.45)]
+    found = gaussians.fit(spark.createDataFrame(every.tolist() + odd, df.schema).repartition(5), start)
+    want, chi2, errors = dense_fit(every, start)
+    assert np.allclose(gaussians.packed(found.sources), want, rtol=1e-5, atol=1e-6) and found.chi2 == pytest.approx(chi2, rel=1e-8)
+    own = [s.errors[n] / (getattr(s, n) if n in ("major", "minor") else 1) for s in found.sources for n in s.free()]
+    assert np.allclose(own, errors, rtol=1e-3)
+    assert len(seen) == found.rounds and set(seen) == {60}
+
+
 def test_a_fit_goes_back_after_a_bad_step(spark):
     df, rows = samples(spark, [G])
     found = gaussians.fit(df, [gaussians.Source(0.1, 0.1, 0.1, 1.2, 1.0, 0.0)])
